@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, langid, line_spread, mixing, simhash, toxicity, warc
+from . import cover_tree, cws, langid, line_spread, mixing, sentencepiece_nbest, simhash, token_store, toxicity, warc
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_nbest.encode(docs, tokenizer("piece_bpe_32k.model"), n_best=4, keep_ids=False)
+    round_trip = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepiece_nbest.MARK, " ")
+    loss = lambda k: F.try_element_at("losses", F.lit(k))
+    return out.select("doc_id", "n_tokens", "ids_crc32", "score", "n_best", loss(2).alias("loss_2"), loss(3).alias("loss_3"), loss(4).alias("loss_4"), F.xxhash64("edits").alias("edits_hash"), round_trip.alias("round_trip"))
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+    return token_store.read(spark, folder)
+
+
 def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -87,6 +106,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~langid.training_rows(F.col("doc_id"))).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"))
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
@@ -116,11 +139,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_store": op2_token_store,
     "op3_cover_tree": op3_cover_tree,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
+    "op8_weighted_sampling": op8_weighted_sampling,
     "op9_line_spread": op9_line_spread,
     "op10_toxicity": op10_toxicity,
 }
