@@ -27,6 +27,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/vecloom/{label}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of this session hold at most so many rows: whole texts can be long, and a batch is in memory twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
@@ -44,14 +51,16 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache(name: str, make):
-    """An object that lives as long as the Python worker, over all its tasks."""
+def worker_cache(slot: str, version, make):
+    """An object that lives as long as the Python worker, over all its tasks; a slot keeps its latest version only."""
     import sys
 
     store = sys.__dict__.setdefault("_vecloom_cache", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if slot not in store or store[slot][0] != version:
+        store.pop(slot, None)
+        store[slot] = version, make()
+    return store[slot][1]

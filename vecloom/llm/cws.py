@@ -124,12 +124,11 @@ def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
     """
     spark = docs.sparkSession
     make = lambda: Sampler(lanes)
-    key = f"cws-{lanes}"
 
     def run(batches):
         from pyspark import TaskContext
 
-        s, part = worker_cache(key, make), TaskContext.get().partitionId()
+        s, part = worker_cache("cws", lanes, make), TaskContext.get().partitionId()
         before, first, rows = None, True, []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -155,7 +154,7 @@ def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
     open_rows = ends.where("last").select("part", "doc_id", "text").join(pairs, "part").join(heads, "follower").select("doc_id", "text", "following")
 
     def close(batches):
-        s = worker_cache(key, make)
+        s = worker_cache("cws", lanes, make)
         for b in batches:
             for doc_id, text, following in zip(*(c.to_pylist() for c in b.columns)):
                 yield _batch([_row(s, doc_id, text or "", s.fingerprint(text or ""), following or "", s.fingerprint(following or ""))], ROW)

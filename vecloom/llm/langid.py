@@ -104,7 +104,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, temper
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(contents)  # bounded: max_languages dictionaries of dict_chars characters
 
-    key = f"langid-{hash(tuple(contents))}-{level}"
+    key = (tuple(contents), level)
 
     def classify(text):
         if text is None or not names:
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, temper
         t = fold(text)
         if not t.strip():
             return UNKNOWN, 0.0, 0.0
-        sizes = code_lengths(worker_cache(key, lambda: compressors(shipped.value, level)), t)
+        sizes = code_lengths(worker_cache("langid", key, lambda: compressors(shipped.value, level)), t)
         best = min(sizes)
         score = 1 / sum(2.0 ** (-8 * temper * min(s - best, 2000)) for s in sizes)
         second = sorted(sizes)[1] if len(sizes) > 1 else best * 2

@@ -91,69 +91,120 @@ class Encoder:
     """Whole texts to ids with a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer never joins characters over a single space between two characters that are not white space: the
-    space begins the next pre-token.  So texts are cut there, every different piece is encoded once by the library,
-    and the pieces' ids are put together.
+    space begins the next pre-token.  So texts are cut there, every different piece of a batch is encoded once by the
+    library, and the pieces' ids are put together.  One closing mark after letters is a pre-token of its own, so
+    'word,' shares the ids of 'word'.
+
+    Of the pieces, those of at most `longest` characters are kept: the first limit / 2 of them, then those that come a
+    second time, up to `limit`.
     """
 
-    def __init__(self, path: str, dtype: str, limit: int = 600_000):
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str, dtype: str, limit: int = 600_000, longest: int = 12):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.dtype, self.limit, self.known, self.heads = dtype, limit, {}, {}
         import numpy as np
-
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = self.words.encode_special_tokens = True
+        # Latin letters after a space are one pre-token: the same model gets them in its own spelling of bytes, parted already
+        self.words.pre_tokenizer = WhitespaceSplit()
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(0xA0, 0x250)}
+        self.dtype, self.limit, self.longest = dtype, limit, longest
+        self.known, self.heads, self.seen = {}, {}, np.zeros(1 << 23, bool)
+        self.marks = dict(zip(self.MARKS, self.ids([*self.MARKS])))
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
 
+    def spell(self, word: str) -> str:
+        return "\u0120" + (word if word.isascii() else word.translate(self.spelling))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of ' ' + piece for each: one long text, parted at the tokens that begin with a space."""
+    def spaced_ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of ' ' + piece for each: long texts of many pieces, parted at the tokens that begin with a space."""
         import numpy as np
 
-        plain = [x for x in pieces if " " not in x]
-        out = {x: i for x, i in zip(odd, self.ids([" " + x for x in odd]))} if (odd := [x for x in pieces if " " in x]) else {}
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        out = {}
+        odd = [x for x in pieces if " " in x]
+        if odd:
+            out.update(zip(odd, self.ids([" " + x for x in odd])))
+            pieces = [x for x in pieces if " " not in x]
+        latin = [x for x in pieces if x.isalpha() and max(x) < "\u0250"]
+        done = set(latin)
+        rest = [x for x in pieces if x not in done]
+        for text, kind, part in [
+            *((" ".join(self.spell(x) for x in q), self.words, q) for at in range(0, len(latin), 20_000) if (q := latin[at : at + 20_000])),
+            *((" " + " ".join(q), self.tok, q) for at in range(0, len(rest), 20_000) if (q := rest[at : at + 20_000])),
+        ]:
+            ids = np.array(kind.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             begin = np.flatnonzero(self.spaced[ids])
             if len(begin) != len(part):
                 out.update(zip(part, self.ids([" " + x for x in part])))
                 continue
             raw, w = ids.tobytes(), ids.itemsize
-            ends = [*(begin[1:] * w).tolist(), len(raw)]
-            out.update(zip(part, (raw[a:b] for a, b in zip((begin * w).tolist(), ends))))
-        return [out[x] for x in pieces]
+            at_byte = (begin * w).tolist()
+            out.update(zip(part, map(raw.__getitem__, map(slice, at_byte, [*at_byte[1:], len(raw)]))))
+        return out
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known; some of them are known from now on."""
+        import numpy as np
+
+        known, marks = self.known, self.marks
+        whole, stems = [], {}
+        for x in new:
+            if x[-1:] in marks and (stem := x[:-1]).isalpha():
+                stems[x] = stem
+            else:
+                whole.append(x)
+        need = set(stems.values()).difference(known)
+        got = self.spaced_ids([*need.union(whole)])
+        get = lambda stem: got[stem] if stem in got else known[stem]
+        got.update({x: get(stem) + marks[x[-1]] for x, stem in stems.items()})
+        if len(known) < self.limit:
+            keep = [x for x in got if len(x) <= self.longest]
+            at = np.fromiter(map(hash, keep), np.int64, len(keep)) & (len(self.seen) - 1)
+            if len(known) < self.limit // 2:
+                known.update({x: got[x] for x in keep})
+            else:
+                known.update({keep[i]: got[keep[i]] for i in np.flatnonzero(self.seen[at]).tolist()})
+            self.seen[at] = True
+        return got
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         import re
 
-        if re.search(r"\s\s", text) or text[:1].isspace() or text[-1:].isspace():
-            return re.split(r"(?<=\S) (?=\S)", text)
-        return text.split(" ")
+        # only spaces and line ends are white space, and none of them next to a space: every space is a cut
+        if text.replace("\n", "").isprintable() and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
+            return text.split(" ")
+        return re.split(r"(?<=\S) (?=\S)", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, heads = self.known, self.heads
-        if len(known) > self.limit:
-            known.clear()
-        if len(heads) > self.limit // 4:
+        if len(heads) > 50_000:
             heads.clear()
         cut = [self.pieces(t) for t in texts]
         new = list({p[0] for p in cut}.difference(heads))
         heads.update(zip(new, self.ids(new)))
         first = [heads[p[0]] for p in cut]
         rest = [p[1:] for p in cut]
-        new = list(set().union(*rest).difference(known))
-        known.update(zip(new, self.spaced_ids(new)))
-        return [a + b"".join(map(known.__getitem__, r)) for a, r in zip(first, rest)]
+        found = [list(map(known.get, r)) for r in rest]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        got = self.learn({r[i] for r, g in zip(rest, gaps) for i in g})
+        for r, f, g in zip(rest, found, gaps):
+            for i in g:
+                f[i] = got[r[i]]
+        return [a + b"".join(f) for a, f in zip(first, found)]
 
 
 def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -169,15 +220,15 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        enc = worker_cache(f"token-store-{path}", lambda: Encoder(path, dtype))
-        gear = worker_cache(f"gear-{size}", lambda: gear_table(max(size, end_id + 1)))
-        pack, end = zstandard.ZstdCompressor(level=3), np.array([end_id], dtype).tobytes()
+        enc = worker_cache("token-store", path, lambda: Encoder(path, dtype))
+        gear = worker_cache("gear", size, lambda: gear_table(max(size, end_id + 1)))
+        pack, end = zstandard.ZstdCompressor(level=1), np.array([end_id], dtype).tobytes()
         uid, w = TaskContext.get().partitionId() << 36, np.dtype(dtype).itemsize
         for b in batches:
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 64):
+            for at in range(0, len(texts), 256):
                 n, root, digests, sizes, payload, uids = [], [], [], [], [], []
-                for raw in enc.encode(texts[at : at + 64]):
+                for raw in enc.encode(texts[at : at + 256]):
                     raw += end
                     ends = cut_points(np.frombuffer(raw, dtype), gear)
                     begins = [0, *ends[:-1]]
@@ -186,7 +237,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                     root.append(merkle_root(d)), payload.append(pack.compress(raw)), uids.append(uid)
                     uid += 1
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + 64], pa.array(uids, pa.int64()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(payload, pa.binary())],
+                    [ids[at : at + 256], pa.array(uids, pa.int64()), pa.array(n, pa.int32()), pa.array(root, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(payload, pa.binary())],
                     names=["doc_id", "uid", "n", "root", "digests", "sizes", "payload"],
                 )
 
@@ -231,7 +282,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        z, unz = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        z, unz = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         told = (None, [], [])
         schema = None
         for b in batches:

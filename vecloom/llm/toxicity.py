@@ -47,7 +47,7 @@ def fold(text: str) -> str:
     if not t.isascii():
         import unicodedata
 
-        t = unicodedata.normalize("NFKC", t).translate(worker_cache("tox-fold", fold_table))
+        t = unicodedata.normalize("NFKC", t).translate(worker_cache("tox-fold", 0, fold_table))
         t = re.sub("[­​-‍⁠﻿]", "", t)
     subs = dict(zip(SUBSTITUTES[::2], SUBSTITUTES[1::2]))
     cls = re.escape("".join(subs))
