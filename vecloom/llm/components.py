@@ -14,7 +14,7 @@ from .common import discard, stage
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges(u long, v long) -> node, root: for every node with an edge to another node the smallest node reachable.
+    """edges(u long, v long) -> node, root: the smallest node reachable, for every node that can reach a smaller one.
 
     Null ends, loops and repeated edges are ignored; an empty table gives no rows.
     """

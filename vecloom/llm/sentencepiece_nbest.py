@@ -131,16 +131,19 @@ class Pieces:
 
 
 def nbest(into: list[list[tuple[int, object, int]]], n: int) -> list[tuple[int, list]]:
-    """The n best paths of a lattice as (score, [(start, end, ids), ...]): Viterbi forward, A-star backward."""
+    """The n best paths of a lattice as (score, [(start, end, ids), ...]): Viterbi forward, A-star backward.
+
+    Of equal promises the one nearest to the start goes first, so a lattice of many equal paths costs n paths only.
+    """
     import heapq
 
     size = len(into)
     best = [0] + [None] * (size - 1)
     for j in range(1, size):
         best[j] = max((best[i] + s for i, _, s in into[j] if best[i] is not None), default=None)
-    heap, made, out = [(-(best[-1] or 0), 0, size - 1, 0, None)], 0, []
+    heap, made, out = [(-(best[-1] or 0), size - 1, 0, 0, None)], 0, []
     while heap and len(out) < n:
-        total, _, j, behind, path = heapq.heappop(heap)
+        total, j, _, behind, path = heapq.heappop(heap)
         if j == 0:
             steps = []
             while path is not None:
@@ -151,7 +154,7 @@ def nbest(into: list[list[tuple[int, object, int]]], n: int) -> list[tuple[int,
         for i, ids, s in into[j]:
             if best[i] is not None:
                 made += 1
-                heapq.heappush(heap, (-(best[i] + s + behind), made, i, behind + s, ((i, j, ids), path)))
+                heapq.heappush(heap, (-(best[i] + s + behind), i, made, behind + s, ((i, j, ids), path)))
     return out
 
 
@@ -165,7 +168,7 @@ def solve(units: list[str], v: Pieces) -> tuple[list[list[int]], "np.ndarray", "
     at = 0
     while at < len(order):
         to = at + 1
-        while to < len(order) and (to - at + 1) * (len(units[order[to]]) + 1) <= 400_000:
+        while to < len(order) and (to - at + 1) * (len(units[order[to]]) + 1) <= 100_000:
             to += 1
         part = order[at:to]
         at = to
@@ -272,37 +275,48 @@ def units_of(text: str) -> list[str]:
 
 
 class Segmenter:
-    """Encodes and decodes whole texts; solved units are kept up to `limit`."""
+    """Encodes and decodes whole texts.
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.v, self.limit = Pieces(path), limit
-        self.clear()
+    The first `limit` units of at most `longest` characters stay solved (frequent units come early); the others are
+    solved anew in each batch of texts that has them.
+    """
 
-    def clear(self):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 12):
         import numpy as np
 
+        self.v, self.limit, self.longest = Pieces(path), limit, longest
         self.known, self.ids, self.score, self.loss = {}, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: set[str]) -> list[str]:
+        """Solve what is not known; returns the units that are to be forgotten after the batch."""
         import array
 
         import numpy as np
 
-        if len(self.known) > self.limit:
-            self.clear()
-        new = list(units.difference(self.known))
+        new = sorted(units.difference(self.known), key=len)
+        keep = 0
+        while keep < len(new) and len(new[keep]) <= self.longest and len(self.known) + keep < self.limit:
+            keep += 1
         if new:
             ids, score, loss = solve([MARK + u for u in new], self.v)
             self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
             self.ids += [array.array("H", x).tobytes() for x in ids]
             self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+        return new[keep:]
+
+    def forget(self, units: list[str]) -> None:
+        for u in units:
+            del self.known[u]
+        n = len(self.known)
+        del self.ids[n:]
+        self.score, self.loss = self.score[:n].copy(), self.loss[:n].copy()
 
     def encode(self, texts: list[str], n_best: int) -> list[tuple]:
         """(ids as 16-bit bytes, score, [(loss, [(unit, ids), ...]), ...]) of each text, the best segmentation first."""
         import numpy as np
 
         cut = [units_of(t) for t in texts]
-        self.learn(set().union(*cut))
+        passing = self.learn(set().union(*cut))
         out = []
         for units in cut:
             if not units:
@@ -313,6 +327,7 @@ class Segmenter:
             loss = self.loss[at]
             few = np.sort(np.argpartition(loss, n_best - 2)[: n_best - 1] if len(units) >= n_best > 1 else np.arange(len(units) if n_best > 1 else 0))
             out.append((raw, int(self.score[at].sum()), self.alternatives([(int(k), units[k]) for k in few], n_best)))
+        self.forget(passing)
         return out
 
     def alternatives(self, few: list[tuple[int, str]], n: int) -> list[tuple[int, list]]:
@@ -358,11 +373,11 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep_ids: bool = True) -
         import numpy as np
         import pyarrow as pa
 
-        seg = worker_cache(f"segmenter-{path}", lambda: Segmenter(path))
+        seg = worker_cache("segmenter", path, lambda: Segmenter(path))
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))]))), pa.string()]
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
                 rows, wide = [], []
                 for raw, score, alts in seg.encode(texts, n_best):
