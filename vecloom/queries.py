@@ -347,7 +347,7 @@ def refresh_incremental_equals_full(s: SparkSession, d: str) -> DataFrame:
 @query(
     "sq8_range",
     "WITH p AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS rows, least(count(*) OVER (), 1563) AS take FROM embeddings), "
-    "e AS (SELECT unnest(embedding) AS x FROM p WHERE pos = ceil(pos * take / rows) * rows // take), n AS (SELECT *, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS c FROM e), "
+    "e AS (SELECT unnest(embedding) AS x FROM p WHERE floor(ceil(pos * take / rows) * rows / take) = pos), n AS (SELECT *, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS c FROM e), "
     "b AS (SELECT max(x) FILTER (i = floor(0.001 * (c - 1))) AS lo, max(x) FILTER (i = ceil(0.999 * (c - 1))) AS hi FROM n) SELECT lo::DOUBLE AS lo, ((hi - lo)::FLOAT / 255::FLOAT)::FLOAT::DOUBLE AS scale FROM b",
 )
 def sq8_range(s: SparkSession, d: str) -> DataFrame:
