@@ -198,7 +198,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                             out.append((ident(head["WARC-Record-ID"]), n, digest, kind, ident(head["WARC-Refers-To"]) if kind == "revisit" else None, head["WARC-Target-URI"]))
                         yield _rows(READ, out)
 
-    return index.select("archive").distinct().mapInArrow(read, READ)
+    names = index.select("archive").distinct()
+    return names.repartition(max(1, names.count())).mapInArrow(read, READ)  # a task for each archive
 
 
 def read_record(index: DataFrame, page_id: int) -> tuple[dict, bytes]:
