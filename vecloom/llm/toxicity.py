@@ -140,7 +140,8 @@ def fit(
     spark = docs.sparkSession
     labelled = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows)
-    sample = stage(docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "tox-sample")
+    # picked has at most max_rows rows of two numbers
+    sample = stage(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "tox-sample")
     totals = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = totals.get(1, 0), sum(v for k, v in totals.items() if k != 1)
     if not n1:
