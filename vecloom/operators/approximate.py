@@ -19,11 +19,11 @@ GRAPH = "shard int, pos int, id long, vec array<float>, level int, links array<a
 SQ8_SAMPLE = 100_000
 
 
-def shards_for(count: int, shard_rows: int = 50_000) -> int:
+def shards_for(count: int, shard_rows: int = 10_000) -> int:
     return max(1, -(-count // shard_rows))
 
 
-def build_graph(rows: DataFrame, metric: str, count: int, m: int = 16, ef_construction: int = 200, shard_rows: int = 50_000) -> DataFrame:
+def build_graph(rows: DataFrame, metric: str, count: int, m: int = 16, ef_construction: int = 200, shard_rows: int = 10_000) -> DataFrame:
     """rows(id, vec) -> GRAPH; node numbers are positions in id order within the shard.  A repeated id is an error."""
     n = shards_for(count, shard_rows)
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "id", F.col("vec").cast("array<float>").alias("vec"))
