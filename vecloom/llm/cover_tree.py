@@ -52,7 +52,7 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, h binary, dim int, v binary")
 
 
-def net(m, radius: float, order=None):
+def net(m, radius: float):
     """Greedy cover: (positions of centres, for each row the number of its centre); the first row is a centre."""
     import numpy as np
 
