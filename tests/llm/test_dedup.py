@@ -139,3 +139,16 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(n * 100 + i, f"line on {n} sites\nown {n} {i} and more text", f"site{i}", None) for n in range(2, 9) for i in range(n)]
     bad, _ = line_spread.boilerplate_lines(spark.createDataFrame(rows, DOCS), min_sites=5)
     assert sorted(r.sites for r in bad.collect()) == [5, 6, 7, 8]
+
+
+def test_spread_lines_leave_short_pages_and_lines_of_copies_stay(spark):
+    head, foot = "All rights reserved by the owner", "Read our terms of use before you go on"
+    rows = [(i, f"{head}\nshort {i}\n{foot}", f"s{i % 6}", None) for i in range(12)]
+    story = [f"line {k} of a story that nine sites print " + " ".join(f"w{k}{j}" for j in range(12)) for k in range(6)]
+    rows += [(100 + i, "\n".join([*story, f"printed by {i}"]), f"s{i}", None) for i in range(9)]
+    rows += [(200, f"{head}\n{foot}", "s1", None), (201, None, "s1", None), (202, f"{head}\nlonger text of its own " + "x" * 90, None, None), (None, f"{head}\nshort\n{foot}", "s2", None), (0, rows[0][1], "s0", None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.clean_text, r.n_removed) for r in line_spread.remove_boilerplate(df, fold_copies=True).collect() if r.text is not None)
+    want = [(-1, "short", 2), (0, "short 0", 2), *((i, f"short {i}", 2) for i in range(12)), *((100 + i, rows[12 + i][1], 0) for i in range(9)), (200, "", 2), (202, "longer text of its own " + "x" * 90, 1)]
+    assert got == sorted(want)
+    assert line_spread.remove_boilerplate(df.limit(0), fold_copies=True).collect() == []

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import stage
+from .components import components
+from .near_copies import text_key
 
 
 def lines_of(text: Column) -> Column:
@@ -25,14 +28,17 @@ def line_key(line: Column) -> Column:
     return F.when(t != "", F.xxhash64(t, F.length(t)))
 
 
+def site_of(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text, source) -> (boilerplate(line, sites), lines(doc_id, site, line)), both by line hash.
 
     sites is the exact count for lines near the threshold, else the rounded estimate.
     """
-    site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
     lines = stage(
-        docs.select("doc_id", site.alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
+        docs.select("doc_id", site_of(F.col("source")).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
         .where("line is not null"),
         "lines",
     )
@@ -47,11 +53,30 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = 5, band: float = 0.25, l
     return sure.unionByName(exact), lines
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, max_share: float = 0.5) -> DataFrame:
+def independent_lines(suspects: DataFrame, lines: DataFrame, min_sites: int) -> DataFrame:
+    """Bad lines of suspects(key, text, site, bad) that copying doesn't explain: line.
+
+    Near copies among the suspects are one document, which counts for one of its sites; all other documents count for
+    their own.  A line stays bad if it then still stands on `min_sites` sites.
+    """
+    texts = suspects.groupBy("key").agg(F.first("text").alias("text"))
+    roots = components(stage(near_copies.links(texts), "suspect-links"))
+    held = suspects.join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "site", F.explode("bad").alias("line"))
+    held = stage(held.groupBy("line", "site", "root").count(), "suspect-lines")
+    inside = held.groupBy("line", "site").agg(F.sum("count").alias("inside"))
+    every = lines.join(held.select("line").distinct(), "line", "left_semi").groupBy("line", "site").count()
+    carried = stage(every.join(inside, ["line", "site"], "left").where(F.col("count") > F.coalesce("inside", F.lit(0))).select("line", "site"), "carried")
+    groups = held.join(carried, ["line", "site"], "left_anti").groupBy("line").agg(F.countDistinct("root").alias("groups"), F.countDistinct("site").alias("more"))
+    n = F.coalesce("own", F.lit(0)) + F.coalesce(F.least("groups", "more"), F.lit(0))
+    return carried.groupBy("line").agg(F.count("*").alias("own")).join(groups, "line", "full_outer").where(n >= min_sites).select("line")
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, max_share: float = 0.5, fold_copies: bool = False) -> DataFrame:
     """docs with `text` cleaned, and the columns n_lines, n_removed, clean_text; text itself is left as it was.
 
     A document that boilerplate would cost more than `max_share` of its characters is itself a copy, not a carrier of
-    boilerplate: it keeps all its lines (near-duplicate removal decides about it).  Null text stays null with no lines;
+    boilerplate: it keeps all its lines (near-duplicate removal decides about it).  With `fold_copies` it keeps only those that copying
+    explains: lines that reach `min_sites` sites only while near copies count as several documents.  Null text stays null with no lines;
     an empty text has one blank line.  A null source is a site of its own.  Repeated rows are treated alike.  Other
     columns pass through; clashing names among the three added ones are replaced.
     """
@@ -67,6 +92,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25,
     d = d.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept).otherwise(split))
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     d = d.withColumn("__use", chars(F.col("__kept")) >= F.lit(1 - max_share) * chars(split))
+    if fold_copies:
+        d = stage(d.withColumn("__row", text_key(F.col("text"))), "line-marked")
+        own = F.coalesce(F.col("__use") | F.col("__bad").isNull(), F.lit(True))
+        suspects = d.where(~own)
+        proven = independent_lines(suspects.select(F.col("__row").alias("key"), "text", site_of(F.col("source")).alias("site"), F.col("__bad").alias("bad")), lines, min_sites)
+        loose = suspects.select("__row", F.explode("__bad").alias("line")).distinct().join(proven, "line").groupBy("__row").agg(F.collect_set("line").alias("__bad"))
+        again = suspects.drop("__bad", "__kept", "__use").join(loose, "__row", "left")
+        again = again.withColumn("__kept", F.when(F.col("__bad").isNotNull(), F.filter(split, lambda x: ~is_bad(x))).otherwise(split)).withColumn("__use", F.lit(True))
+        d = d.where(own).unionByName(again).drop("__row")
     clean = F.when(F.col("__use") & F.col("__bad").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
     removed = F.when(F.col("__use"), F.size(split) - F.size("__kept")).otherwise(0).cast("long")
