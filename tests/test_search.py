@@ -253,3 +253,16 @@ def test_queries_and_entry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 75
     assert q["recall_report"](spark, "/root/testdata/sf0.001").agg(F.min("recall")).first()[0] >= 0.9
+
+
+def test_near_duplicates_take_every_row_as_a_query(spark, data):
+    from vecloom.operators import recipes
+    from vecloom.queries import QUERIES
+
+    ids, x, _ = data
+    near = brute(ids, x, x, "cosine", 2)
+    want = {(q, i) for q, v in near.items() for i, s in v if s >= 0.3 and q < i}
+    assert {(r.qid, r.id) for r in recipes.all_near_duplicates(table(spark, ids, x), 0.3).collect()} == want
+    assert sum(q % 50 != 0 for q, _ in want) > 50
+    found = QUERIES["recipe_near_duplicates_all"](spark, "/root/testdata/sf0.1").select("qid", "id").collect()
+    assert len(found) == 990 and len(set(found)) == 990

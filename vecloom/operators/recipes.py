@@ -42,3 +42,9 @@ def near_duplicates(rows: DataFrame, queries: DataFrame, threshold: float, k: in
     found = scan(rows, queries, k, metric)
     near = F.col("score") >= threshold if not METRICS[metric][1] else F.col("score") <= threshold
     return found.where(near & (F.col("qid") < F.col("id"))).select("qid", "id", "score")
+
+
+def all_near_duplicates(rows: DataFrame, threshold: float, k: int = 2, metric: str = "cosine") -> DataFrame:
+    """near_duplicates with every row as a query, so that qid < id only drops the second finding of a pair."""
+    ok = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    return near_duplicates(rows, ok.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), threshold, k, metric)

@@ -315,6 +315,9 @@ query("recipe_post_filter", f"SELECT qid, id, score, rn AS rank FROM (SELECT qid
 query("recipe_near_duplicates", f"SELECT qid, id, score FROM ({knn_sql(metric='cosine', k=2)}) WHERE score >= 0.3 AND qid < id")(
     lambda s, d: recipes.near_duplicates(emb(s, d), asked(s, d), 0.3).select("qid", "id", F.round("score", 6).alias("score"))
 )
+query("recipe_near_duplicates_all", f"SELECT qid, id, score FROM ({knn_sql(metric='cosine', k=2).replace(' WHERE vec_id % 50 = 0', '')}) WHERE score >= 0.3 AND qid < id")(
+    lambda s, d: recipes.all_near_duplicates(emb(s, d), 0.3).select("qid", "id", F.round("score", 6).alias("score"))
+)
 query(
     "recipe_centroid_diff",
     "WITH c AS (SELECT i, avg(embedding[i]::DOUBLE) FILTER (label = 1) - avg(embedding[i]::DOUBLE) FILTER (label = 2) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i), "
