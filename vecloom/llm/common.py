@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words in every contract: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,9 +37,66 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Innermost last: the owners that take what stage() writes.
+_OWNERS: list["Temporary"] = []
+
+
+class Temporary:
+    """Owns the tables staged inside its `with` block and deletes them at its end, but for those it was told to keep.
+
+    What is kept goes to the next owner outside.  Without an owner a table stays until discard_all() or the end of
+    the interpreter: results are lazy, so only the caller knows when nothing reads it any more.
+    """
+
+    def __init__(self):
+        self.staged: dict[str, SparkSession] = {}
+
+    def __enter__(self) -> "Temporary":
+        _OWNERS.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        spark = self.staged.pop(df._staged_path)
+        at = _OWNERS.index(self)
+        (_OWNERS[at - 1] if at else _LASTING).staged[df._staged_path] = spark
+        return df
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+        self.discard()
+
+    def discard(self) -> None:
+        for path, spark in self.staged.items():
+            _delete(spark, path)
+        self.staged.clear()
+
+
+_LASTING = Temporary()
+
+
+def discard_all() -> None:
+    """Delete every table that was staged and is still there; results that read them can't be read any more."""
+    _LASTING.discard()
+
+
+@atexit.register
+def _at_exit() -> None:
+    from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is not None:
+        with contextlib.suppress(Exception):
+            discard_all()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
+    (_OWNERS[-1] if _OWNERS else _LASTING).staged[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -45,9 +105,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
-    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for owner in (*_OWNERS, _LASTING):
+        owner.staged.pop(df._staged_path, None)
+    _delete(df.sparkSession, df._staged_path)
+
+
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """df with a hint by its counted rows: broadcast up to `most` of them, a sort-merge join beyond."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

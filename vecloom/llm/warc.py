@@ -15,7 +15,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, sent, stage
 
 #: Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -25,20 +25,28 @@ INDEX = "page_id long, record_id string, archive string, frame int, offset int,
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
 
 
-def revisit_plan(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def repeated_payloads(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+    """pages(page_id, html) -> d, n, last: digest and length of the payloads that occur more than once, and the largest page_id.
+
+    Staged; only digests, lengths and ids are shuffled.
+    """
+    payload = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
+    facts = pages.select("page_id", F.unhex(F.sha1(payload)).alias("d"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
+    many = facts.groupBy("d", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null")
+    return stage(many.select("d", "n", "last"), "warc-repeated")
+
+
+def revisit_plan(pages: DataFrame, min_bytes: int = 1000, few: int = 200_000) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, payload, digest, refers_to.
 
-    Only payloads that occur more than once are joined back; equal payloads are told by SHA-1 and length.
+    Equal payloads are told by SHA-1 and length.  Up to `few` repeated payloads (counted; some 80 bytes each) go to the
+    executors by broadcast, so no payload is shuffled; more of them meet the payloads in a shuffle join.
     """
+    many = repeated_payloads(pages, min_bytes)
+    many = sent(many, few)
     p = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
-    big = p.where(F.octet_length("payload") >= min_bytes)
-    many = (
-        big.groupBy(F.col("digest").alias("d"), F.octet_length("payload").alias("n"))
-        .agg(F.max("page_id").alias("last"), F.count("*").alias("c"))
-        .where("c > 1").drop("c")
-    )
-    j = p.join(many, (F.col("digest") == F.col("d")) & (F.octet_length("payload") == F.col("n")), "left")
+    j = p.join(many, (F.unhex("digest") == F.col("d")) & (F.octet_length("payload") == F.col("n")), "left")
     return j.select("page_id", "url", "payload", "digest", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
 
 
@@ -218,7 +226,7 @@ def archive(pages: DataFrame, min_bytes: int = 1000, **how) -> tuple[DataFrame,
 
     Of records with equal payloads of at least min_bytes the one with the largest page_id is the response and the
     others revisit it.  Null html: an empty payload.  Null url: an empty target.  Null page_id: record id
-    <urn:page:null>, never a revisit's target.  Repeated rows: each is a record, those with the largest id all
+    <urn:page:null>, always a response and never a revisit's target.  Repeated rows: each is a record, those with the largest id all
     responses.  Empty table: no archives.  Other columns are ignored.
     """
     index = write_archives(revisit_plan(pages, min_bytes), new_path(pages.sparkSession, "warc"), **how)
