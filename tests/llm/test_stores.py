@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,8 +117,23 @@ def test_targets_and_taken_words(spark):
         assert abs(sum(r.taken for r in mine) - want[n]) <= 1
     assert all(r.taken <= 3 * r.size for r in got) and len(got) == len(rows)
     assert mixing.mix(df.limit(0)).collect() == []
-    whole = mixing.mix(df, whole_documents=True).collect()
-    assert all(r.taken == r.repeats * r.size for r in whole)
+
+
+def test_whole_documents_meet_the_targets_and_null_ids_are_their_own(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 60), rng.choice(["a", "b", "b", "b", "b", "c", None])) for i in range(900)]
+    rows += [(None, f"n{i} words of a row without id", s) for i in range(3) for s in "abc"] + [(5, "another text of an id", "a"), (950, None, "a"), (951, "  ", "b"), (952, "w " * 20_000, "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("clash"))
+    got = mixing.mixed(df).collect()
+    assert Counter(got) == Counter(mixing.mixed(df.repartition(7)).collect()) and got[0].target == "clash"
+    target = {r.source: (r.target, r.source_size) for r in mixing.mix(df.drop("target")).collect()}
+    for name, (goal, size) in target.items():
+        mine = [r for r in got if r.source == name]
+        longest = max(len((t or "").split()) for _, t, s in rows if s == name)
+        assert abs(sum(len((r.text or "").split()) for r in mine) - goal) <= longest / 2 + 1
+        times = Counter((r.doc_id, r.text) for r in mine)
+        assert all(int(goal // size) <= times[i, t] <= int(goal // size) + 1 for i, t, s in rows if s == name)
+    assert mixing.mixed(df.limit(0)).collect() == []
 
 
 def test_queries_run_over_whole_tables(spark):

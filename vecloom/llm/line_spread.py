@@ -33,12 +33,13 @@ def site_of(source: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text, source) -> (boilerplate(line, sites), lines(doc_id, site, line)), both by line hash.
+    """docs(text, source) -> (boilerplate(line, sites), lines(key, site, line)): hashes of lines, of whole texts.
 
-    sites is the exact count for lines near the threshold, else the rounded estimate.
+    sites is the exact count for lines near the threshold, else the rounded estimate.  Null texts and blank lines have
+    no part; a null source is a site of its own; a row that stands twice changes nothing.  Empty table: no rows.
     """
     lines = stage(
-        docs.select("doc_id", site_of(F.col("source")).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
+        docs.select(text_key(F.col("text")).alias("key"), site_of(F.col("source")).alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("line"))
         .where("line is not null"),
         "lines",
     )
@@ -60,7 +61,7 @@ def independent_lines(suspects: DataFrame, lines: DataFrame, min_sites: int) ->
     their own.  A line stays bad if it then still stands on `min_sites` sites.
     """
     texts = suspects.groupBy("key").agg(F.first("text").alias("text"))
-    roots = components(stage(near_copies.links(texts), "suspect-links"))
+    roots = components(near_copies.links(texts))
     held = suspects.join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "site", F.explode("bad").alias("line"))
     held = stage(held.groupBy("line", "site", "root").count(), "suspect-lines")
     inside = held.groupBy("line", "site").agg(F.sum("count").alias("inside"))
@@ -71,37 +72,36 @@ def independent_lines(suspects: DataFrame, lines: DataFrame, min_sites: int) ->
     return carried.groupBy("line").agg(F.count("*").alias("own")).join(groups, "line", "full_outer").where(n >= min_sites).select("line")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, max_share: float = 0.5, fold_copies: bool = False) -> DataFrame:
-    """docs with `text` cleaned, and the columns n_lines, n_removed, clean_text; text itself is left as it was.
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, copy_share: float | None = None) -> DataFrame:
+    """docs with the columns n_lines, n_removed, clean_text; text itself is left as it was.
 
-    A document that boilerplate would cost more than `max_share` of its characters is itself a copy, not a carrier of
-    boilerplate: it keeps all its lines (near-duplicate removal decides about it).  With `fold_copies` it keeps only those that copying
-    explains: lines that reach `min_sites` sites only while near copies count as several documents.  Null text stays null with no lines;
-    an empty text has one blank line.  A null source is a site of its own.  Repeated rows are treated alike.  Other
-    columns pass through; clashing names among the three added ones are replaced.
+    Every line that stands on `min_sites` sites goes, however much of its document it is.  With `copy_share` a document
+    that would lose over that share of its characters is looked at once more, since copies of one document on many
+    sites spread all their lines: it loses the lines that reach `min_sites` sites when near copies among such documents
+    count as one, and keeps those that only copying spreads.
+
+    Null text stays null with no lines; an empty text has one blank line; a document of boilerplate only becomes
+    empty.  A null source is a site of its own.  Repeated rows, and rows of equal or null id, are treated alike by their
+    text.  Empty table: no rows.  Other columns pass through; clashing names among the three added ones are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed", "clean_text")
     bad, lines = boilerplate_lines(docs, min_sites, band, lg_k)
-    hits = (
-        lines.join(bad.select("line"), "line").groupBy("doc_id").agg(F.collect_set("line").alias("__bad"))
-        .withColumnRenamed("doc_id", "__id")
-    )
-    d = docs.drop("n_lines", "n_removed", "clean_text").join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    hits = lines.join(bad.select("line"), "line").groupBy("key").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("key", "__hit")
+    d = docs.withColumn("__row", text_key(F.col("text"))).join(hits, F.col("__row") == F.col("__hit"), "left").drop("__hit")
     split = lines_of(F.col("text"))
     is_bad = lambda x: F.coalesce(F.array_contains(F.col("__bad"), line_key(x)), F.lit(False))
-    kept = F.filter(split, lambda x: ~is_bad(x))
-    d = d.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept).otherwise(split))
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    d = d.withColumn("__use", chars(F.col("__kept")) >= F.lit(1 - max_share) * chars(split))
-    if fold_copies:
-        d = stage(d.withColumn("__row", text_key(F.col("text"))), "line-marked")
-        own = F.coalesce(F.col("__use") | F.col("__bad").isNull(), F.lit(True))
-        suspects = d.where(~own)
+    kept = F.when(F.col("__bad").isNotNull(), F.filter(split, lambda x: ~is_bad(x))).otherwise(split)
+    d = d.withColumn("__kept", kept)
+    if copy_share is not None:
+        chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+        d = stage(d.withColumn("__own", F.coalesce(chars(F.col("__kept")) >= F.lit(1 - copy_share) * chars(split), F.lit(True))), "line-marked")
+        suspects = d.where(~F.col("__own"))
         proven = independent_lines(suspects.select(F.col("__row").alias("key"), "text", site_of(F.col("source")).alias("site"), F.col("__bad").alias("bad")), lines, min_sites)
         loose = suspects.select("__row", F.explode("__bad").alias("line")).distinct().join(proven, "line").groupBy("__row").agg(F.collect_set("line").alias("__bad"))
-        again = suspects.drop("__bad", "__kept", "__use").join(loose, "__row", "left")
-        again = again.withColumn("__kept", F.when(F.col("__bad").isNotNull(), F.filter(split, lambda x: ~is_bad(x))).otherwise(split)).withColumn("__use", F.lit(True))
-        d = d.where(own).unionByName(again).drop("__row")
-    clean = F.when(F.col("__use") & F.col("__bad").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
+        again = suspects.drop("__bad", "__kept").join(loose, "__row", "left").withColumn("__kept", kept)
+        d = d.where(F.col("__own")).unionByName(again)
+    clean = F.when(F.col("__bad").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    removed = F.when(F.col("__use"), F.size(split) - F.size("__kept")).otherwise(0).cast("long")
-    return d.withColumn("n_lines", n).withColumn("n_removed", removed).withColumn("clean_text", clean).drop("__id", "__bad", "__kept", "__use")
+    removed = F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long")
+    out = d.withColumn("n_lines", n).withColumn("n_removed", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(removed)).withColumn("clean_text", clean)
+    return out.select(*docs.columns, "n_lines", "n_removed", "clean_text")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, Temporary, sent, stage
 
 
 def word_count(text: Column) -> Column:
@@ -53,14 +53,12 @@ def mix(
     max_epochs: float = 3.0,
     seed: int = 7,
     buckets: int = 4096,
-    whole_documents: bool = False,
 ) -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, repeats, taken.
 
     `repeats`: whole passes that take the document.  `taken`: words taken, repeats counted; the last document of the
     fractional pass is cut at the word where its source reaches the target, so a source misses its target by less than
-    one word.  With `whole_documents` that document is taken whole if at least half of it is within, and `repeats`
-    tells all.  Reruns agree: the order in the fractional pass is that of md5(seed, doc_id).
+    one word.  Reruns agree: the order in the fractional pass is that of md5(seed, doc_id).
 
     Null text: size 0, taken 0.  Null source: a source of its own, the last.  Null doc_id: an id of its own.  Repeated
     rows count one by one.  Empty table: no rows.  Other columns are ignored.
@@ -89,10 +87,50 @@ def mix(
         .withColumn("whole", whole)
         .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long") - F.col("before") - F.col("inside"))
     )
-    if whole_documents:
-        repeats = F.col("whole") + F.when((F.col("size") > 0) & (F.col("rest") * 2 >= F.col("size")), 1).otherwise(0)
-        taken = repeats * F.col("size")
-    else:
-        repeats = F.col("whole") + F.when((F.col("size") > 0) & (F.col("rest") >= F.col("size")), 1).otherwise(0)
-        taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("rest"), F.col("size")))
+    repeats = F.col("whole") + F.when((F.col("size") > 0) & (F.col("rest") >= F.col("size")), 1).otherwise(0)
+    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("rest"), F.col("size")))
     return out.select("doc_id", "source", "size", "source_size", "target", repeats.cast("long").alias("repeats"), taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7, few: int = 100_000) -> DataFrame:
+    """docs(doc_id, text, source, ...), each row as many times as the mix takes it, whole documents only.
+
+    The order in the fractional pass is that of (md5(seed, doc_id), doc_id, hash of the text).  It takes the rows of a
+    source up to the last one of which at least half is within the target, so a decision is a comparison with one key
+    a source: sizes and keys are aggregated without texts, only the hash bucket that has the key is ordered, and the
+    keys are sent to the rows.  Texts are not shuffled unless there are over `few` sources.
+
+    Null text: size 0, in whole passes only.  Null source: a source of its own, the last.  Null doc_id: told apart by
+    the text.  Rows of equal id and text are taken alike (all or none in the fractional pass, by half of their sum).
+    Empty table: no rows.  Columns pass through.
+    """
+    text = F.coalesce("text", F.lit(""))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    key = {"__h": h, "__d": F.col("doc_id").cast("long"), "__t": F.xxhash64(text)}
+    with Temporary() as mine:
+        words = docs.select("source", word_count(F.col("text")).alias("size"), *(c.alias(k) for k, c in key.items()))
+        rows = stage(words.groupBy("source", *key).agg(F.sum("size").alias("n")).withColumn("bucket", F.substring("__h", 1, 3)), "mix-sizes")
+        part = stage(rows.groupBy("source", "bucket").agg(F.sum("n").alias("n")), "mix-buckets")
+        goal = source_targets(part.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        goal = goal.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+        goal = stage(goal.withColumnRenamed("source", "g_source"), "mix-targets")
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        before = part.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        same = F.col("source").eqNullSafe(F.col("g_source"))
+        last = before.join(goal, same).where(F.col("before") < F.col("rest")).groupBy("g_source").agg(F.max(F.struct("bucket", "before")).alias("x"))
+        last = last.select("g_source", F.col("x.bucket").alias("__bucket"), F.col("x.before").alias("before"))
+        last = stage(goal.join(last.withColumnRenamed("g_source", "l_source"), F.col("g_source").eqNullSafe(F.col("l_source")), "left").drop("l_source"), "mix-last")
+        inside = rows.join(sent(last, few), same & (F.col("bucket") == F.col("__bucket"))).where("n > 0")
+        order = Window.partitionBy("source").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+        left = F.col("rest") - F.col("before") - (F.sum("n").over(order) - F.col("n"))
+        fits = inside.withColumn("left", left).where(F.col("left") * 2 >= F.col("n"))
+        ends = fits.groupBy("source").agg(F.max(F.struct(F.col("__h"), F.coalesce("__d", F.lit(-(1 << 63))).alias("__d"), F.col("__t"))).alias("__end")).withColumnRenamed("source", "e_source")
+        ends = last.join(ends, F.col("g_source").eqNullSafe(F.col("e_source")), "left").select("g_source", F.col("whole").alias("__whole"), "__bucket", "__end")
+        ends = mine.keep(stage(ends, "mix-ends"))
+    own = F.struct(h.alias("__h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64(text).alias("__t"))
+    bucket = F.substring(h, 1, 3)
+    extra = F.rlike(text, F.lit(WORD)) & ((bucket < F.col("__bucket")) | ((bucket == F.col("__bucket")) & (own <= F.col("__end"))))
+    times = (F.col("__whole") + F.when(extra, 1).otherwise(0)).cast("int")
+    taken = docs.join(sent(ends, few), F.col("source").eqNullSafe(F.col("g_source"))).withColumn("__times", times).where("__times > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

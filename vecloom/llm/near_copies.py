@@ -1,13 +1,18 @@
-"""Near copies by shingle similarity: an exact join of shingle sets (prefix filter), then components.
+"""SimHash near-dedup by similarity: bit-sliced comparison of fingerprints, then an exact check of the shingles.
 
-Two texts are near copies if the Jaccard similarity of their sets of word shingles reaches a threshold t.  The shingles
-of every text are put in one common order; of two such texts of n and m shingles the first n - ceil(t n) + 1 and
-m - ceil(t m) + 1 share at least one, so texts that meet in no bucket of the prefix shingles can't be near copies.  Sizes
-and positions rule out further pairs without loss; the rest is decided on the shingles themselves.
+Two texts are near copies if the Jaccard similarity of their sets of word shingles reaches a threshold t.  Which pairs
+are compared is decided without loss: with the shingles of every text in one common order, of two such texts of n and m
+shingles the first n - ceil(t n) + 1 and m - ceil(t m) + 1 share at least one, so they meet in the bucket of one of these
+prefix shingles; sizes and positions rule out further pairs.  Inside a bucket the fingerprints of simhash.py, here of
+the set of shingles, are compared bit-sliced, and only pairs within `radius` bits go on to the check of their shingles.
+
+The radius is the one place where a link could be lost.  A pair at similarity 0.8 has a cosine of 0.89, so each of the
+64 bits differs with probability 0.15: 9.7 bits in the mean, 2.9 their standard deviation.  24 bits are five of these;
+the chance of a miss is below one in a hundred thousand at the threshold and far smaller above it.
 
 The order puts shingles that are frequent in a sample last, then goes by hash: any order gives the same pairs, this one
-gives small buckets.  Each text of a bucket first meets the bucket's smallest one only; families of near copies mostly
-join there, and the second pass compares just the pairs of a bucket that are not linked yet.
+gives small buckets.  Each text first meets the closest of the smallest texts of its buckets only; families of near
+copies mostly join there, and the second pass compares just the members of a bucket that are not linked yet.
 """
 
 from __future__ import annotations
@@ -18,11 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import discard, stage
+from .common import Temporary, sent, stage
 from .components import components
-
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
+from .simhash import LOWER, majority, within_buckets
 
 def text_key(text: Column) -> Column:
     """Hash by which equal texts are one; null counts as empty."""
@@ -67,9 +70,12 @@ def frequent(texts: DataFrame, shingle: int, sample: int = 8000, least: int = 3,
     return np.sort(np.array([r.h for r in rows], np.int64))
 
 
-def prefixes(texts: DataFrame, shingle: int, similarity: float, last) -> DataFrame:
-    """texts(key, text) -> h, key, n, pos: the prefix shingles of each text, n its shingles; those in `last` come last."""
-    sent = texts.sparkSession.sparkContext.broadcast(last)  # bounded by `most`
+def sketches(texts: DataFrame, shingle: int, similarity: float, last) -> DataFrame:
+    """texts(key, text) -> key, n, fp, prefix: the shingles of each text counted, their fingerprint, the prefix shingles.
+
+    Shingles in `last` come last.  A task puts out copies once.
+    """
+    frequent_ones = texts.sparkSession.sparkContext.broadcast(last)  # bounded by `most`
 
     def run(batches):
         import math
@@ -77,42 +83,47 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, last) -> DataFra
         import numpy as np
         import pyarrow as pa
 
-        last, seen = sent.value, set()  # a task puts out copies once
+        last, seen = frequent_ones.value, set()
         for b in batches:
-            hs, keys, ns, at = [], [], [], []
+            keys, ns, fps, prefix = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if key in seen:
                     continue
                 seen.add(key)
                 h = hashes(text, shingle)
                 n = len(h)
+                fps.append(majority(h.view(np.uint64)))
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                     h = np.concatenate([h[~late], h[late]])
-                take = n - math.ceil(similarity * n - 1e-9) + 1
-                hs.append(h[:take])
-                keys.append(np.full(take, key, np.int64))
-                ns.append(np.full(take, n, np.int32))
-                at.append(np.arange(take, dtype=np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, keys, ns, at)], names=["h", "key", "n", "pos"])
+                keys.append(key), ns.append(n), prefix.append(h[: n - math.ceil(similarity * n - 1e-9) + 1])
+            if keys:
+                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["key", "n", "fp", "prefix"])
 
-    return texts.mapInArrow(run, "h long, key long, n int, pos int")
+    return texts.mapInArrow(run, "key long, n int, fp long, prefix array<long>")
 
 
-def chosen(texts: DataFrame, nodes: DataFrame, block: int = 4_000_000) -> DataFrame:
-    """The rows of texts whose key is in nodes(key); the keys go to the executors in sorted blocks, so no text is shuffled for it."""
+def chosen(texts: DataFrame, nodes: DataFrame, block: int = 4_000_000, blocks: int = 4) -> DataFrame:
+    """The rows of texts whose key is in nodes(key).
+
+    Up to blocks * block keys go to the executors as sorted arrays, so no text is shuffled for it; more meet the texts
+    in a shuffle join.
+    """
     import numpy as np
 
-    out, blocks = None, max(1, -(-nodes.count() // block))
-    for k in range(blocks):
-        part = np.sort(np.array([r.key for r in nodes.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect()], np.int64))
-        sent = texts.sparkSession.sparkContext.broadcast(part)  # bounded by `block`
+    out, need = None, max(1, -(-nodes.count() // block))
+    if need > blocks:
+        return texts.join(nodes.hint("merge"), "key", "left_semi")
+    for k in range(need):
+        part = np.sort(np.array([r.key for r in nodes.where(F.pmod(F.xxhash64("key"), F.lit(need)) == k).collect()], np.int64))
+        held = texts.sparkSession.sparkContext.broadcast(part)  # bounded by `block`
 
-        def among(keys, sent=sent):
+        def among(keys, held=held):
             for key in keys:
-                at = np.searchsorted(sent.value, key.to_numpy()) if len(sent.value) else None
-                yield key != key if at is None else key == sent.value[np.minimum(at, len(sent.value) - 1)]
+                at = np.searchsorted(held.value, key.to_numpy()) if len(held.value) else None
+                yield key != key if at is None else key == held.value[np.minimum(at, len(held.value) - 1)]
 
         rows = texts.where(F.pandas_udf(among, "boolean", PandasUDFType.SCALAR_ITER)("key"))
         out = rows if out is None else out.unionByName(rows)
@@ -147,54 +158,77 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return pairs.join(right, "v").join(left, "u").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs(text) -> u, v: links between text_keys whose components are those of all near-copy pairs."""
+def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, few: int = 500_000) -> DataFrame:
+    """docs(text) -> u, v: links between text_keys whose components are those of all near-copy pairs.
+
+    Null and empty texts are one text.  Texts of fewer words than a shingle are near copies only of equal ones.
+    Repeated texts count once.  Empty table: no rows.  Other columns are ignored.
+    """
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
-    bucket = Window.partitionBy("h")
-    rows = prefixes(texts, shingle, similarity, frequent(texts, shingle)).withColumn("first", F.min("key").over(bucket)).withColumn("end", F.max("key").over(bucket))
-    met = stage(rows.where("first < end").drop("end").dropDuplicates(["h", "key"]), "prefixes-met")
-    del rows
-    free_shuffles(docs.sparkSession)
-
-    def pairs(a: DataFrame, b: DataFrame, fits: Column) -> DataFrame:
-        """Pairs of a bucket that sizes and positions allow; the bucket of their first common shingle lets near copies by."""
-        both = a.alias("a").join(b.alias("b"), "h").where(fits)
-        n, m = F.col("a.n"), F.col("b.n")
-        most = F.least(n - F.col("a.pos"), m - F.col("b.pos"))
-        both = both.where((F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (most + 1e-6 >= similarity / (1 + similarity) * (n + m)))
-        return stage(both.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct(), "near-pairs")
-
-    def near(found: DataFrame) -> DataFrame:
-        nodes = stage(found.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-nodes")
-        few = stage(chosen(texts, nodes).groupBy("key").agg(F.first("text").alias("text")), "near-texts")
-        out = stage(verified(found, few, shingle, similarity), "near-links")
-        discard(few)
-        free_shuffles(docs.sparkSession)
-        return out
-
-    to_first = near(pairs(met.where("key = first"), met.where("key > first"), F.lit(True)))
-    linked = met.where("key > first").join(components(to_first), F.col("key") == F.col("node"), "left").select("h", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    open_ = linked.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    rest = stage(linked.join(open_, "h", "left_semi"), "prefixes-open")
-    others = near(pairs(rest, rest, (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root"))))
-    return to_first.unionByName(others)
-
-
-def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    spark = docs.sparkSession
+    n, m = F.col("n"), F.col("m")
+
+    def fit(n: Column, at: Column, m: Column, m_at: Column) -> Column:
+        """Sizes and positions allow it; the bucket of their first common shingle lets near copies by."""
+        return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (F.least(n - at, m - m_at) + 1e-6 >= similarity / (1 + similarity) * (n + m))
+
+    with Temporary() as mine:
+        sketch = stage(sketches(texts, shingle, similarity, frequent(texts, shingle)), "near-sketch")
+        rows = sketch.select("key", "n", "fp", F.posexplode("prefix").alias("pos", "h"))
+        shared = stage(rows.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h"), "near-shared")
+        met = stage(rows.join(sent(shared, few), "h").dropDuplicates(["h", "key"]).select("h", "key", "n", "fp", "pos"), "near-met")
+        free_shuffles(spark)
+
+        def near(found: DataFrame, label: str) -> DataFrame:
+            found = stage(found, f"{label}-pairs")
+            nodes = stage(found.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-nodes")
+            held = stage(chosen(texts, nodes).groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+            return stage(verified(found, held, shingle, similarity), f"{label}-links")
+
+        # each text with the closest of the smallest texts of its buckets
+        hub = met.groupBy("h").agg(F.min(F.struct("key", "n", "fp", "pos")).alias("x")).select("h", F.col("x.key").alias("u"), F.col("x.n").alias("m"), F.col("x.fp").alias("hub_fp"), F.col("x.pos").alias("hub_pos"))
+        apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp")))
+        close = met.join(hub, "h").where((F.col("key") > F.col("u")) & (apart <= radius) & fit(n, F.col("pos"), m, F.col("hub_pos")))
+        closest = close.groupBy(F.col("key").alias("v")).agg(F.min(F.struct(apart.alias("d"), "u")).alias("x")).select("x.u", "v")
+        with Temporary() as first:
+            to_hub = mine.keep(first.keep(near(closest, "near-hub")))
+        free_shuffles(spark)
+        # the members of a bucket that are not linked yet
+        rooted = met.join(components(to_hub), F.col("key") == F.col("node"), "left").select("h", "key", "n", "fp", "pos", F.coalesce("root", "key").alias("root"))
+        open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+        rest = stage(rooted.join(sent(stage(open_, "near-open"), few), "h", "left_semi"), "near-rest")
+
+        def allowed(a, b):
+            import numpy as np
+
+            (an, ap, ar), (bn, bp, br) = ([x[c] for c in ("n", "pos", "root")] for x in (a, b))
+            ok = (ar != br) & (np.minimum(an, bn) + 1e-6 >= similarity * np.maximum(an, bn))
+            return ok & (np.minimum(an - ap, bn - bp) + 1e-6 >= similarity / (1 + similarity) * (an + bn))
+
+        others = within_buckets(rest, ["h"], radius, "key", ["n", "pos", "root"], allowed)
+        with Temporary() as second:
+            rest_links = mine.keep(second.keep(near(others, "near-rest")))
+        free_shuffles(spark)
+    return to_hub.unionByName(rest_links)
+
+
+def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, few: int = 500_000) -> DataFrame:
     """docs(doc_id, text, ...) -> of each group linked by near copies the row with the smallest doc_id, once.
 
     Rows are told apart by (doc_id, text): of rows that share an id each text counts for itself.  Rows with a null
-    doc_id all stay.  Null and empty texts are copies of one another.
+    doc_id all stay.  Null and empty texts are copies of one another.  Empty table: no rows.  What goes is found as
+    pairs of numbers; up to `few` of them are broadcast, so no text is shuffled then.
     """
     d = docs.withColumn("__key", text_key(F.col("text")))
-    ids = stage(d.where("doc_id is not null").groupBy("doc_id", "__key").agg(F.count("*").alias("n")), "near-ids")
-    first = ids.groupBy("__key").agg(F.min("doc_id").alias("__id"))
-    roots = components(links(docs, shingle, similarity))
-    grouped = first.join(roots, F.col("__key") == F.col("node"), "left").groupBy(F.coalesce("root", "__key").alias("root"))
-    stay = grouped.agg(F.min(F.struct("__id", "__key")).alias("x")).select(F.col("x.__id").alias("doc_id"), F.col("x.__key").alias("__key"))
-    gone = stage(ids.join(stay, ["doc_id", "__key"], "left_anti").select("doc_id", "__key"), "near-gone")
-    left = d.join(gone, ["doc_id", "__key"], "left_anti")
-    many = stage(ids.where("n > 1").select("doc_id", "__key"), "near-repeated")
+    with Temporary() as mine:
+        ids = stage(d.where("doc_id is not null").groupBy("doc_id", "__key").agg(F.count("*").alias("n")), "near-ids")
+        first = ids.groupBy("__key").agg(F.min("doc_id").alias("__id"))
+        roots = components(links(docs, shingle, similarity))
+        grouped = first.join(roots, F.col("__key") == F.col("node"), "left").groupBy(F.coalesce("root", "__key").alias("root"))
+        stay = grouped.agg(F.min(F.struct("__id", "__key")).alias("x")).select(F.col("x.__id").alias("doc_id"), F.col("x.__key").alias("__key"))
+        gone = mine.keep(stage(ids.join(stay, ["doc_id", "__key"], "left_anti").select("doc_id", "__key"), "near-gone"))
+        many = mine.keep(stage(ids.where("n > 1").select("doc_id", "__key"), "near-repeated"))
+    left = d.join(sent(gone, few), ["doc_id", "__key"], "left_anti")
     if not many.isEmpty():
         once = left.join(many, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
         left = left.join(many, ["doc_id", "__key"], "left_anti").unionByName(once)

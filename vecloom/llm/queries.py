@@ -121,11 +121,11 @@ l AS (SELECT r, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FR
 k AS (SELECT r, source, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS t FROM l),
 bad AS (SELECT t FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce('s' || source, '')) >= 5),
 f AS (
-  SELECT r, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (b.t IS NULL), 0) AS kept, count(b.t) AS n_bad,
+  SELECT r, count(b.t) AS n_bad,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.t IS NULL), '') AS clean
   FROM k LEFT JOIN bad b ON k.t = b.t GROUP BY r)
-SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, CASE WHEN kept >= 0.5 * chars THEN n_bad ELSE 0 END::BIGINT AS n_removed,
-       sha256(CASE WHEN kept >= 0.5 * chars AND n_bad > 0 THEN clean ELSE text END) AS clean_sha256
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_bad, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n_bad > 0 THEN clean ELSE text END) AS clean_sha256
 FROM d LEFT JOIN f USING (r)
 """
 

@@ -23,22 +23,30 @@ from .common import stage
 from .components import components
 
 
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def majority(h) -> int:
+    """The bits set in over half of the uint64 hashes."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        bits = np.unpackbits(h[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit fingerprint of a whole text; no words (or null): 0."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-    words = (text or "").encode("utf-8", "surrogatepass").translate(lower).split()
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
     pieces = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64, max(1, len(words) - shingle + 1))
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        bits = np.unpackbits(h[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64, max(1, len(words) - shingle + 1)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -113,63 +121,78 @@ def close_pairs(fp, start, stop, radius: int):
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def links(distinct: DataFrame, radius: int = 2, cap: int = 2048) -> DataFrame:
-    """distinct(fp) -> u, v: every pair of different fingerprints at most `radius` bits apart, once."""
-    parts = radius + 2
-    cuts = [64 * k // parts for k in range(parts + 1)]
-    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(parts)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = [signed(masks[i] | masks[j]) for i, j in combinations(range(parts), 2)]
-    keyed = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables)])).alias("k")
-    ).select("fp", "k.t", "k.key")
-    big = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap)
-    blocks = F.ceil(F.col("n") / cap).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce(blocks, F.lit(1))).cast("int")
-    rows = keyed.join(big, ["t", "key"], "left").select("t", "key", "fp", mine.alias("own"), F.coalesce(blocks, F.lit(1)).alias("nb"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
-    dealt = rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b")
+def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "fp", more: list[str] | None = None, allowed=None, cap: int = 2048) -> DataFrame:
+    """rows(*keys, fp, name, *more), keys long -> u < v: names of the pairs of rows of a bucket at most `radius` bits apart, once.
+
+    Rows of a bucket have different names.  allowed(a, b): of two dictionaries of the columns `more` of the rows to be
+    paired, which pairs count.  Buckets of more than `cap` rows are split by hash of the name into blocks and meet pair
+    of blocks by pair of blocks.
+    """
+    more = more or []
+    cols = [*keys, *dict.fromkeys(["fp", name, *more])]
+    big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > cap)
+    blocks = F.coalesce(F.ceil(F.col("__n") / cap).cast("long"), F.lit(1).cast("long"))
+    dealt = rows.join(big, keys, "left").select(*cols, blocks.alias("__nb")).withColumn("__own", F.pmod(F.xxhash64(name), F.col("__nb")))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)))
+    block = ["__a", "__b"]
+    dealt = dealt.select(*cols, "__own", F.least("__own", "__other").alias("__a"), F.greatest("__own", "__other").alias("__b"))
+    dealt = dealt.repartition(*keys, *block).sortWithinPartitions(*keys, *block)
+    bucket = [*keys, *block]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def compare(cols):
-            key = np.stack([cols[k] for k in range(4)])
+        def compare(c):
+            key = np.stack([c[k] for k in bucket])
             edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             begin = np.concatenate([[0], edge])
             size = np.diff(np.concatenate([begin, [key.shape[1]]]))
-            grouped = np.repeat(size > 1, size)
-            fp, own, a, b = cols[5][grouped].view(np.uint64), cols[4][grouped], cols[2][grouped], cols[3][grouped]
+            several = np.repeat(size > 1, size)
+            c = {k: x[several] for k, x in c.items()}
             size = size[size > 1]
             if not len(size):
                 return None
             start = np.repeat(np.cumsum(size) - size, size)
-            i, j = close_pairs(fp, start, start + np.repeat(size, size), radius)
-            ok = (a[i] == b[i]) | (own[i] != own[j])
-            x, y = fp[i[ok]].view(np.int64), fp[j[ok]].view(np.int64)
+            i, j = close_pairs(c["fp"].view(np.uint64), start, start + np.repeat(size, size), radius)
+            ok = (c["__a"][i] == c["__b"][i]) | (c["__own"][i] != c["__own"][j])
+            if allowed is not None:
+                ok &= allowed({k: c[k][i] for k in more}, {k: c[k][j] for k in more})
+            x, y = c[name][i[ok]], c[name][j[ok]]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
         held = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            c = {k: x.to_numpy(zero_copy_only=False).astype(np.int64) for k, x in zip(batch.schema.names, batch.columns)}
             if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            if not len(cols[0]):
+                c = {k: np.concatenate([held[k], x]) for k, x in c.items()}
+            if not len(c["fp"]):
                 continue
-            differs = np.flatnonzero(np.any(np.stack([cols[k] != cols[k][-1] for k in range(4)]), axis=0))
+            differs = np.flatnonzero(np.any(np.stack([c[k] != c[k][-1] for k in bucket]), axis=0))
             cut = int(differs[-1]) + 1 if len(differs) else 0
-            held = [c[cut:] for c in cols]
-            if cut and (out := compare([c[:cut] for c in cols])) is not None:
+            held = {k: x[cut:] for k, x in c.items()}
+            if cut and (out := compare({k: x[:cut] for k, x in c.items()})) is not None:
                 yield out
-        if held is not None and len(held[0]) and (out := compare(held)) is not None:
+        if held is not None and len(held["fp"]) and (out := compare(held)) is not None:
             yield out
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def links(distinct: DataFrame, radius: int = 2, cap: int = 2048) -> DataFrame:
+    """distinct(fp) -> u, v: every pair of different fingerprints at most `radius` bits apart, once.  Null fingerprints have no pairs."""
+    parts = radius + 2
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(parts)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    tables = [signed(masks[i] | masks[j]) for i, j in combinations(range(parts), 2)]
+    keyed = distinct.where("fp is not null").select(
+        "fp", F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables)])).alias("k")
+    )
+    return within_buckets(keyed.select("fp", "k.t", "k.key"), ["t", "key"], radius, cap=cap)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, fp, component_id: the smallest doc_id reachable by links between fingerprints.
 
