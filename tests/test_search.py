@@ -9,8 +9,8 @@ from vecloom.operators import exact, search
 from vecloom.operators.workers import Graph
 from vecloom.plans import admin
 from vecloom.plans.catalog import Catalog, register, set_options, unregister
-from vecloom.plans.refresh import refresh
-from vecloom.plans.settings import Settings, filter_exact_limit, resolve
+from vecloom.plans.refresh import refresh, verify
+from vecloom.plans.settings import filter_exact_limit, parameters, resolve
 from vecloom.plans.sizing import estimate
 
 
@@ -99,18 +99,64 @@ def test_query_blocks_cover_all_queries(spark, data, monkeypatch):
     same(got(exact.scan(table(spark, ids, x), asked(spark, q), 5)), brute(ids, x, q, "l2", 5))
 
 
+def test_blocks_of_queries_and_rows_meet_on_the_executors(spark, data, monkeypatch):
+    ids, x, q = data
+    monkeypatch.setattr(exact, "BLOCK_ELEMENTS", 600)
+    t = table(spark, ids, x).repartition(3)
+    found = exact.scan(t, table(spark, ids, x).withColumnsRenamed({"id": "qid", "vec": "qvec"}), 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    same(got(found), brute(ids, x, x, "l2", 4))
+
+
 def test_graph_is_exact_with_a_long_list_and_passes_through_masked_nodes():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 8))
     for metric in ("l2", "cosine", "dot", "l1"):
         g = Graph(x, np.arange(600), metric, 8, 60).build()
-        assert len(g.reached()) == 600
-        for q in rng.normal(size=(4, 8)):
+        assert g.reached().all() and g.unreachable == 0 and all((n[:, :1] != -1).all() for n in g.links[:1])
+        again = Graph.unpack(x, g.pack(), metric)
+        queries = rng.normal(size=(4, 8))
+        for q, found, packed in zip(queries, g.search(queries, 10, 600), again.search(queries, 10, 600)):
             want = [i for i, _ in brute(np.arange(600), x, [q], metric, 10)[0]]
-            assert [n for _, n in g.search(q, 10, 600)] == want
+            assert found.tolist() == packed.tolist() == want
             hidden = np.zeros(600, bool)
             hidden[want[:5]] = True
-            assert [n for _, n in g.search(q, 5, 600, hidden)] == want[5:]
+            assert g.search(q[None], 5, 600, hidden)[0].tolist() == want[5:]
+
+
+def test_unreachable_nodes_are_counted_and_linked():
+    g = Graph(np.random.default_rng(1).normal(size=(300, 6)), np.arange(300), "l2", 8, 60).build()
+    g.links[0][g.links[0] == 7] = -1
+    assert not g.reached()[7] and g.repair() == 1 and g.reached().all() and g.unreachable == 0
+
+
+def test_recall_over_several_shards_with_a_real_list(spark):
+    from vecloom.operators.approximate import build_graph, search_codes, search_graph, sq8_bytes, train_sq8
+    from vecloom.sources.texmex import generate
+
+    rows = generate(spark, 24_000, 32, clusters=200).repartition(8).cache()
+    q = rows.where("id % 400 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    best = exact.scan(rows, q, 10).cache()
+    lo, scale = train_sq8(rows, 24_000, 32)
+    graph = build_graph(rows, "l2", 24_000, shard_rows=3000, sq8=(lo, scale)).withColumn("seg", F.lit(1)).cache()
+    assert graph.count() >= 8 and graph.agg(F.sum("n"), F.sum("unreachable")).first() == (24_000, 0)
+    recall = lambda found: search.recall(best, found).first().recall
+    assert recall(search_graph(graph, q, 10, "l2", 100)) >= 0.95
+    assert recall(search_graph(graph, q, 10, "l2", 100, sq8=(lo, scale), oversampling=2.0)) >= 0.95
+    codes = sq8_bytes(rows, lo, scale, "l2")
+    assert recall(search_codes(codes, q, 10, "l2", lo, scale, True, 2.0)) >= 0.98
+    assert recall(search_codes(codes, q, 10, "l2", lo, scale, False, 1.0)) >= 0.8
+    # half of the rows are allowed: the walk passes through the others
+    allowed = rows.where("id % 2 = 0")
+    from vecloom.operators.approximate import graph_rows
+
+    at = graph_rows(graph).where("id % 2 = 0").withColumn("seg", F.lit(1)).groupBy("seg", "shard").agg(F.collect_list("pos").alias("pos"))
+    found = search_graph(graph, q, 10, "l2", 100, only=at)
+    assert found.where("id % 2 = 1").count() == 0
+    assert search.recall(exact.scan(allowed, q, 10), found).first().recall >= 0.95
+    near = exact.scan(rows, q, 16384, "l2", 4.5)
+    assert search.recall(near, search_graph(graph, q, 16384, "l2", 100, radius=4.5)).first().recall >= 0.95
+    rows.unpersist(), best.unpersist(), graph.unpersist()
 
 
 class World:
@@ -175,11 +221,11 @@ def test_full_build_triggers_and_verification(spark, tmp_path):
     assert refresh(w.c, "w").startswith("incremental: 0 appended")
     assert refresh(w.c, "w", "full").startswith("full (mode full)")
     set_options(w.c, "w", quantization="sq8")
-    assert "build options changed" in refresh(w.c, "w")
+    assert "built with" in refresh(w.c, "w")
     w.write([(i, None, True) for i in range(10)])
     set_options(w.c, "w", tombstone_ratio=0.2)
     assert refresh(w.c, "w").startswith("incremental: 0 appended, 10 tombstoned")
-    assert "tombstones in" in refresh(w.c, "w")
+    assert "positions are dead" in refresh(w.c, "w")
     set_options(w.c, "w", rebuild_every=1)
     w.write([(50, [1.0] * 8, False)])
     refresh(w.c, "w")
@@ -191,10 +237,21 @@ def test_full_build_triggers_and_verification(spark, tmp_path):
     assert "not verified" in refresh(w.c, "w")
     set_options(w.c, "w", verify_every=1)
     assert "other digest" in refresh(w.c, "w")
-    lock = w.c.lock(w.c.get("w"))
+    owner = w.c.lock(w.c.get("w"))
     with pytest.raises(RuntimeError, match="another refresh is running"):
         refresh(w.c, "w")
-    w.c.delete(lock)
+    w.c.unlock(w.c.get("w"), "somebody else")
+    assert w.c._held(f"{w.c.root}/catalog/w.lock")["by"] == owner
+    w.c.unlock(w.c.get("w"), owner)
+    w.c._create(f"{w.c.root}/catalog/w.lock", '{"by": "gone", "at": 1}')  # stale: taken over
+    owner = w.c.lock(w.c.get("w"))
+    assert w.c._held(f"{w.c.root}/catalog/w.lock")["by"] == owner
+    w.c.unlock(w.c.get("w"), owner)
+    assert all(r.fine for r in verify(w.c, "w").collect())
+    m = w.c.get("w")
+    m.checksums = {k: "0" for k in m.checksums}
+    w.c.put(m)
+    assert not verify(w.c, "w").where("what = 'checksum'").first().fine and w.c.names() == ["w"]
     assert {r.level for r in admin.status(w.c, "w").collect()} <= {"notice", "warning"}
     assert admin.info(w.c).first().vector_count == len(w.live) and admin.warm(w.c)["fine"] == 1
     unregister(w.c, "w")
@@ -223,16 +280,16 @@ def test_registration_checks(spark, tmp_path):
 def test_settings_precedence_and_presets(spark):
     spark.conf.set("vecloom.ef_search", "77")
     try:
-        assert resolve(Settings(spark, {"ef_search": 5}, {"ef_search": 9}), 8).ef == 5
-        assert resolve(Settings(spark, {}, {"ef_search": 9}), 8).ef == 77
+        assert resolve(parameters(spark, {"ef_search": 5}, {"ef_search": 9}), 8).ef == 5
+        assert resolve(parameters(spark, {}, {"ef_search": 9}), 8).ef == 77
         spark.conf.set("vecloom.ef_search", "many")
         with pytest.raises(ValueError, match="session parameter ef_search = 'many' is not an integer"):
-            resolve(Settings(spark), 8)
+            resolve(parameters(spark), 8)
     finally:
         spark.conf.unset("vecloom.ef_search")
-    s = lambda **p: resolve(Settings(None, p), 8)
+    s = lambda **p: resolve(parameters(None, p), 8)
     assert (s(precision="fast", k=20).ef, s(precision="fast").rescore, s().ef, s(precision="best").ef, s(precision="best").oversampling) == (40, False, 100, 400, 4.0)
-    assert resolve(Settings(None), 512).oversampling == 4.0 and resolve(Settings(None), 511).oversampling == 2.0
+    assert resolve({}, 512).oversampling == 4.0 and resolve({}, 511).oversampling == 2.0
     for p, why in [({"k": 16385}, "k must be"), ({"precision": "x"}, "precision must be"), ({"oversampling": 0.5}, "oversampling must be"), ({"threads": 65}, "threads must be"), ({"freshness": "x"}, "freshness must be")]:
         with pytest.raises(ValueError, match=why):
             s(**p)

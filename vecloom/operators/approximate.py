@@ -1,112 +1,245 @@
 """Searches by graph and by int8 codes.
 
-An index segment is dealt by hash of the id into shards of bounded size; a shard's graph is built by one task and
-walked by one task, and the shards' k best meet in the same final window as those of the exact search.
+The vectors of an index segment are dealt to shards: to the nearest of a bounded number of centres fitted on a sample,
+and by hash of the id where a centre has more rows than a shard should.  A shard is one row of the graph table: its
+vectors, codes, links and the ball around its rows, all as bytes.  A task builds a shard; a search reads the balls, drops
+the shards that can't matter for any query, and walks the others where they are read, without an exchange.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.workspace import workspace
 from . import workers
 from .exact import FOUND, check_k, merge, query_blocks
 
 cloudpickle.register_pickle_by_value(workers)
 
-GRAPH = "shard int, pos int, id long, vec array<float>, level int, links array<array<int>>, fixed int"
+GRAPH = "shard long, n int, ids binary, vecs binary, codes binary, shape binary, nodes binary, links binary, entry int, unreachable int, repaired int, centre array<float>, reach double"
 SQ8_SAMPLE = 100_000
+#: Rows of a shard; centres of a segment; elements of all balls that the driver reads to choose shards.
+SHARD_ROWS, MOST_CENTRES, BALL_ELEMENTS = 10_000, 1024, 4_000_000
+
 
+def fit_centres(rows: DataFrame, metric: str, count: int, shard_rows: int, rounds: int = 6):
+    """Centres by Lloyd's rounds on a sample of at most 32 rows a centre, in the order of a hash of the id."""
+    import numpy as np
 
-def shards_for(count: int, shard_rows: int = 10_000) -> int:
-    return max(1, -(-count // shard_rows))
+    n = min(MOST_CENTRES, max(1, -(-count // shard_rows)))
+    if n == 1:
+        return None
+    share = min(1.0, 40 * n / count)
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("vec").limit(32 * n).collect()
+    x = np.array([r.vec for r in picked], np.float32)
+    if len(x) < 2 * n:
+        return None
+    x = workers.unit_rows(x) if metric == "cosine" else x
+    c = x[:n].copy()
+    for _ in range(rounds):
+        own = (np.square(c).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)
+        size = np.bincount(own, minlength=n)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c[size > 0] = sums[size > 0] / size[size > 0, None]
+    return c
+
+
+def build_graph(rows: DataFrame, metric: str, count: int, m: int = 16, ef_construction: int = 200, shard_rows: int = SHARD_ROWS, sq8: tuple[float, float] | None = None) -> DataFrame:
+    """rows(id, vec) -> GRAPH, one row a shard; node numbers are positions in id order.  A repeated id is an error.
+
+    sq8: (offset, scale) of codes that are stored beside the vectors (of unit vectors for cosine).
+    """
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    centres = fit_centres(rows, metric, count, shard_rows)
+    sent = rows.sparkSession.sparkContext.broadcast(centres)  # bounded: MOST_CENTRES vectors
 
+    def assign(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def build_graph(rows: DataFrame, metric: str, count: int, m: int = 16, ef_construction: int = 200, shard_rows: int = 10_000) -> DataFrame:
-    """rows(id, vec) -> GRAPH; node numbers are positions in id order within the shard.  A repeated id is an error."""
-    n = shards_for(count, shard_rows)
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "id", F.col("vec").cast("array<float>").alias("vec"))
+        for b in batches:
+            x = workers.matrix(b.column(1), "float32")
+            x = workers.unit_rows(x) if metric == "cosine" else x
+            cell = np.zeros(len(x), np.int64) if sent.value is None or not len(x) else (np.square(sent.value).sum(axis=1)[None] - 2 * x @ sent.value.T).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int64))], names=["id", "vec", "cell"])
+
+    celled = rows.mapInArrow(assign, "id long, vec array<float>, cell long")
+    sizes = {0: count} if centres is None else {r.cell: r["count"] for r in celled.groupBy("cell").count().collect()}  # at most MOST_CENTRES
+    split = [(c, max(1, math.ceil(n / (1.5 * shard_rows)))) for c, n in sizes.items()]
+    parts = rows.sparkSession.createDataFrame(split or [(0, 1)], "c long, parts int")
+    # equal ids meet: a shard is a function of the vector's cell and the id, and repeated ids are looked for beforehand
+    dealt = celled.join(F.broadcast(parts), F.col("cell") == F.col("c")).select((F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard"), "id", "vec")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<float>": pa.list_(pa.float32()), "double": pa.float64()}
+        fields = [f.split() for f in GRAPH.split(", ")]
         for t in workers.grouped(batches, ["shard"]):
-            ids = t.column("id").to_numpy()
+            ids, vecs = t.column("id").to_numpy(), workers.matrix(t.column("vec"), "float32")
             twice = np.flatnonzero(ids[1:] == ids[:-1])
             if len(twice):
                 raise ValueError(f"id {ids[twice[0]]} appears twice")
-            g = workers.Graph(workers.matrix(t.column("vec")), ids, metric, m, ef_construction)
-            for i in range(len(ids)):
-                g.insert(i)
-            fixed = g.repair()
-            links = [[g.links[k][i] for k in range(g.level[i] + 1)] for i in range(len(ids))]
-            for at in range(0, len(ids), 2000):
-                s = t.slice(at, 2000).combine_chunks()
-                k = s.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [s.column("shard").chunk(0), pa.array(np.arange(at, at + k, dtype=np.int32)), s.column("id").chunk(0), s.column("vec").chunk(0), pa.array(g.level[at : at + k], pa.int32()),
-                     pa.array(links[at : at + k], pa.list_(pa.list_(pa.int32()))), pa.array([fixed] * k, pa.int32())],
-                    names=["shard", "pos", "id", "vec", "level", "links", "fixed"],
-                )
-
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, GRAPH)
-
-
-def search_graph(graph: DataFrame, queries: DataFrame, k: int, metric: str, ef: int, radius: float | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Walk the graphs (seg, shard, pos, id, vec, level, links, hide) for queries(qid, qvec) -> qid, id, score, rank.
-
-    Rows with hide are passed through and never returned; allowed(id): only these are returned.
+            g = workers.Graph(vecs, ids, metric, m, ef_construction)
+            g.build()
+            centre = g.x.mean(axis=0, dtype=np.float64)
+            reach = float(np.sqrt(np.square(g.x - centre).sum(axis=1).max())) * (1 + 1e-6) + 1e-6
+            r = g.pack() | {"shard": t.column("shard")[0].as_py(), "n": len(ids), "vecs": vecs.astype("<f4").tobytes(), "codes": None, "repaired": g.repaired, "centre": centre.astype(np.float32).tolist(), "reach": reach}
+            if sq8 is not None:
+                r["codes"] = workers.sq8_codes(g.x, *sq8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([r[name]], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+    total = sum(p for _, p in split) or 1
+    return dealt.repartition(total, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, GRAPH)
+
+
+def graph_rows(graph: DataFrame) -> DataFrame:
+    """GRAPH rows -> id, vec, shard, pos."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for shard, n, ids, vecs in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.frombuffer(vecs, "<f4").reshape(n, -1)
+                for at in range(0, n, 5000):
+                    part = x[at : at + 5000]
+                    k = len(part)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * x.shape[1]), pa.array(part.ravel()))
+                    cols = [pa.array(np.frombuffer(ids, "<i8")[at : at + k]), lists, pa.array(np.full(k, shard)), pa.array(np.arange(at, at + k, dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "vec", "shard", "pos"])
+
+    return graph.select("shard", "n", "ids", "vecs").mapInArrow(run, "id long, vec array<float>, shard long, pos int")
+
+
+def visits(balls: list, queries, metric: str, k: int, ef: int, radius: float | None) -> dict:
+    """{(seg, shard): rows of queries that walk it} from the balls (seg, shard, n, centre, reach).
+
+    Never cut: shards that may hold one of the k closest by the triangle inequality are among the first; of them each
+    query walks the 8 nearest, and more in proportion to ef, all from an ef of 2,000 on.
+    """
+    import numpy as np
+
+    every = {(b.seg, b.shard): np.arange(len(queries)) for b in balls}
+    if len(balls) < 2 or metric == "dot":
+        return every
+    q = workers.unit_rows(queries) if metric == "cosine" else queries
+    centre, reach, n = np.array([b.centre for b in balls], np.float64), np.array([b.reach for b in balls]), np.array([b.n for b in balls])
+    most = len(balls) if ef >= 2000 else max(8, math.ceil(len(balls) * ef / 2000))
+    out: dict = {}
+    # l1 is never smaller than l2, so the balls' lower bounds hold for it, their upper bounds don't
+    limit = None if radius is None else (radius if metric != "cosine" else math.sqrt(max(0.0, 2 - 2 * radius)))
+    for i, v in enumerate(q):
+        d = np.sqrt(np.square(centre - v).sum(axis=1))
+        lower = d - reach
+        if limit is not None:
+            ok = lower <= limit + 1e-5
+        elif metric == "l1":
+            ok = np.ones(len(d), bool)
+        else:
+            upper = d + reach
+            order = np.argsort(upper, kind="stable")
+            enough = min(int(np.searchsorted(np.cumsum(n[order]), k)), len(d) - 1)
+            ok = lower <= upper[order[enough]] + 1e-5
+        for j in np.flatnonzero(ok)[np.argsort(d[ok], kind="stable")][:most].tolist():
+            out.setdefault((balls[j].seg, balls[j].shard), []).append(i)
+    return {key: np.array(rows) for key, rows in out.items()}
+
+
+def search_graph(
+    graph: DataFrame, queries: DataFrame, k: int, metric: str, ef: int, radius: float | None = None, hidden: DataFrame | None = None, only: DataFrame | None = None,
+    sq8: tuple[float, float] | None = None, rescore: bool = True, oversampling: float = 1.0,
+) -> DataFrame:
+    """Walk the graphs (seg and GRAPH) for queries(qid, qvec) -> qid, id, score, rank.
+
+    hidden(seg, shard, pos array<int>): positions that are passed through and never returned; only(seg, shard, pos):
+    no others are returned, and shards without any aren't read.  With sq8 the walk compares codes; with rescore the
+    ceil(k * oversampling) best of a shard are scored from its vectors, without it their approximate scores are returned.
     """
     check_k(k)
-    g = graph.select("seg", "shard", "pos", "id", "vec", "level", "links", "hide")
-    hide = F.col("hide")
-    if allowed is not None:
-        g = g.join(allowed.select(F.col("id").alias("id"), F.lit(True).alias("__a")).distinct(), "id", "left")
-        hide = hide | F.col("__a").isNull()
-    g = g.select("seg", "shard", "pos", "id", "vec", "level", "links", hide.alias("hide")).repartition("seg", "shard").sortWithinPartitions("seg", "shard", "pos")
+    spark = graph.sparkSession
+    g = graph
+    if only is not None:
+        g = g.join(only.withColumnRenamed("pos", "marked"), ["seg", "shard"]).withColumn("inside", F.lit(True))
+    elif hidden is not None:
+        g = g.join(hidden.withColumnRenamed("pos", "marked"), ["seg", "shard"], "left").withColumn("inside", F.lit(False))
+    else:
+        g = g.withColumn("marked", F.lit(None).cast("array<int>")).withColumn("inside", F.lit(False))
+    balls, facts = [], graph.agg(F.count("*"), F.max(F.size("centre"))).first()
+    chosen = facts[0] * (facts[1] or 0) <= BALL_ELEMENTS
+    if chosen:
+        balls = graph.select("seg", "shard", "n", "centre", "reach").collect()  # bounded by BALL_ELEMENTS
+    take = max(k, math.ceil(k * oversampling)) if sq8 is not None and rescore else k
+    needed = ["seg", "shard", "n", "ids", "shape", "nodes", "links", "entry", "unreachable", "marked", "inside"]
+    needed += ["vecs"] * (sq8 is None or rescore) + ["codes"] * (sq8 is not None)
     found = None
-    for qids, vecs in query_blocks(queries):
-        sent = graph.sparkSession.sparkContext.broadcast((qids, vecs))  # bounded by query_blocks
+    for qids, vecs, last in query_blocks(queries):
+        plan = visits(balls, vecs, metric, k, ef, radius if sq8 is None else None) if chosen and only is None else None
+        sent = spark.sparkContext.broadcast((qids, vecs, plan))  # bounded by query_blocks and BALL_ELEMENTS
+        part = g if plan is None else g.where(F.col("shard").isin(*{s for _, s in plan}))
 
         def run(batches, sent=sent):
             import numpy as np
             import pyarrow as pa
 
-            qids, vecs = sent.value
+            qids, vecs, plan = sent.value
             sign = 1.0 if metric in ("l2", "l1") else -1.0
             rkey = None if radius is None else (radius * radius if metric == "l2" else sign * radius)
-            for t in workers.grouped(batches, ["seg", "shard"]):
-                w = workers.Graph(workers.matrix(t.column("vec")), t.column("id").to_numpy(), metric)
-                raw, links = workers.matrix(t.column("vec")), t.column("links").to_pylist()
-                w.level = t.column("level").to_pylist()
-                w.links = [{i: links[i][j] for i in range(len(links)) if j < len(links[i])} for j in range(max(w.level) + 1)]
-                w.entry = int(np.argmax(w.level))
-                hidden = t.column("hide").to_numpy()
-                out_q, out_i, out_s = [], [], []
-                for qid, v in zip(qids, vecs):
-                    q = np.array(v, np.float64)
-                    nodes = [n for _, n in w.search(q, k, ef, hidden if hidden.any() else None, rkey, ef)]
-                    if nodes:
-                        s = workers.exact_scores(raw[nodes], np.broadcast_to(q, (len(nodes), len(q))), metric)
+            for b in batches:
+                for r in b.to_pylist():
+                    rows = np.arange(len(qids)) if plan is None else plan.get((r["seg"], r["shard"]))
+                    if rows is None or not len(rows):
+                        continue
+                    raw = np.frombuffer(r["vecs"], "<f4").reshape(r["n"], -1).astype(np.float64) if "vecs" in r else None
+                    x = raw
+                    if sq8 is not None:
+                        x = sq8[0] + sq8[1] * np.frombuffer(r["codes"], np.uint8).reshape(r["n"], -1).astype(np.float32)
+                    w = workers.Graph.unpack(x, r, metric)
+                    mask = None
+                    if r["marked"] is not None:
+                        mask = np.full(r["n"], r["inside"])
+                        mask[np.array(r["marked"], np.int64)] = not r["inside"]
+                    if mask is not None and r["inside"] and len(r["marked"]) <= 4 * ef:  # few are allowed: compare them all
+                        few = np.sort(np.array(r["marked"], np.int64))
+                        got = [few] * len(rows)
+                    else:
+                        got = w.search(vecs[rows], take, ef, mask, rkey if sq8 is None else None)
+                    out_q, out_i, out_s = [], [], []
+                    for i, nodes in zip(rows.tolist(), got):
+                        s = workers.exact_scores((x if raw is None else raw)[nodes], np.broadcast_to(vecs[i], (len(nodes), vecs.shape[1])), metric)
                         ok = ~np.isnan(s) if radius is None else sign * s <= sign * radius
-                        out_q += [qid] * int(ok.sum())
-                        out_i += w.ids[nodes][ok].tolist()
-                        out_s += s[ok].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], names=["qid", "id", "score"])
+                        near = np.lexsort((w.ids[nodes][ok], sign * s[ok]))[:k]
+                        out_q.append(np.full(len(near), qids[i])), out_i.append(w.ids[nodes][ok][near]), out_s.append(s[ok][near])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_s)], names=["qid", "id", "score"])
 
-        part = g.mapInArrow(run, FOUND)
+        part = part.select(*needed).mapInArrow(run, FOUND)
+        if not last:
+            part = written(part)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = graph.sparkSession.createDataFrame([], FOUND)
+        found = spark.createDataFrame([], FOUND)
     return merge(found, metric, k)
 
 
+def written(found: DataFrame) -> DataFrame:
+    """The result of one block of queries, in the shared folder: its queries can be let go before the next block."""
+    path = workspace(found.sparkSession, "found")
+    found.write.parquet(path)
+    return found.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def train_sq8(rows: DataFrame, count: int, dims: int) -> tuple[float, float]:
     """(offset, scale) as float32 values from the 0.001 and 0.999 order statistics of about 100,000 elements.
 
-    The sample are evenly spaced rows in id order; with fewer rows than the sample needs it is all of them.
+    The sample are evenly spaced rows in id order; with fewer rows than the sample needs it is all of them.  Rows and
+    the ids that part them come from two plain passes: ranges of ids are fixed as literals before the rows are counted.
     """
     import numpy as np
 
@@ -118,18 +251,23 @@ def train_sq8(rows: DataFrame, count: int, dims: int) -> tuple[float, float]:
     else:
         from pyspark.sql import Window
 
-        # positions by a two-step rank: counts of ranges of ids first, then the place inside the range
-        part = rows.repartitionByRange("id").select("id", "vec", F.spark_partition_id().alias("p"))
-        sizes = sorted(part.groupBy("p").count().collect())
+        parts = max(1, min(2000, count // 50_000))
+        bounds = sorted(set(rows.selectExpr(f"percentile_approx(id, array({', '.join(str((i + 1) / parts) for i in range(parts - 1))}), 10000) AS b").first().b)) if parts > 1 else []
+        of = F.lit(0)
+        if bounds:
+            of = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id")))
+        part = rows.select("id", "vec", of.alias("p"))
         before, at = [], 0
-        for r in sizes:
+        for r in sorted(part.groupBy("p").count().collect()):
             before.append((r["p"], at))
             at += r["count"]
         start = rows.sparkSession.createDataFrame(before, "p int, before long")
-        placed = part.join(F.broadcast(start), "p").withColumn("pos", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1)
+        place = F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1
+        pos = part.select("id", "p").join(F.broadcast(start), "p").withColumn("pos", F.col("before") + place)
         # row j of the sample stands at position floor(j * count / take)
         j = F.ceil(F.col("pos") * F.lit(take) / F.lit(count))
-        sample = placed.where(F.floor(j * F.lit(count) / F.lit(take)) == F.col("pos")).select("vec")
+        ids = pos.where(F.floor(j * F.lit(count) / F.lit(take)) == F.col("pos")).select("id")
+        sample = rows.join(F.broadcast(ids), "id").select("vec")  # bounded by SQ8_SAMPLE
     v = np.array([x for r in sample.collect() for x in r.vec], np.float32)  # bounded by SQ8_SAMPLE
     v = np.sort(v[~np.isnan(v)])
     if not len(v):
@@ -153,66 +291,61 @@ def sq8_code(vec, offset: float, scale: float):
     return F.transform(vec.cast("array<float>"), code)
 
 
+def sq8_bytes(rows: DataFrame, offset: float, scale: float, metric: str) -> DataFrame:
+    """rows(id, vec) with code binary: a byte for each element (of the unit vector for cosine)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = workers.matrix(b.column(1), "float32")
+            codes = workers.sq8_codes(workers.unit_rows(x) if metric == "cosine" else x, offset, scale)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "code"])
+
+    return rows.select("id", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, "id long, vec array<float>, code binary")
+
+
 def search_codes(rows: DataFrame, queries: DataFrame, k: int, metric: str, offset: float, scale: float, rescore: bool = True, oversampling: float = 2.0, radius: float | None = None) -> DataFrame:
-    """rows(id, vec, code array<int>) ranked by integer sums over the codes; with rescore the ceil(k * oversampling)
-    best are scored exactly from vec and the k best of those stay, without it the approximate scores are returned.
-    Cosine ranks unit vectors: rows and queries are scaled before they are coded.
+    """rows(id, vec, code binary) ranked by sums over the codes alone; with rescore the ceil(k * oversampling) best are
+    joined with their vectors and scored exactly, and the k best of those stay, without it the approximate scores are
+    returned.  Cosine ranks unit vectors: rows and queries are scaled before they are coded.
     """
-    import math
-
     check_k(k)
     take = max(k, math.ceil(k * oversampling)) if rescore else k
-    found = None
-    for qids, vecs in query_blocks(queries):
-        sent = rows.sparkSession.sparkContext.broadcast((qids, vecs))
+    out = None
+    for qids, vecs, last in query_blocks(queries):
+        sent = rows.sparkSession.sparkContext.broadcast((qids, vecs))  # bounded by query_blocks
 
         def run(batches, sent=sent):
             import numpy as np
-            import pyarrow as pa
 
-            qids, vecs = sent.value
-            q = np.array(vecs, np.float64)
-            sign = 1.0 if metric in ("l2", "l1") else -1.0
-            unit = q
-            if metric == "cosine":
-                n = np.linalg.norm(q, axis=1, keepdims=True)
-                unit = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-            t = (unit.astype(np.float32) - np.float32(offset)) / np.float32(scale) + np.float32(0.5)
-            qc = np.where(t > 0, np.where(t >= 255, 255, np.floor(np.clip(t, 0, 255))), 0).astype(np.float64)
-            dims, s2, so = q.shape[1], scale * scale, scale * offset
-            kept = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, dims))) for _ in qids]
+            qids, q = sent.value
+            unit = workers.unit_rows(q) if metric == "cosine" else q
+            qc = offset + scale * workers.sq8_codes(unit.astype(np.float32), offset, scale).astype(np.float64)
+            top = workers.TopK(qids, qc, "dot" if metric == "cosine" else metric, take, None)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                ids, vec, code = b.column(0).to_numpy(), workers.matrix(b.column(1)), workers.matrix(b.column(2))
-                sums = code.sum(axis=1)
-                for j in range(len(qids)):
-                    if metric == "l2":
-                        key = s2 * ((code - qc[j]) ** 2).sum(axis=1)
-                    elif metric == "l1":
-                        key = scale * np.abs(code - qc[j]).sum(axis=1)
-                    else:
-                        key = -(s2 * (code @ qc[j]) + so * (sums + qc[j].sum()) + dims * offset * offset)
-                    a, i, x = kept[j]
-                    a, i, x = np.concatenate([a, key]), np.concatenate([i, ids]), np.concatenate([x, vec])
-                    o = np.lexsort((i, a))[:take]
-                    kept[j] = a[o], i[o], x[o]
-            out_q, out_i, out_key, out_s = [], [], [], []
-            for j, (a, i, x) in enumerate(kept):
-                s = workers.exact_scores(x, np.broadcast_to(q[j], x.shape), metric) if rescore and len(a) else (np.sqrt(np.maximum(a, 0)) if metric == "l2" else sign * a)
-                out_q += [qids[j]] * len(a)
-                out_i += i.tolist()
-                out_key += a.tolist()
-                out_s += s.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_key, pa.float64()), pa.array(out_s, pa.float64())], names=["qid", "id", "key", "score"])
-
-        part = rows.select("id", F.col("vec").cast("array<double>").alias("vec"), F.col("code").cast("array<double>").alias("code")).mapInArrow(run, "qid long, id long, key double, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "qid long, id long, key double, score double")
-    from pyspark.sql import Window
-
-    near = found.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy("key", "id"))).where(F.col("__r") <= take).select("qid", "id", "score")
+                if b.num_rows:
+                    for at in range(0, b.num_rows, step := max(256, 8_000_000 // max(1, len(qids)))):
+                        s = b.slice(at, step)
+                        code = np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint8).reshape(s.num_rows, -1)
+                        top.add(s.column(0).to_numpy(), offset + scale * code.astype(np.float64))
+            yield top.batch()
+
+        near = merge(rows.select("id", "code").mapInArrow(run, FOUND), metric, take)
+        if rescore:
+            near = written(near)
+            ids = near.select("id").distinct()  # at most take a query of the block
+            x = rows.join(F.broadcast(ids), "id").select("id", F.col("vec").cast("array<double>").alias("vec"))
+            asked = rows.sparkSession.createDataFrame(list(zip(qids, vecs.tolist())), "qid long, qvec array<double>")
+            from ..functions.vectors import METRICS
+
+            near = near.join(x, "id").join(F.broadcast(asked), "qid").select("qid", "id", METRICS[metric][0](F.col("qvec"), F.col("vec")).alias("score"))
+        part = near.select("qid", "id", "score")
+        if not last:
+            part = written(part)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], FOUND)
     if radius is not None:
-        near = near.where(F.col("score") <= radius if metric in ("l2", "l1") else F.col("score") >= radius)
-    return merge(near, metric, k)
+        out = out.where(F.col("score") <= radius if metric in ("l2", "l1") else F.col("score") >= radius)
+    return merge(out, metric, k)

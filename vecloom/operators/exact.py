@@ -33,12 +33,8 @@ def merge(found: DataFrame, metric: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
-def query_blocks(queries: DataFrame):
-    """The queries (qid, qvec) in blocks small enough to send to every executor; checks for NULLs and lengths.
-
-    One block is the rule.  A query set beyond the block size is dealt into hash classes that are fetched one by one,
-    so the driver never holds more than a block.
-    """
+def checked(queries: DataFrame) -> tuple[DataFrame, int, int]:
+    """(qid long, qvec array<double>), their number and length; NULLs and different lengths are errors."""
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec"))
     n, least, most, no_id, no_vec = q.agg(F.count("*"), F.min(F.size("qvec")), F.max(F.size("qvec")), F.count(F.when(F.col("qid").isNull(), 1)), F.count(F.when(F.col("qvec").isNull(), 1))).first()
     if no_id:
@@ -49,59 +45,93 @@ def query_blocks(queries: DataFrame):
         raise ValueError(f"the queries have different lengths: {least} and {most} elements")
     if n and not most:
         raise ValueError("the query has no elements")
-    blocks = max(1, -(-n * (most or 1) // BLOCK_ELEMENTS))
+    return q, n, most or 0
+
+
+def query_blocks(queries: DataFrame):
+    """(qids, vectors as a matrix, whether it is the last) of blocks small enough to send to every executor.
+
+    A query set beyond the block size is dealt into hash classes that are fetched one by one, when the caller asks.
+    """
+    import numpy as np
+
+    q, n, dims = checked(queries)
+    blocks = max(1, -(-n * dims // BLOCK_ELEMENTS))
     for b in range(blocks if n else 0):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.collect()
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()  # bounded by BLOCK_ELEMENTS
         if rows:
-            yield [r.qid for r in rows], [r.qvec for r in rows]
+            yield [r.qid for r in rows], np.array([r.qvec for r in rows], np.float64), b + 1 == blocks
 
 
 def scan(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", radius: float | None = None) -> DataFrame:
     """rows(id, vec), queries(qid, qvec) -> qid, id, score, rank.
 
-    Rows with a NULL id or vector are skipped; a vector of another length is an error.  No query or no row: no result.
+    Queries of up to BLOCK_ELEMENTS elements are sent to the rows; more are dealt into blocks that meet blocks of rows
+    on the executors (scan_blocks), so the driver never holds them.  Rows with a NULL id or vector are skipped; a vector
+    of another length is an error.  No query or no row: no result.
     """
     check_metric(metric)
     check_k(k)
     spark = rows.sparkSession
     clean = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    found = None
-    for qids, vecs in query_blocks(queries):
-        sent = spark.sparkContext.broadcast((qids, vecs))  # bounded by BLOCK_ELEMENTS
-
-        def run(batches, sent=sent):
-            import numpy as np
-
-            qids, vecs = sent.value
-            top = workers.TopK(qids, np.array(vecs, np.float64), metric, k, radius)
-            for b in batches:
-                if b.num_rows:
-                    bad = workers.lengths(b.column(1)) != len(vecs[0])
-                    if bad.any():
-                        raise ValueError(f"the vector of id {b.column(0)[int(bad.argmax())].as_py()} has another length than the query")
-                    step = max(256, 8_000_000 // max(1, len(qids)))
-                    for at in range(0, b.num_rows, step):
-                        s = b.slice(at, step)
-                        top.add(s.column(0).to_numpy(), workers.matrix(s.column(1)))
-            yield top.batch()
-
-        part = clean.mapInArrow(run, FOUND)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    return merge(found, metric, k)
+    q, n, dims = checked(queries)
+    if not n:
+        return merge(spark.createDataFrame([], FOUND), metric, k)
+    if n * dims > BLOCK_ELEMENTS:
+        return merge(scan_blocks(clean, q, n, dims, k, metric, radius), metric, k)
+    asked = q.collect()  # bounded by BLOCK_ELEMENTS
+    sent = spark.sparkContext.broadcast(([r.qid for r in asked], [r.qvec for r in asked]))
+
+    def run(batches):
+        import numpy as np
+
+        qids, vecs = sent.value
+        top = workers.TopK(qids, np.array(vecs, np.float64), metric, k, radius)
+        for b in batches:
+            if b.num_rows:
+                top.add_batch(b.column(0), b.column(1))
+        yield top.batch()
+
+    return merge(clean.mapInArrow(run, FOUND), metric, k)
+
+
+def scan_blocks(clean: DataFrame, queries: DataFrame, n: int, dims: int, k: int, metric: str, radius: float | None) -> DataFrame:
+    """The k best of each block of rows for each query: (qid, id, score).
+
+    Rows and queries are dealt by hash into blocks of at most BLOCK_ELEMENTS elements; every pair of blocks meets in one
+    task, which returns k rows a query at most.  Rows travel once for each block of queries and the other way round.
+    """
+    of_queries = -(-n * dims // BLOCK_ELEMENTS)
+    of_rows = max(1, -(-clean.count() * dims // BLOCK_ELEMENTS))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    a = clean.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(of_rows)).cast("int").alias("r"), every(of_queries).alias("q"))
+    b = queries.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(of_queries)).cast("int").alias("q"), every(of_rows).alias("r"))
+
+    def meet(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        if not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        top = workers.TopK(right.column("qid").to_pylist(), workers.matrix(right.column("qvec")), metric, k, radius)
+        if left.num_rows:
+            left = left.combine_chunks()
+            top.add_batch(left.column("id").chunk(0), left.column("vec").chunk(0))
+        return pa.Table.from_batches([top.batch()])
+
+    return a.groupBy("r", "q").cogroup(b.groupBy("r", "q")).applyInArrow(meet, FOUND)
 
 
 def scan_sql(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", radius: float | None = None) -> DataFrame:
-    """As scan, in Catalyst alone; for query sets whose size has been checked to be small, they are broadcast."""
+    """As scan, in Catalyst alone, for query sets of at most BLOCK_ELEMENTS elements, which are broadcast."""
     check_metric(metric)
     check_k(k)
     score, smaller = METRICS[metric]
     clean = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select("id", "vec")
-    n = queries.count()
-    q = queries.select("qid", "qvec")
-    pairs = clean.crossJoin(F.broadcast(q) if n <= 1000 else q).select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), score(F.col("qvec"), F.col("vec")).alias("score"))
+    q, n, dims = checked(queries)
+    if n * dims > BLOCK_ELEMENTS:
+        raise ValueError(f"scan_sql is for at most {BLOCK_ELEMENTS} elements of queries, these have {n * dims}: use scan")
+    pairs = clean.crossJoin(F.broadcast(q)).select(F.col("qid").cast("long").alias("qid"), F.col("id").cast("long").alias("id"), score(F.col("qvec"), F.col("vec")).alias("score"))
     if radius is not None:
         pairs = pairs.where(F.col("score") <= radius if smaller else F.col("score") >= radius)
     return merge(pairs.where(~F.isnan("score")), metric, k)

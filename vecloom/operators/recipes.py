@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import vector_avg
@@ -48,3 +48,25 @@ def all_near_duplicates(rows: DataFrame, threshold: float, k: int = 2, metric: s
     """near_duplicates with every row as a query, so that qid < id only drops the second finding of a pair."""
     ok = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     return near_duplicates(rows, ok.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), threshold, k, metric)
+
+
+def theta_join(rows: DataFrame, threshold: float, metric: str = "cosine", k: int = 16384) -> DataFrame:
+    """Every pair (a, b), a < b, of rows(id, vec) within a threshold: the join of a table with itself on a distance.
+
+    A range search with every row as a query; an id with k partners or more is an error, so no pair is lost unseen.
+    """
+    ok = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    found = scan(rows, ok.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), k, metric, threshold)
+    full = F.when((F.col("rank") == k), F.raise_error(F.concat(F.lit("theta_join: more partners than k for id "), F.col("qid").cast("string"))).cast("boolean")).otherwise(True)
+    return found.where(full & (F.col("qid") < F.col("id"))).select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
+
+
+def ties(found: DataFrame, digits: int = 6) -> DataFrame:
+    """found(qid, id, score, rank) with tied: the row before or after it in its query has the same rounded score."""
+    w, s = Window.partitionBy("qid").orderBy("rank"), F.round("score", digits)
+    return found.withColumn("tied", F.coalesce(s == F.lag(s).over(w), F.lit(False)) | F.coalesce(s == F.lead(s).over(w), F.lit(False)))
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one of two results has and the other lacks, with side a or b; repeated rows count (none: equal results)."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

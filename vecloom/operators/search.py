@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.catalog import Catalog
-from ..plans.settings import Settings, filter_is_exact, resolve
+from ..plans.catalog import Catalog, Manifest
+from ..plans.settings import SearchSettings, filter_is_exact, parameters, resolve
+from ..plans.workspace import workspace
 from ..sources.journal import latest
 from ..sources.text import parse_queries
 from .approximate import search_codes, search_graph
@@ -35,14 +36,18 @@ def search(
     exact the journal rows after the boundary are overlaid, and they are always compared exactly.
     """
     m = catalog.get(name)
-    s = resolve(Settings(catalog.spark, params, m.defaults), m.dims or 0, radius)
+    s = resolve(parameters(catalog.spark, params, m.defaults), m.dims or 0, radius)
     q = as_queries(catalog, queries, query)
-    fresh = s.freshness == "exact" and m.ver_col is not None
+    changes = latest(catalog.delta(m)) if s.freshness == "exact" and m.ver_col is not None else None
+    return _search(catalog, m, s, q, changes, allow)
+
+
+def _search(catalog: Catalog, m: Manifest, s: SearchSettings, q: DataFrame, changes: DataFrame | None, allow: DataFrame | None) -> DataFrame:
+    """Search of the snapshot by the index' own means, of the live changes(id, vec, del) by a scan; both are merged."""
     rows = catalog.snapshot(m)
     extra = masked = None
-    if fresh:
-        new = latest(catalog.delta(m))
-        masked, extra = new.select("id"), new.where(~F.col("del")).select("id", "vec")
+    if changes is not None:
+        masked, extra = changes.select("id"), changes.where(~F.col("del")).select("id", "vec")
     if allow is not None:
         allow = allow.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
         extra = None if extra is None else extra.join(allow, "id", "left_semi")
@@ -50,30 +55,27 @@ def search(
     exact = not graph and not codes
     if allow is not None and not exact:
         exact = filter_is_exact(graph, allow.count(), m.vector_count, s.ef, q.count(), codes)
-    if graph and not exact and not codes:
-        found = search_graph(_mark_hidden(rows, masked), q, s.k, m.metric, s.ef, radius, allowed=allow)
+    sq8 = (m.sq8_offset, m.sq8_scale) if codes else None
+    if graph and not exact:
+        hidden = rows if masked is None else rows.join(masked.withColumn("__m", F.lit(True)), "id", "left").withColumn("dead", F.col("dead") | F.col("__m").isNotNull())
+        positions = lambda r: r.groupBy("seg", "shard").agg(F.collect_list("pos").alias("pos"))  # noqa: E731  at most a shard's rows
+        only = None if allow is None else positions(hidden.where(~F.col("dead")).join(allow, "id", "left_semi"))
+        marked = positions(hidden.where("dead")) if allow is None and (masked is not None or len(m.chain) > 1) else None
+        found = search_graph(catalog.graph(m), q, s.k, m.metric, s.ef, s.radius, marked, only, sq8, s.rescore, s.oversampling)
     else:
         live = rows.where(~F.col("dead"))
         live = live if masked is None else live.join(masked, "id", "left_anti")
         live = live if allow is None else live.join(allow, "id", "left_semi")
         if exact:
             both = live.select("id", "vec")
-            return scan(both if extra is None else both.unionByName(extra), q, s.k, m.metric, radius)
-        found = search_codes(live, q, s.k, m.metric, m.sq8_offset, m.sq8_scale, s.rescore, s.oversampling, radius)
+            return scan(both if extra is None else both.unionByName(extra), q, s.k, m.metric, s.radius)
+        found = search_codes(live, q, s.k, m.metric, *sq8, s.rescore, s.oversampling, s.radius)
     found = found.select("qid", "id", "score")
     if extra is not None:
-        found = found.unionByName(scan(extra, q, s.k, m.metric, radius).select("qid", "id", "score"))
+        found = found.unionByName(scan(extra, q, s.k, m.metric, s.radius).select("qid", "id", "score"))
     return merge(found, m.metric, s.k)
 
 
-def _mark_hidden(rows: DataFrame, masked: DataFrame | None) -> DataFrame:
-    """Rows a walk passes through but must not return keep their place and lose their id's visibility."""
-    out = rows.withColumn("hide", F.col("dead"))
-    if masked is not None:
-        out = out.join(masked.select("id", F.lit(True).alias("__m")), "id", "left").withColumn("hide", F.col("hide") | F.col("__m").isNotNull())
-    return out
-
-
 def knn_join(catalog: Catalog, name: str, left: DataFrame, vec: str, k: int = 10, query: str | None = None, **params) -> DataFrame:
     """Each row of left with its k nearest rows of the snapshot: the columns of left and id, score, rank.
 
@@ -82,7 +84,10 @@ def knn_join(catalog: Catalog, name: str, left: DataFrame, vec: str, k: int = 10
     from .exact import check_k
 
     check_k(k)
-    keyed = left.withColumn("__qid", F.monotonically_increasing_id())
+    # numbered once and written: a second evaluation could number the rows of left otherwise
+    path = workspace(catalog.spark, "knn-left")
+    left.withColumn("__qid", F.monotonically_increasing_id()).write.parquet(path)
+    keyed = catalog.spark.read.parquet(path)
     vector = F.col(vec).cast("array<double>")
     if query is not None:
         vector = F.coalesce(vector, F.array(*[F.lit(x) for x in parse_queries(query)[0][1]]))
@@ -118,15 +123,13 @@ def vsearch(catalog: Catalog, name: str, rows: DataFrame, filtered: bool = False
     m = catalog.get(name)
     if bad.sid is not None and bad.sid > (m.active_snapshot or 0):
         raise ValueError(f"snapshot cache stale: snapshot {bad.sid} is newer than {m.active_snapshot}")
-    s = resolve(Settings(catalog.spark, params, m.defaults), m.dims or 0, params.pop("radius", None))
+    s = resolve(parameters(catalog.spark, params, m.defaults), m.dims or 0, params.pop("radius", None))
     q = rows.where(F.col("qid").isNotNull()).select("qid", "qvec")
     if query is not None:
         q = q.unionByName(as_queries(catalog, None, query))
     journal = rows.where(F.col("qid").isNull() & F.col("id").isNotNull() & ~_is_allow()).select("id", F.col("vec").cast("array<float>").alias("vec"), F.coalesce("del", F.lit(False)).alias("del"), F.col("ver").cast("long").alias("ver"))
-    data = overlay(catalog.live(m), journal)
-    if filtered or bad.allow:
-        data = data.join(rows.where(_is_allow()).select("id").distinct(), "id", "left_semi")
-    return scan(data, q, s.k, m.metric, s.radius)
+    allow = rows.where(_is_allow()).select("id") if filtered or bad.allow else None
+    return _search(catalog, m, s, q, latest(journal), allow)
 
 
 def _is_allow():

@@ -87,6 +87,15 @@ class TopK:
             order = np.lexsort((b, a))[: self.k]
             self.kept[j] = a[order], b[order]
 
+    def add_batch(self, ids, vecs) -> None:
+        """Arrow columns, in steps that bound the table of keys; a vector of another length is an error."""
+        bad = lengths(vecs) != self.queries.shape[1]
+        if bad.any():
+            raise ValueError(f"the vector of id {ids[int(bad.argmax())].as_py()} has another length than the query")
+        step = max(256, 8_000_000 // max(1, len(self.qids)))
+        for at in range(0, len(ids), step):
+            self.add(ids[at : at + step].to_numpy(), matrix(vecs[at : at + step]))
+
     def batch(self):
         import numpy as np
         import pyarrow as pa
@@ -105,153 +114,331 @@ def splitmix64(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def unit_rows(x):
+    """Rows scaled to length one; a zero row stays."""
+    import numpy as np
+
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def sq8_codes(x, offset: float, scale: float):
+    """Every element as one of 256 codes, in float32 arithmetic; NaN is code 0."""
+    import numpy as np
+
+    t = (np.asarray(x, np.float32) - np.float32(offset)) / np.float32(scale) + np.float32(0.5)
+    return np.where(t > 0, np.minimum(np.floor(np.where(t > 0, t, 0)), 255), 0).astype(np.uint8)
+
+
 class Graph:
-    """A hierarchical navigable small-world graph over the rows of one shard.
+    """A hierarchical navigable small-world graph over the rows of one shard, held in arrays.
 
-    links[level][node] is a list of node numbers; a node's level depends on the seed and its id alone.
+    Level 0 has every node and 2 m links each, a level above it the nodes whose level reaches it and m links each; a
+    node's level depends on the seed and its id alone.  A missing link is -1.  Instead of inserting row by row, a level
+    takes each node's closest rows by matrix products, keeps those that are closer to the node than to any neighbour
+    kept before, and links back; what no walk reaches then is linked from its closest reachable node.
     """
 
     def __init__(self, rows, ids, metric: str, m: int = 16, ef_construction: int = 200, seed: int = 1):
         import numpy as np
 
-        self.x, self.ids, self.metric, self.m, self.efc, self.seed = rows, ids, metric, m, ef_construction, seed
-        if metric == "cosine" and len(rows):
-            n = np.linalg.norm(rows, axis=1, keepdims=True)
-            self.x = np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)
-        self.level: list[int] = []
-        self.links: list[dict[int, list[int]]] = [{}]
-        self.entry = -1
+        self.ids, self.metric, self.m, self.efc, self.seed = np.asarray(ids, np.int64), metric, m, ef_construction, seed
+        self.x = np.asarray(unit_rows(rows) if metric == "cosine" else rows, np.float32)
+        self.nodes: list = []  # nodes of each level, ascending
+        self.links: list = []  # their links
+        self.entry, self.unreachable, self.repaired = -1, 0, 0
+
+    # distances; smaller is closer
 
     def keys(self, q, nodes):
+        """Keys of the rows `nodes` to the vectors q, one each (or one q for all)."""
         import numpy as np
 
         x = self.x[nodes]
         if self.metric == "l2":
-            return ((x - q) ** 2).sum(axis=1)
-        return np.abs(x - q).sum(axis=1) if self.metric == "l1" else -(x @ q)
+            return np.square(x - q).sum(axis=-1)
+        return np.abs(x - q).sum(axis=-1) if self.metric == "l1" else -(x * q).sum(axis=-1)
+
+    def table(self, rows, cols):
+        """Keys between all of rows and all of cols."""
+        import numpy as np
 
-    def level_of(self, i: int) -> int:
+        a, b = self.x[rows], self.x[cols]
+        if self.metric == "l1":
+            return np.stack([np.abs(b - r).sum(axis=1) for r in a]) if len(a) else np.zeros((0, len(b)), np.float32)
+        dot = a @ b.T
+        return np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None] - 2 * dot if self.metric == "l2" else -dot
+
+    # build
+
+    def levels(self):
         import math
 
-        u = (splitmix64(self.seed ^ splitmix64(int(self.ids[i]) & ((1 << 64) - 1))) >> 11) / (1 << 53)
-        return int(-math.log(u or 2.0**-53) / math.log(self.m))
+        import numpy as np
+
+        u = [(splitmix64(self.seed ^ splitmix64(int(i) & ((1 << 64) - 1))) >> 11) / (1 << 53) for i in self.ids]
+        return np.array([int(-math.log(x or 2.0**-53) / math.log(self.m)) for x in u], np.int64)
 
-    def walk(self, q, start: list[tuple[float, int]], ef: int, level: int, masked=None) -> list[tuple[float, int]]:
-        """The ef closest nodes found from start, closest first; masked nodes are passed through and not returned."""
+    def build(self) -> "Graph":
+        import numpy as np
+
+        top = self.levels()
+        self.nodes, self.links = [], []
+        for k in range(int(top.max(initial=-1)) + 1):
+            at = np.flatnonzero(top >= k)
+            self.nodes.append(at)
+            self.links.append(self.connect(at, self.m * (2 if k == 0 else 1)))
+        if len(self.ids):
+            self.entry = int(self.nodes[-1][0])
+            self.repaired = self.repair()
+        return self
+
+    def connect(self, at, most: int):
+        """Links of the nodes `at` among themselves: (len(at), most) node numbers, -1 where there is none."""
+        import numpy as np
+
+        n = len(at)
+        look = min(n - 1, max(self.efc // 4, most + most // 2))
+        out = np.full((n, most), -1, np.int32)
+        if look < 1:
+            return out
+        half = max(1, most // 2)
+        step = max(1, (1 << 21) // n)
+        ahead = np.full((n, half), -1, np.int64)
+        for s in range(0, n, step):
+            d = self.table(at[s : s + step], at)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            near = np.argpartition(d, look - 1, axis=1)[:, :look]
+            key = np.take_along_axis(d, near, 1)
+            order = np.lexsort((near, key), axis=1)
+            ahead[s : s + step] = self.spread(at, np.take_along_axis(near, order, 1), np.take_along_axis(key, order, 1), half)
+        # links back, the closest first, as far as there is room
+        src, col = np.nonzero(ahead >= 0)
+        dst = ahead[src, col]
+        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+        both = np.unique(np.stack([a, b]), axis=1)
+        a, b = both
+        own = np.zeros(len(a), bool)
+        known = set(zip(src.tolist(), dst.tolist()))
+        own[:] = [(x, y) in known for x, y in zip(a.tolist(), b.tolist())]
+        key = self.keys(self.x[at[a]], at[b])
+        order = np.lexsort((b, key, ~own, a))
+        a, b = a[order], b[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        ok = rank < most
+        out[a[ok], rank[ok]] = at[b[ok]]
+        return out
+
+    def spread(self, at, near, key, most: int):
+        """Of each row's candidates (ascending keys) those closer to the row than to any chosen one, then the closest of the rest."""
+        import numpy as np
+
+        n, c = near.shape
+        out = np.full((n, most), -1, np.int64)
+        step = max(1, (1 << 23) // max(1, c * c * self.x.shape[1] // 8 + 1))
+        for s in range(0, n, step):
+            nb, k = near[s : s + step], key[s : s + step]
+            x = self.x[at[nb]]
+            if self.metric == "l1":
+                among = np.stack([np.abs(x - x[:, [j]]).sum(axis=2) for j in range(c)], axis=2)
+            else:
+                dot = np.matmul(x, x.transpose(0, 2, 1))
+                sq = np.square(x).sum(axis=2)
+                among = sq[:, :, None] + sq[:, None, :] - 2 * dot if self.metric == "l2" else -dot
+            chosen, count = np.zeros(nb.shape, bool), np.zeros(len(nb), np.int64)
+            for j in range(c):
+                blocked = (chosen & (among[:, j, :] <= k[:, [j]])).any(axis=1)
+                take = ~blocked & (count < most)
+                chosen[:, j] = take
+                count += take
+            place = np.argsort(~chosen, axis=1, kind="stable")[:, :most]
+            got = np.take_along_axis(nb, place, 1)
+            out[s : s + step, : got.shape[1]] = got
+        return out
+
+    def reached(self):
+        """Which nodes a walk on level 0 can reach from the entry: a boolean for each."""
+        import numpy as np
+
+        seen = np.zeros(len(self.ids), bool)
+        front = np.array([self.entry]) if self.entry >= 0 else np.zeros(0, np.int64)
+        while len(front):
+            seen[front] = True
+            nxt = np.unique(self.links[0][front])
+            front = nxt[(nxt >= 0)]
+            front = front[~seen[front]]
+        return seen
+
+    def repair(self) -> int:
+        """Link every node that no walk reaches from its closest reachable one, in place of its last link; returns how many there were."""
+        import numpy as np
+
+        fixed, room = 0, self.links[0].shape[1]
+        for _ in range(50):
+            seen = self.reached()
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            there = np.flatnonzero(seen)
+            i = int(lost[0])
+            host = int(there[int(np.argmin(self.table([i], there)[0]))])
+            row = self.links[0][host]
+            free = np.flatnonzero(row < 0)
+            if len(free):
+                row[free[0]] = i
+            else:  # the graph grows by a column rather than losing a link
+                self.links[0] = np.concatenate([self.links[0], np.full((len(self.ids), 1), -1, np.int32)], axis=1)
+                self.links[0][host, room] = i
+                room += 1
+            fixed += 1
+        self.unreachable = int((~self.reached()).sum())
+        return fixed
+
+    # search
+
+    def beam(self, q, start, ef: int, level: int, width: int = 4):
+        """The ef closest nodes that walks on a level from start find, for all rows of q at once: (keys, nodes), ascending, -1 beyond."""
+        import numpy as np
+
+        n, at, links = len(q), self.nodes[level], self.links[level]
+        whole = len(at) == len(self.ids)
+        ef = min(ef, len(at))
+        width = min(width, ef)
+        keys, nodes, done = np.full((n, ef), np.inf, np.float32), np.full((n, ef), -1, np.int64), np.ones((n, ef), bool)
+        seen = np.zeros((n, len(self.ids)), bool)
+        seen[np.arange(n), start] = True
+        keys[:, 0], nodes[:, 0], done[:, 0] = self.keys(q, start), start, False
+        while True:
+            todo = np.where(done, np.inf, keys)
+            row = np.flatnonzero(np.isfinite(todo).any(axis=1))
+            if not len(row):
+                break
+            pick = np.argpartition(todo[row], width - 1, axis=1)[:, :width] if width < ef else np.broadcast_to(np.arange(ef), (len(row), ef))
+            open_ = np.isfinite(np.take_along_axis(todo[row], pick, 1))
+            done[row[:, None], pick] = True
+            r, c = np.nonzero(open_)
+            from_ = nodes[row[r], pick[r, c]]
+            nb = links[from_ if whole else np.searchsorted(at, from_)]
+            i, j = np.nonzero(nb >= 0)
+            who, new = r[i], nb[i, j].astype(np.int64)
+            fresh = ~seen[row[who], new]
+            who, new = who[fresh], new[fresh]
+            if not len(new):
+                continue
+            pair = np.unique(who * len(self.ids) + new)  # two expanded nodes may share a neighbour
+            who, new = pair // len(self.ids), pair % len(self.ids)
+            seen[row[who], new] = True
+            k = np.concatenate([self.keys(q[row[who[s : s + 200_000]]], new[s : s + 200_000]) for s in range(0, len(new), 200_000)])
+            count = np.bincount(who, minlength=len(row))
+            col = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            more = int(count.max())
+            nk, nn = np.full((len(row), more), np.inf, np.float32), np.full((len(row), more), -1, np.int64)
+            nk[who, col], nn[who, col] = k, new
+            k2, n2 = np.concatenate([keys[row], nk], axis=1), np.concatenate([nodes[row], nn], axis=1)
+            d2 = np.concatenate([done[row], np.zeros(nk.shape, bool)], axis=1)
+            best = np.argpartition(k2, ef - 1, axis=1)[:, :ef]
+            keys[row], nodes[row], done[row] = np.take_along_axis(k2, best, 1), np.take_along_axis(n2, best, 1), np.take_along_axis(d2, best, 1)
+            done[row] |= nodes[row] < 0
+        order = np.lexsort((nodes, keys), axis=1)
+        return np.take_along_axis(keys, order, 1), np.take_along_axis(nodes, order, 1)
+
+    def descend(self, q):
+        """For each row of q the node from which the walk on level 0 begins."""
+        import numpy as np
+
+        at = np.full(len(q), self.entry)
+        for k in range(len(self.nodes) - 1, 0, -1):
+            at = self.beam(q, at, 1, k)[1][:, 0]
+        return at
+
+    def walk(self, q, start: int, ef: int, masked) -> list[tuple[float, int]]:
+        """One query on level 0; masked nodes are passed through and not returned, so the walk goes on until ef others are found."""
         import heapq
 
-        seen = {n for _, n in start}
-        todo = list(start)
-        heapq.heapify(todo)
-        best = [(-k, -n) for k, n in start if masked is None or not masked[n]]
-        heapq.heapify(best)
-        table = self.links[level]
+        import numpy as np
+
+        seen = np.zeros(len(self.ids), bool)
+        seen[start] = True
+        key = float(self.keys(q, np.array([start]))[0])
+        todo, best = [(key, start)], [] if masked[start] else [(-key, -start)]
         while todo:
             key, node = heapq.heappop(todo)
             if len(best) >= ef and key > -best[0][0]:
                 break
-            new = [n for n in table[node] if n not in seen]
-            if not new:
+            nb = self.links[0][node]
+            new = nb[nb >= 0]
+            new = new[~seen[new]]
+            seen[new] = True
+            if not len(new):
                 continue
-            seen.update(new)
-            for k, n in zip(self.keys(q, new).tolist(), new):
+            for k, n in zip(self.keys(q, new).tolist(), new.tolist()):
                 if len(best) < ef or k < -best[0][0]:
                     heapq.heappush(todo, (k, n))
-                    if masked is None or not masked[n]:
+                    if not masked[n]:
                         heapq.heappush(best, (-k, -n))
                         if len(best) > ef:
                             heapq.heappop(best)
         return sorted((-k, -n) for k, n in best)
 
-    def spread(self, near: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours that are closer to the node than to any neighbour already chosen, then the closest of the rest."""
-        chosen, rest = [], []
-        for k, n in near:
-            if len(chosen) >= most:
-                break
-            if not chosen or (self.keys(self.x[n], chosen) > k).all():
-                chosen.append(n)
-            else:
-                rest.append(n)
-        return chosen + rest[: most - len(chosen)]
+    def search(self, queries, k: int, ef: int, masked=None, radius_key: float | None = None) -> list:
+        """Node numbers of the k closest for each query, closest first.
 
-    def descend(self, q, level: int) -> list[tuple[float, int]]:
-        at = [(float(self.keys(q, [self.entry])[0]), self.entry)]
-        for k in range(self.level[self.entry], level, -1):
-            at = self.walk(q, at, 1, k)
-        return at
+        With a radius the list grows fourfold while it may not hold all within it.
+        """
+        import numpy as np
 
-    def insert(self, i: int) -> None:
-        top = self.level_of(i)
-        self.level.append(top)
-        while len(self.links) <= top:
-            self.links.append({})
-        for k in range(top + 1):
-            self.links[k][i] = []
-        if self.entry < 0:
-            self.entry = i
-            return
-        q = self.x[i]
-        at = self.descend(q, min(top, self.level[self.entry]))
-        for k in range(min(top, self.level[self.entry]), -1, -1):
-            at = self.walk(q, at, self.efc, k)
-            room = self.m * (2 if k == 0 else 1)
-            self.links[k][i] = self.spread(at, self.m)
-            for n in self.links[k][i]:
-                back = self.links[k][n]
-                back.append(i)
-                if len(back) > room:
-                    near = sorted(zip(self.keys(self.x[n], back).tolist(), back))
-                    self.links[k][n] = self.spread(near, room)
-        if top > self.level[self.entry]:
-            self.entry = i
+        q = np.asarray(unit_rows(queries) if self.metric == "cosine" else queries, np.float32)
+        if self.entry < 0 or not len(q):
+            return [np.zeros(0, np.int64)] * len(q)
+        start = self.descend(q)
 
-    def build(self) -> "Graph":
-        for i in range(len(self.ids)):
-            self.insert(i)
-        self.repair()
-        return self
+        def found(rows, size):
+            if masked is not None:
+                return [(np.array([x for x, _ in w], np.float32), np.array([n for _, n in w], np.int64)) for i in rows for w in [self.walk(q[i], int(start[i]), size, masked)]]
+            keys, nodes = self.beam(q[rows], start[rows], size, 0)
+            return [(a[b >= 0], b[b >= 0]) for a, b in zip(keys, nodes)]
 
-    def reached(self) -> set[int]:
-        if self.entry < 0:
-            return set()
-        seen, todo = {self.entry}, [self.entry]
-        while todo:
-            for n in self.links[0][todo.pop()]:
-                if n not in seen:
-                    seen.add(n)
-                    todo.append(n)
-        return seen
+        rows = np.arange(len(q))
+        if radius_key is None:
+            return [n[:k] for _, n in found(rows, max(ef, k))]
+        out, size = [None] * len(q), min(ef, k)
+        while len(rows):
+            left = []
+            for i, (key, node) in zip(rows.tolist(), found(rows, size)):
+                # float32 keys rank; who lies within the radius is decided exactly by the caller
+                out[i] = node[key <= radius_key + 1e-5 * (1 + abs(radius_key))][:k]
+                if size < k and 4 * len(out[i]) > size and len(node) >= min(size, len(self.ids)) and size < len(self.ids):
+                    left.append(i)
+            rows, size = np.array(left, np.int64), min(k, 4 * size)
+        return out
+
+    # storage
+
+    def pack(self) -> dict:
+        """Bytes of every array, by name."""
+        import numpy as np
 
-    def repair(self) -> int:
-        """Link every node that no walk on level 0 reaches from its nearest reachable node; returns how many there were."""
-        seen, fixed = self.reached(), 0
-        for i in range(len(self.ids)):
-            if i not in seen:
-                near = self.walk(self.x[i], self.descend(self.x[i], 0), self.efc, 0)
-                self.links[0][min(near)[1]].append(i)
-                seen = seen | {i} | set(self.links[0][i])
-                fixed += 1
-        return fixed
+        sizes = np.array([x for n, l in zip(self.nodes, self.links) for x in (len(n), l.shape[1])], np.int32)
+        return {
+            "ids": self.ids.astype("<i8").tobytes(), "shape": sizes.tobytes(),
+            "nodes": b"".join(n.astype("<i4").tobytes() for n in self.nodes[1:]), "links": b"".join(l.astype("<i4").tobytes() for l in self.links), "entry": self.entry, "unreachable": self.unreachable,
+        }
 
-    def search(self, q, k: int, ef: int, masked=None, radius_key: float | None = None, first_ef: int | None = None) -> list[tuple[float, int]]:
-        """The k closest (key, node); with a radius the list grows fourfold while it may not hold all within it."""
+    @classmethod
+    def unpack(cls, rows, r: dict, metric: str) -> "Graph":
         import numpy as np
 
-        if self.entry < 0:
-            return []
-        if self.metric == "cosine":
-            n = float(np.linalg.norm(q))
-            q = q / n if n else q
-        at = self.descend(q, 0)
-        if radius_key is None:
-            return self.walk(q, at, max(ef, k), 0, masked)[:k]
-        size = min(first_ef or ef, k)
-        while True:
-            found = [f for f in self.walk(q, at, size, 0, masked) if f[0] <= radius_key]
-            if size >= k or 4 * len(found) <= size:
-                return found[:k]
-            size = min(k, 4 * size)
+        g = cls(rows, np.frombuffer(r["ids"], "<i8"), metric)
+        shape = np.frombuffer(r["shape"], np.int32).reshape(-1, 2)
+        nodes, links = np.frombuffer(r["nodes"], "<i4"), np.frombuffer(r["links"], "<i4")
+        a = b = 0
+        for k, (n, w) in enumerate(shape.tolist()):
+            g.nodes.append(np.arange(n) if k == 0 else nodes[a : a + n].astype(np.int64))
+            a += 0 if k == 0 else n
+            g.links.append(links[b : b + n * w].reshape(n, w))
+            b += n * w
+        g.entry, g.unreachable = r["entry"], r["unreachable"]
+        return g
 
 
 def grouped(batches, keys: list[str]):

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from .catalog import FORMAT_VERSION, Catalog
-from .sizing import estimate
+from .refresh import verify
+from .sizing import build_mb, estimate
+
+#: A delta that takes longer to read is warned of.
+SLOW_DELTA_MS = 500
 
 
 def status(catalog: Catalog, name: str) -> DataFrame:
@@ -32,6 +36,8 @@ def status(catalog: Catalog, name: str) -> DataFrame:
         began = time.time()
         n = catalog.delta(m).count()
         ms = int((time.time() - began) * 1000)
+        if ms > SLOW_DELTA_MS:
+            out.append(("warning", f"index {name}: the delta took {ms} ms to read, which every exact query pays: keep the journal's files apart by version, or refresh more often"))
         out.append(("notice", f"index {name}: {n} journal rows in the delta, read in {ms} ms"))
         if n > 100_000:
             out.append(("warning", f"index {name}: the delta holds {n} rows. Every exact query searches them: refresh more often."))
@@ -44,22 +50,49 @@ def status(catalog: Catalog, name: str) -> DataFrame:
         out.append(("notice", f"index {name}: no snapshot yet, no sizing check"))
     else:
         e = estimate(max(positions, 1), m.dims, m.index_type, m.quantization)
-        out.append(("notice", f"index {name}: sizing: index {e['total_mb']:.1f} MB"))
+        every = sum(estimate(max(x.vector_count + x.tombstones, 1), x.dims, x.index_type, x.quantization)["total_mb"] for x in map(catalog.get, catalog.names()) if x.dims)
+        memory, free = memory_mb(catalog.spark), catalog._fs.getStatus(catalog._path(catalog.root)).getRemaining() / 1048576
+        build = build_mb(max(positions, 1), m.dims, m.index_type, m.quantization)
+        out.append(("notice", f"index {name}: sizing: index {e['total_mb']:.1f} MB, all indexes {every:.1f} MB, build about {build:.1f} MB"))
+        if e["total_mb"] > memory / 2:
+            out.append(("warning", f"index {name}: {e['total_mb']:.0f} MB are more than half of the {memory:.0f} MB of the executors: quantization sq8 makes it smaller"))
+        if build > free:
+            out.append(("warning", f"index {name}: a full build needs about {build:.0f} MB, {free:.0f} MB are free under {catalog.root}"))
     return catalog.spark.createDataFrame(out, "level string, message string")
 
 
+def memory_mb(spark: SparkSession) -> float:
+    """Storage and execution memory of all executors."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    it, total = status.valuesIterator(), 0
+    while it.hasNext():
+        total += it.next()._1()
+    return total / 1048576
+
+
 def info(catalog: Catalog, name: str | None = None) -> DataFrame:
-    """One row per index with the facts of its manifest and files."""
+    """One row per index with the facts of its manifest and files.
+
+    loaded: every file of the snapshot is there; resident_mb: its cached delta; what describes the memory mapping of a
+    node (hugepages, swappiness, max_map_count) has no counterpart and is null.
+    """
     rows = []
+    size = lambda path: int(catalog._fs.getContentSummary(catalog._path(path)).getLength()) if catalog._exists(path) else 0
+    free = int(catalog._fs.getStatus(catalog._path(catalog.root)).getRemaining() / 1048576)
     for n in [name] if name else catalog.names():
         m = catalog.get(n, "info")
         top = f"{catalog.root}/snapshots/{n}"
-        size = catalog._fs.getContentSummary(catalog._path(top)).getLength() if catalog._exists(top) else 0
-        rows.append((n, m.active_snapshot, m.max_ver, m.vector_count, m.dims, m.metric, m.index_type, m.quantization, m.tombstones, m.chain[0] if m.chain else None, m.precision_default, m.freshness_default, m.ef_search_default, m.threads_default, top, m.active_snapshot is not None, int(size), m.unreachable))
+        there = bool(m.chain) and all(catalog._exists(f"{catalog.segment_path(n, s)}/_SUCCESS") for s in m.chain)
+        graph = sum(size(catalog.segment_path(n, s, "graph")) for s in m.chain) if m.index_type == "hnsw" else 0
+        rows.append((
+            catalog.spark.sparkContext.applicationId, n, m.active_snapshot, m.max_ver, m.vector_count, m.dims, m.metric, m.index_type, m.quantization, graph, m.tombstones, m.chain[0] if m.chain else None,
+            m.precision_default, m.freshness_default, m.ef_search_default, m.threads_default, top, there, 0, m.vector_count + m.tombstones, size(top), m.unreachable, free, int(memory_mb(catalog.spark)), None, None, None,
+        ))
     return catalog.spark.createDataFrame(
         rows,
-        "index_name string, snapshot_id long, max_ver long, vector_count long, dims long, metric string, index_type string, quantization string, tombstones long, base_snapshot long, "
-        "precision_default string, freshness_default string, ef_search_default long, threads_default long, cache_file string, loaded boolean, file_bytes long, unreachable long",
+        "node_name string, index_name string, snapshot_id long, max_ver long, vector_count long, dims long, metric string, index_type string, quantization string, graph_bytes long, tombstones long, base_snapshot long, "
+        "precision_default string, freshness_default string, ef_search_default long, threads_default long, cache_file string, loaded boolean, resident_mb long, capacity long, file_bytes long, unreachable long, "
+        "cache_free_mb long, mem_available_mb long, hugepages string, swappiness long, max_map_count long",
     )
 
 
@@ -68,7 +101,7 @@ def version(spark: SparkSession) -> DataFrame:
 
 
 def warm(catalog: Catalog, name: str | None = None) -> dict[str, int]:
-    """Check that the files of one or all indexes are complete and read them once: how many are fine, broken, without snapshot."""
+    """Read one or all indexes once and verify them: how many are fine, broken, without snapshot."""
     out = {"fine": 0, "broken": 0, "without_snapshot": 0}
     for n in [name] if name else catalog.names():
         m = catalog.get(n, "warm")
@@ -76,8 +109,7 @@ def warm(catalog: Catalog, name: str | None = None) -> dict[str, int]:
             out["without_snapshot"] += 1
             continue
         try:
-            ok = catalog.live(m).agg(F.count("*"), F.countDistinct("id")).first()
-            out["fine" if ok[0] == ok[1] == m.vector_count else "broken"] += 1
+            out["fine" if all(r.fine for r in verify(catalog, n).collect()) else "broken"] += 1
         except ValueError:
             out["broken"] += 1
     return out

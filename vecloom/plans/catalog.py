@@ -1,7 +1,8 @@
-"""The index catalog: one manifest file per index, versioned snapshot folders, a refresh lock.
+"""The index catalog: numbered manifests of each index, versioned snapshot folders, a refresh lock.
 
 Everything lives under one root folder, read and written through Hadoop's file system API, so any store Spark can use
-will do.  A manifest is replaced by a rename at the end of a change; readers see the old or the new one.
+will do.  A change writes the manifest with the next number, under another name first, and no file is ever replaced;
+the highest number is the current manifest.  So readers see the old or the new one, and a crash leaves the old one.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..sources.journal import JournalSpec, delta, normalise
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -65,6 +67,7 @@ class Manifest:
     refreshes_since_verify: int = 0
     sq8_offset: float | None = None
     sq8_scale: float | None = None
+    checksums: dict = field(default_factory=dict)
     unreachable: int | None = None
     build_seconds: float | None = None
     refresh_note: str | None = None
@@ -87,6 +90,7 @@ class Manifest:
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._replicas: dict = {}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -104,45 +108,56 @@ class Catalog:
         finally:
             s.close()
 
-    def _write(self, path: str, text: str, replace: bool = True) -> bool:
-        """Write beside the target, then rename; without replace False if the target is there already."""
-        if not replace:
-            try:
-                out = self._fs.create(self._path(path), False)
-            except Exception:  # noqa: BLE001  py4j wraps the "already exists" of the file system
-                return False
-            out.write(bytearray(text.encode()))
-            out.close()
-            return True
-        tmp = f"{path}.{uuid.uuid4().hex}"
-        out = self._fs.create(self._path(tmp), True)
+    def _create(self, path: str, text: str) -> bool:
+        """Write a new file; False if it is there already."""
+        try:
+            out = self._fs.create(self._path(path), False)
+        except Exception:  # noqa: BLE001  py4j wraps the "already exists" of the file system
+            return False
         out.write(bytearray(text.encode()))
         out.close()
-        if self._exists(path):
-            self._fs.delete(self._path(path), False)
-        self._fs.rename(self._path(tmp), self._path(path))
         return True
 
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))] if self._exists(folder) else []
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
     # manifests
 
     def names(self) -> list[str]:
-        files = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/catalog"))]
-        return sorted(f[:-5] for f in files if f.endswith(".json"))
+        return sorted(n for n in self._names(f"{self.root}/catalog") if self._numbers(n))
+
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names(f"{self.root}/catalog/{name}") if n.endswith(".json") and n[:-5].isdigit())
 
     def get(self, name: str, who: str = "search") -> Manifest:
-        path = f"{self.root}/catalog/{name}.json"
-        if not self._exists(path):
-            raise ValueError(f"{who}: index {name} is not registered")
-        return Manifest(**json.loads(self._read(path)))
+        for _ in range(5):  # a number may be cleared away between the listing and the reading
+            numbers = self._numbers(name)
+            if not numbers:
+                break
+            try:
+                return Manifest(**json.loads(self._read(f"{self.root}/catalog/{name}/{numbers[-1]}.json")))
+            except Py4JJavaError:
+                continue
+        raise ValueError(f"{who}: index {name} is not registered")
 
     def put(self, m: Manifest) -> None:
-        self._write(f"{self.root}/catalog/{m.name}.json", json.dumps(asdict(m)))
+        folder = f"{self.root}/catalog/{m.name}"
+        numbers = self._numbers(m.name)
+        at = numbers[-1] + 1 if numbers else 1
+        new = f"{folder}/{uuid.uuid4().hex}.new"
+        self._create(new, json.dumps(asdict(m)))
+        if self._exists(f"{folder}/{at}.json") or not self._fs.rename(self._path(new), self._path(f"{folder}/{at}.json")):
+            self.delete(new)
+            raise RuntimeError(f"index {m.name}: its manifest was changed meanwhile")
+        for old in numbers[:-1]:
+            self.delete(f"{folder}/{old}.json")
 
     def remove(self, name: str) -> None:
-        self.delete(f"{self.root}/catalog/{name}.json")
+        self.release(name)
+        self.delete(f"{self.root}/catalog/{name}")
         self.delete(f"{self.root}/snapshots/{name}")
 
     # sources and snapshots
@@ -154,8 +169,20 @@ class Catalog:
         return normalise(self.source(m), m.spec)
 
     def delta(self, m: Manifest) -> DataFrame:
+        """The journal after the boundary; with journal_replica on, one cached copy of it until the boundary moves."""
         d = delta(self.journal(m), m.boundary)
-        return d.cache() if m.journal_replica == "on" else d
+        if m.journal_replica != "on":
+            return d
+        if self._replicas.get(m.name, (None,))[0] != m.boundary:
+            self.release(m.name)
+            self._replicas[m.name] = m.boundary, d.cache()
+        return self._replicas[m.name][1]
+
+    def release(self, name: str) -> None:
+        """Let go of the cached delta of an index."""
+        held = self._replicas.pop(name, None)
+        if held is not None:
+            held[1].unpersist()
 
     def segment_path(self, name: str, sid: int, part: str = "rows") -> str:
         return f"{self.root}/snapshots/{name}/{sid}/{part}"
@@ -181,26 +208,59 @@ class Catalog:
         joined = rows.join(last, F.col("id") == F.col("__id"), "left")
         return joined.withColumn("dead", F.coalesce(F.col("seg") < F.col("__upto"), F.lit(False))).drop("__id", "__upto")
 
+    def graph(self, m: Manifest) -> DataFrame:
+        """The shards of the active snapshot's graphs with seg."""
+        out = None
+        for sid in m.chain:
+            part = self.spark.read.parquet(self.segment_path(m.name, sid, "graph")).withColumn("seg", F.lit(sid))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def live(self, m: Manifest) -> DataFrame:
         return self.snapshot(m).where(~F.col("dead"))
 
     def make_views(self, m: Manifest) -> None:
-        """Temp views <name>_snap (one row with the active snapshot) and <name>_delta (the journal after the boundary)."""
-        self.spark.range(1).select(F.lit(m.active_snapshot).cast("long").alias("snapshot_id")).createOrReplaceTempView(f"{m.name}_snap")
+        """Temp views of seven columns: <name>_snap (a row with the active snapshot), <name>_delta (the journal after the boundary, and that row)."""
+        none = lambda kind: F.lit(None).cast(kind)
+        nothing = {"qid": "long", "qvec": "array<float>", "id": "long", "vec": "array<float>", "del": "boolean", "ver": "long"}
+        snap = self.spark.range(1).select(*[none(k).alias(c) for c, k in nothing.items()], F.lit(m.active_snapshot).cast("long").alias("snapshot_id"))
+        snap.createOrReplaceTempView(f"{m.name}_snap")
         if m.ver_col is not None and m.boundary is not None:
-            self.delta(m).createOrReplaceTempView(f"{m.name}_delta")
+            rows = self.delta(m).select(none("long").alias("qid"), none("array<float>").alias("qvec"), "id", "vec", "del", "ver", none("long").alias("snapshot_id"))
+            rows.unionByName(snap).createOrReplaceTempView(f"{m.name}_delta")
 
     # the refresh lock
 
     def lock(self, m: Manifest) -> str:
+        """Take the lock; returns the owner's name for unlock().  A stale lock is moved away first, which only one can do."""
+        path, me = f"{self.root}/catalog/{m.name}.lock", uuid.uuid4().hex
+        mine = json.dumps({"by": me, "at": time.time()})
+        if self._create(path, mine):
+            return me
+        held = self._held(path)
+        if held and time.time() - held.get("at", 0) < max(21600, 4 * (m.build_seconds or 0)):
+            raise RuntimeError(f"index {m.name}: another refresh is running (by {held.get('by')})")
+        aside = f"{path}.{me}"
+        moved = self._exists(path) and self._fs.rename(self._path(path), self._path(aside))
+        if moved and self._held(aside).get("by") != held.get("by"):
+            self._fs.rename(self._path(aside), self._path(path))  # someone else had replaced it in between
+            moved = False
+        self.delete(aside)
+        if not moved or not self._create(path, mine):
+            raise RuntimeError(f"index {m.name}: another refresh is running")
+        return me
+
+    def _held(self, path: str) -> dict:
+        try:
+            return json.loads(self._read(path) or "{}")
+        except (Py4JJavaError, ValueError):
+            return {}
+
+    def unlock(self, m: Manifest, owner: str) -> None:
+        """Give the lock back, if it is still the owner's."""
         path = f"{self.root}/catalog/{m.name}.lock"
-        mine = json.dumps({"by": uuid.uuid4().hex, "at": time.time()})
-        if not self._write(path, mine, replace=False):
-            held = json.loads(self._read(path) or "{}")
-            if time.time() - held.get("at", 0) < max(21600, 4 * (m.build_seconds or 0)):
-                raise RuntimeError(f"index {m.name}: another refresh is running (by {held.get('by')})")
-            self._write(path, mine)
-        return path
+        if self._held(path).get("by") == owner:
+            self.delete(path)
 
 
 def register(

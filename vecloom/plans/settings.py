@@ -1,9 +1,11 @@
-"""Parameters of a search: precedence, presets, checks; and the cost rule for filtered searches."""
+"""Parameters of a search: one table of them, presets, checks; and the cost rule for filtered searches."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 from pyspark.sql import SparkSession
 
@@ -11,54 +13,67 @@ MAX_K = 16384
 #: Session parameters are Spark settings with this prefix.
 PREFIX = "vecloom."
 
+_WORDS = {"true": True, "t": True, "1": True, "yes": True, "false": False, "f": False, "0": False, "no": False}
 
-class Settings:
-    """call > session (spark.conf) > index default > built-in; a bad value names where it comes from."""
 
-    def __init__(self, spark: SparkSession | None, call: dict | None = None, index: dict | None = None):
-        self.call = {k: v for k, v in (call or {}).items() if v is not None}
-        self.index = {k: v for k, v in (index or {}).items() if v is not None}
-        self.session = (lambda name: spark.conf.get(PREFIX + name, None)) if spark is not None else (lambda name: None)
+def _finite(text: Any) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(text)
+    return x
 
-    def _lookup(self, name: str):
-        if (v := self.session(name)) is not None:
-            return v, "session parameter"
-        if name in self.index:
-            return self.index[name], "index default"
-        return None, ""
 
-    def has(self, name: str) -> bool:
-        return name in self.call or self._lookup(name)[0] is not None
+class Kind(NamedTuple):
+    """How a value is read from the text of a setting, and what it must be."""
 
-    def _get(self, name: str, builtin, read, what: str):
-        if name in self.call:
-            return self.call[name]
-        v, source = self._lookup(name)
-        if v is None:
-            return builtin
-        try:
-            return read(v)
-        except (ValueError, KeyError):
-            raise ValueError(f"{source} {name} = '{v}' is not {what}") from None
+    read: Callable[[Any], Any]
+    what: str
 
-    def text(self, name: str, builtin: str) -> str:
-        return str(self._get(name, builtin, str, "text"))
 
-    def integer(self, name: str, builtin: int) -> int:
-        return int(self._get(name, builtin, lambda v: int(str(v)), "an integer"))
+TEXT = Kind(str, "text")
+WHOLE = Kind(lambda v: int(str(v)), "an integer")
+NUMBER = Kind(_finite, "a number")
+YES_NO = Kind(lambda v: _WORDS[str(v).lower()], "true or false")
 
-    def real(self, name: str, builtin: float) -> float:
-        def read(v):
-            x = float(v)
-            if not math.isfinite(x):
-                raise ValueError
-            return x
 
-        return float(self._get(name, builtin, read, "a number"))
+class Parameter(NamedTuple):
+    kind: Kind
+    ok: Callable[[Any], bool]
+    message: str  # what is said of a value that isn't ok; {0} is the value
 
-    def boolean(self, name: str, builtin: bool) -> bool:
-        words = dict.fromkeys(("true", "t", "1", "yes"), True) | dict.fromkeys(("false", "f", "0", "no"), False)
-        return bool(self._get(name, builtin, lambda v: words[str(v).lower()], "true or false"))
+
+#: Every parameter of a search.  None as a value: the preset of the precision.
+PARAMETERS = {
+    "k": Parameter(WHOLE, lambda v: 1 <= v <= MAX_K, "k must be 1 to 16384, not {0}"),
+    "precision": Parameter(TEXT, {"fast", "balanced", "best", "exact"}.__contains__, "precision must be fast, balanced, best or exact, not '{0}'"),
+    "freshness": Parameter(TEXT, {"snapshot", "exact"}.__contains__, "freshness must be snapshot or exact, not '{0}'"),
+    "ef_search": Parameter(WHOLE, lambda v: 0 <= v <= 100000, "ef_search must be 0 (preset) to 100000"),
+    "oversampling": Parameter(NUMBER, lambda v: 1 <= v <= 100, "oversampling must be 1 to 100"),
+    "threads": Parameter(WHOLE, lambda v: 0 <= v <= 64, "threads must be 0 (one per core) to 64"),
+    "exact": Parameter(YES_NO, lambda v: True, ""),
+    "rescore": Parameter(YES_NO, lambda v: True, ""),
+}
+
+
+def parameters(spark: SparkSession | None, call: Mapping | None = None, index: Mapping | None = None) -> dict[str, Any]:
+    """The parameters that are given somewhere: those of the call before those of the session, these before the index' defaults.
+
+    A value that can't be read names where it comes from.
+    """
+    out = {}
+    for name, p in PARAMETERS.items():
+        if (call or {}).get(name) is not None:
+            out[name] = call[name]
+            continue
+        settings = ("session parameter", None if spark is None else spark.conf.get(PREFIX + name, None)), ("index default", (index or {}).get(name))
+        for source, value in settings:
+            if value is not None:
+                try:
+                    out[name] = p.kind.read(value)
+                except (ValueError, KeyError):
+                    raise ValueError(f"{source} {name} = '{value}' is not {p.kind.what}") from None
+                break
+    return out
 
 
 @dataclass(frozen=True)
@@ -79,31 +94,21 @@ class SearchSettings:
         return quantization == "sq8" and not self.exact
 
 
-def resolve(s: Settings, dims: int, radius: float | None = None) -> SearchSettings:
+def resolve(given: Mapping[str, Any], dims: int, radius: float | None = None) -> SearchSettings:
     """Checked settings with the presets of the precision levels."""
-    k = s.integer("k", 10)
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be 1 to 16384, not {k}")
-    precision = s.text("precision", "balanced")
-    if precision not in ("fast", "balanced", "best", "exact"):
-        raise ValueError(f"precision must be fast, balanced, best or exact, not '{precision}'")
-    freshness = s.text("freshness", "exact")
-    if freshness not in ("snapshot", "exact"):
-        raise ValueError(f"freshness must be snapshot or exact, not '{freshness}'")
-    ef = s.integer("ef_search", 0)
-    if not 0 <= ef <= 100000:
-        raise ValueError("ef_search must be 0 (preset) to 100000")
-    oversampling = s.real("oversampling", {"best": 4.0, "balanced": 4.0 if dims >= 512 else 2.0}.get(precision, 1.0))
-    if not 1 <= oversampling <= 100:
-        raise ValueError("oversampling must be 1 to 100")
-    threads = s.integer("threads", 0)
-    if not 0 <= threads <= 64:
-        raise ValueError("threads must be 0 (one per core) to 64")
+    for name, value in given.items():
+        p = PARAMETERS[name]
+        if not p.ok(value):
+            raise ValueError(p.message.format(value))
     if radius is not None and not math.isfinite(radius):
         raise ValueError("radius must be a finite number")
-    preset = {"best": 400, "balanced": 100}.get(precision, max(2 * k, 32) if radius is None else 32)
-    exact = s.boolean("exact", False) or precision == "exact"
-    return SearchSettings(k, precision, freshness, ef or preset, exact, s.boolean("rescore", precision != "fast"), oversampling, radius)
+    k, precision = int(given.get("k", 10)), given.get("precision", "balanced")
+    narrow = 32 if radius is not None else max(2 * k, 32)
+    ef, factor = {"best": (400, 4.0), "balanced": (100, 4.0 if dims >= 512 else 2.0)}.get(precision, (narrow, 1.0))
+    return SearchSettings(
+        k, precision, given.get("freshness", "exact"), int(given.get("ef_search", 0)) or ef, bool(given.get("exact", False)) or precision == "exact",
+        bool(given.get("rescore", precision != "fast")), float(given.get("oversampling", factor)), radius,
+    )
 
 
 def filter_exact_limit(ef: int, count: int) -> int:

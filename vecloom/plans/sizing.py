@@ -26,6 +26,11 @@ def estimate(vectors: int, dims: int, index_type: str = "flat", quantization: st
     return out
 
 
+def build_mb(vectors: int, dims: int, index_type: str = "flat", quantization: str = "none") -> float:
+    """Megabytes a full build writes and sorts: the snapshot and 4 bytes a vector."""
+    return estimate(vectors, dims, index_type, quantization)["total_mb"] + vectors * 4 / MB
+
+
 def sizing(spark: SparkSession, vectors: int, dims: int, index_type: str = "flat", quantization: str = "none") -> DataFrame:
     e = estimate(vectors, dims, index_type, quantization)
-    return spark.createDataFrame([(vectors, dims, index_type, quantization, *e.values())], "vectors long, dims long, index_type string, quantization string, " + ", ".join(f"{k} double" for k in e))
+    return spark.createDataFrame([(vectors, dims, index_type, quantization, *e.values(), build_mb(vectors, dims, index_type, quantization))], "vectors long, dims long, index_type string, quantization string, " + ", ".join(f"{k} double" for k in [*e, "build_mb"]))
