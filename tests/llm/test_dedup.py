@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vecloom.llm import cover_tree, line_spread, simhash
 from vecloom.llm.components import components
@@ -91,7 +92,7 @@ def test_cover_tree_equals_a_full_comparison(spark):
     ids = rng.permutation(len(x)).tolist()
     rows = [(i, v.tolist()) for i, v in zip(ids, x)]
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [1.0, 2.0]), (1004, [None] + [1.0] * 15), (1005, []), (None, x[0].tolist())]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"h": F.lit("clash"), "node": F.lit(1), "dim": F.lit("x")})
     got = {r.vec_id: r for r in cover_tree.near_duplicates(df, block=64).collect()}
     u = unit(x.astype(np.float64))
     close = u @ u.T >= 0.95
@@ -107,6 +108,24 @@ def test_cover_tree_equals_a_full_comparison(spark):
     assert cover_tree.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dims,spread", [(8, 0.002), (8, 0.08), (1536, 0.02)])
+def test_blocks_of_a_dense_group_and_many_dimensions(spark, dims, spread):
+    """A third of the rows in one tight group: most of its blocks are linked as wholes."""
+    rng = np.random.default_rng(dims)
+    n = 600
+    x = rng.normal(size=(n, dims))
+    x[: n // 3] = rng.normal(size=dims) + spread * rng.normal(size=(n // 3, dims))
+    x[n // 3 : n // 2] = x[0] + rng.uniform(0.1, 0.5, size=(n // 2 - n // 3, 1)) * rng.normal(size=(n // 2 - n // 3, dims))  # around the threshold
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[3].tolist()) for i in range(n, n + 40)]
+    x = np.vstack([x, np.repeat(x[3:4], 40, axis=0)])
+    got = {r.vec_id: r for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=32).collect()}
+    u = unit(x)
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    want = roots(len(x), zip(*np.nonzero(close)))
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == [(int(close[i].sum()), want[i]) for i in range(len(x))]
+
+
 def test_dual_traversal_of_dense_and_sparse_trees():
     rng = np.random.default_rng(2)
     for spread, share in [(0.02, 0.5), (0.2, 0.9), (0.22, 1.0)]:

@@ -94,15 +94,71 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    In a folder of the operating system (file:) the Python workers write.  Hadoop's local file system sets the
+    permissions of every file by starting `chmod`, three processes a file, each of which shares the executor's whole
+    memory until it has started; whoever measures memory at that moment sees the executor twice.  Any other store is
+    written by Spark's own committer.
+    """
     path = new_path(df.sparkSession, label)
     (_OWNERS[-1] if _OWNERS else _LASTING).staged[path] = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
+    if path.startswith("file:"):
+        _write_by_workers(df, path)
+    else:
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def _write_by_workers(df: DataFrame, path: str, group_bytes: int = 32 << 20) -> None:
+    """One file a task, under a name no other attempt uses; files of attempts that did not count are deleted at the end."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet
+
+        out, held, n = None, [], 0
+        name = f"part-{uuid.uuid4().hex}.parquet"
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                store, at = pyarrow.fs.FileSystem.from_uri(path)
+                out = pyarrow.parquet.ParquetWriter(store.open_output_stream(f"{at}/{name}"), b.schema, compression="zstd", use_dictionary=False)
+            held.append(b)
+            n += b.nbytes
+            if n >= group_bytes:
+                out.write_table(pa.Table.from_batches(held))
+                held, n = [], 0
+        if out is not None:
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+            out.close()
+            out.file_handle.close() if out.file_handle is not None else None
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    if not any(t in k for _, k in df.dtypes for t in ("string", "binary", "array", "map", "struct")):
+        spark.conf.set(key, "20000")  # rows of numbers only
+    try:
+        wrote = {r.name for r in df.mapInArrow(write, "name string").collect()}  # a name a task
+    finally:
+        spark.conf.set(key, before)
+    for s in fs.listStatus(folder):
+        if s.getPath().getName() not in wrote:
+            fs.delete(s.getPath(), False)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what stage() wrote, once nothing reads it any more."""
     for owner in (*_OWNERS, _LASTING):

@@ -1,33 +1,44 @@
 """Embedding near-dedup by cover trees and dual traversal.
 
-Vectors are scaled to unit length in double precision and equal vectors become one class.  The top of the cover tree
-is fitted on a bounded sample (nested centres with halving radii); it deals every class to a cell, and cells are split
-by hash into blocks of about `block` rows.  Each block gets its own cover tree once.  Then block pairs are traversed
-together: a pair of nodes is dropped if even its closest descendants are further apart than the threshold (centre
-distance minus both covering radii), taken whole if even the furthest are within it, and refined otherwise.  Pairs
-near the threshold are decided in double precision, so the result is that of a full comparison.
+Vectors are scaled to unit length in double precision and equal vectors become one class.  The top of the cover tree is
+built over the whole table, level by level: every node with more than `block` rows gets children, the centres of a net
+of a bounded sample of its rows at the first of the halving radii that parts them, and each row goes to the nearest
+child.  The leaves are blocks, each with its centre and its covering radius.  Pairs of blocks whose balls are further
+apart than the threshold are dropped; pairs whose furthest rows are within it are linked as wholes, by their summed weights, and
+no row moves for them.  For the others only the rows of a block that can reach the other block's ball are sent to meet
+it.  There both sides get their own cover trees, which are traversed together: a pair of nodes is dropped if even its
+closest descendants are further apart than the threshold (centre distance minus both covering radii), taken whole if even
+the furthest are within it, and refined otherwise.  Pairs near the threshold are decided in double precision, so the
+result is that of a full comparison.
 
 A task returns per row the number of links it found and the root of a spanning forest of them, never the pairs, so a
-dense group of n vectors costs n rows.  Cell pairs that cannot touch are never built.  Within a cell of unclustered
-vectors no bound prunes at block level and the number of block pairs grows with the square of blocks; that is the cost
-of an exact answer there, paid in matrix products.
+dense group of n vectors costs n rows.  Where vectors aren't clustered and have many dimensions all balls overlap; then
+no bound prunes and the number of block pairs grows with the square of blocks.  That is the cost of an exact answer
+there, paid in matrix products.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Temporary, discard, stage
 from .components import components
 
 LEVELS = 5
-#: Rounding of float32 products, of dot products and of distances.
-DOT_SLACK, DIST_SLACK = 2e-5, 4e-3
+#: Slack for float32 products of unit vectors.  A dot product of d terms errs by at most about d * 2**-24 * |a| |b|: 9.2e-5
+#: for 1,536 dimensions in the worst case, 2.3e-6 (its square root) as rounding goes; numpy adds pairwise or in blocks,
+#: which keeps the worst case below 2e-5 up to 8,192 dimensions.  A distance sqrt(2 - 2 dot) errs by at most
+#: sqrt(2 * 2e-5) = 6.4e-3 where it is near zero, and by 2e-5 / distance elsewhere; bounds compare sums of three.
+DOT_SLACK, DIST_SLACK = 2e-5, 2e-2
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, h (class key), dim, v (unit vector, float64 bytes); h, dim, v null if unusable."""
+    """vectors(vec_id, embedding) -> vec_id, h (class key), dim, v (the elements' bytes); h, dim, v null if unusable.
+
+    v has 4 bytes an element where the table has floats, else 8; units() makes unit vectors in double precision of it.
+    """
+    dtype = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
 
     def run(batches):
         import hashlib
@@ -40,18 +51,30 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
             for x in b.column(1).to_pylist():
                 a = None
                 if x and None not in x:
-                    a = np.array(x, np.float64)
+                    raw = np.array(x, dtype)
+                    a = raw.astype(np.float64)
                     top = np.abs(a).max() if np.isfinite(a).all() else 0.0
                     a = None if top == 0 else a / top
                 if a is None:
                     h.append(None), dim.append(None), v.append(None)
                 else:
-                    h.append(hashlib.md5((a + 0.0).tobytes()).digest()), dim.append(len(a)), v.append((a / np.sqrt(a @ a)).tobytes())
+                    h.append(hashlib.md5((a + 0.0).tobytes()).digest()), dim.append(len(a)), v.append(raw.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), pa.array(dim, pa.int32()), pa.array(v, pa.binary())], names=["vec_id", "h", "dim", "v"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, h binary, dim int, v binary")
 
 
+def units(col, dim: int):
+    """Unit vectors in double precision of the bytes that unit_rows() made, all of one dimension."""
+    import numpy as np
+
+    raw = col.to_pylist() if hasattr(col, "to_pylist") else col
+    width = len(raw[0]) // dim
+    a = np.frombuffer(b"".join(raw), f"<f{width}").reshape(len(raw), dim).astype(np.float64)
+    a /= np.abs(a).max(axis=1, keepdims=True)
+    return a / np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]
+
+
 def net(m, radius: float):
     """Greedy cover: (positions of centres, for each row the number of its centre); the first row is a centre."""
     import numpy as np
@@ -251,129 +274,234 @@ def grouped(batches, n_keys: int):
         yield held
 
 
-def _matrix(col):
-    import numpy as np
+def children(m, most: int):
+    """The first net of the rows m, at radii 2, 1, 1/2, ..., that has two centres or more; at most `most` of them."""
+    for k in range(40):
+        c, _ = net(m, 2.0 ** (1 - k))
+        if len(c) > 1:
+            return m[c[:most]]
+    return m[:1]
 
-    return np.stack([np.frombuffer(x, np.float64) for x in col.to_pylist()])
 
+def _split(placed: DataFrame, big: list[tuple[int, int, int]], sample: int, most: int, fresh: int) -> tuple[DataFrame, int]:
+    """(placed with the rows of the big nodes (node, rows, dim) dealt to new nodes, numbered from `fresh`; the next number).
 
-def fit_centres(classes: DataFrame, sample: int = 2048, most: int = 64) -> dict[int, list]:
-    """{dimension: centres}: of a sample of classes the finest net with at most `most` centres, radii 2, 1, 1/2, ..."""
+    At most `sample` rows of each big node come to the driver.
+    """
     import numpy as np
 
-    rows = classes.select("dim", "v").orderBy(F.xxhash64("h"), "h").limit(sample).collect()
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(r.dim, []).append(np.frombuffer(r.v, np.float64))
-    out = {}
-    for dim, m in by.items():
-        m = np.stack(m)
-        best = [0]
-        for k in range(6):
-            c, _ = net(m, 2.0 ** (1 - k))
-            if len(c) > most:
-                break
-            best = c
-        out[dim] = m[best]
-    return out
+    spark = placed.sparkSession
+    share = spark.createDataFrame([(c, min(1.0, 2.0 * sample / n)) for c, n, _ in big], "node long, share double")
+    mark = F.pmod(F.xxhash64("h", F.lit(9)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    rows = placed.select("node", "h", "v").join(F.broadcast(share), "node").where(mark)
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("h", F.lit(9)), "h"))).where(F.col("r") <= sample).select("node", "r", "v").collect()
+    held: dict[int, list] = {}
+    for r in sorted(few, key=lambda r: (r.node, r.r)):
+        held.setdefault(r.node, []).append(r.v)
+    dims, into, at = {c: d for c, _, d in big}, {}, fresh
+    for node, v in held.items():
+        m = units(v, dims[node])
+        c = children(m, most)
+        if len(c) > 1:
+            into[node] = at, c
+            at += len(c)
+    sent = spark.sparkContext.broadcast(into)  # at most `most` centres for each big node
+
+    def deal(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            node, dim = b.column(b.schema.get_field_index("node")).to_numpy().copy(), b.column(b.schema.get_field_index("dim")).to_numpy()
+            v = b.column(b.schema.get_field_index("v"))
+            for n in np.unique(node).tolist():
+                if n in sent.value:
+                    first, c = sent.value[n]
+                    rows = np.flatnonzero(node == n)
+                    node[rows] = first + (units(v.take(pa.array(rows)), int(dim[rows[0]])) @ c.T).argmax(axis=1)
+            yield b.set_column(b.schema.get_field_index("node"), "node", pa.array(node))
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = 8192) -> DataFrame:
-    """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept.
+    return placed.mapInArrow(deal, placed.schema), at
 
-    Null, empty and zero vectors, those with null or non-finite components and those without vec_id link with nothing
-    and are their own component.  Vectors of different lengths don't link.  Equal vectors link.  Repeated rows count
-    one by one.  kept: vec_id = component_id (false for a null vec_id).  Empty table: no rows.  Other columns are ignored.
+
+def _balls(placed: DataFrame) -> dict:
+    """{node: (dim, rows, centre, covering radius, summed weights, smallest rep)}.
+
+    The centre is the node's mean, summed by tasks, the radius the largest distance from it.
     """
-    spark = vectors.sparkSession
-    every = stage(unit_rows(vectors), "vectors")
-    usable = every.where("h is not null and vec_id is not null")
-    classes = usable.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("v").alias("v"))
-    classes = stage(classes, "vector-classes")
-    centres = spark.sparkContext.broadcast(fit_centres(classes))  # bounded by the sample
 
-    def cells(batches):
+    def sums(batches):
         import numpy as np
         import pyarrow as pa
 
+        held: dict[int, list] = {}
         for b in batches:
-            dims, cell, far = b.column(3).to_pylist(), [], []
-            for dim, x in zip(dims, b.column(4).to_pylist()):
-                c = centres.value.get(dim)
-                d = np.zeros(1) if c is None else np.sqrt(np.maximum(0, 2 - 2 * (c @ np.frombuffer(x, np.float64))))
-                k = int(d.argmin())
-                cell.append(dim * 1000 + k), far.append(float(d[k]) if c is not None else 2.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64()), pa.array(far, pa.float64())], names=[*b.schema.names, "cell", "far"])
-
-    placed = stage(classes.select("h", "rep", "n", "dim", "v").mapInArrow(cells, "h binary, rep long, n long, dim int, v binary, cell long, far double"), "vector-cells")
+            node, dim = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for n in np.unique(node).tolist():
+                rows = np.flatnonzero(node == n)
+                m = units(b.column(2).take(pa.array(rows)), int(dim[rows[0]]))
+                had = held.setdefault(n, [int(dim[rows[0]]), 0, 0.0])
+                had[1] += len(m)
+                had[2] = had[2] + m.sum(axis=0)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x[0] for x in held.values()], pa.int32()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([x[2].tolist() for x in held.values()], pa.list_(pa.float64()))], names=["node", "dim", "n", "s"])
+
     import numpy as np
 
-    facts = {r.cell: (r.m, r.far) for r in placed.groupBy("cell").agg(F.count("*").alias("m"), F.max("far").alias("far")).collect()}  # at most 64 cells a dimension
-    blocks = {c: -(-m // block) for c, (m, _) in facts.items()}
-    reach, pairs = float(np.sqrt(2 - 2 * cosine)), []
-    for c in facts:
-        for d in facts:
-            if c // 1000 == d // 1000:
-                cc = centres.value.get(c // 1000)
-                gap = 0.0 if cc is None else float(np.linalg.norm(cc[c % 1000] - cc[d % 1000]))
-                if gap <= facts[c][1] + facts[d][1] + reach + DIST_SLACK:
-                    pairs.append((c, d, blocks[d]))
-    sizes = spark.createDataFrame([(c, n) for c, n in blocks.items()], "cell long, nb int")
-    own = F.pmod(F.xxhash64("h"), F.col("nb")).cast("int")
-    split = placed.join(F.broadcast(sizes), "cell").select("cell", own.alias("sub"), "rep", "n", "v")
-
-    def plant(batches):
-        import pyarrow as pa
+    parts = placed.select("node", "dim", "v").mapInArrow(sums, "node long, dim int, n long, s array<double>")
+    totals: dict[int, list] = {}
+    cells = parts.select("node", "dim", "n", F.posexplode("s").alias("i", "x")).groupBy("node", "dim", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    for r in cells.groupBy("node", "dim").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).collect():  # a row a block
+        totals[r.node] = [r.dim, r.n, np.array([e.x for e in r.s]) / r.n]
+    sent = placed.sparkSession.sparkContext.broadcast({k: v[2] for k, v in totals.items()})  # a centre a block
 
-        for t in grouped(batches, 2):
-            up = tree(_matrix(t.column(4)).astype(np.float32))
-            pos = pa.array(np.arange(t.num_rows, dtype=np.int32))
-            ups = pa.array(up.tolist(), pa.list_(pa.int32()))
-            for b in t.append_column("pos", pos).append_column("up", ups).to_batches(max_chunksize=4096):
-                yield b
-
-    planted = split.repartition("cell", "sub").sortWithinPartitions("cell", "sub").mapInArrow(plant, "cell long, sub int, rep long, n long, v binary, pos int, up array<int>")
-    planted = stage(planted, "vector-trees")
-    partner = spark.createDataFrame(pairs, "cell long, cell2 long, nb2 int")
-    met = planted.join(F.broadcast(partner), "cell").withColumn("sub2", F.explode(F.sequence(F.lit(0), F.col("nb2") - 1)))
-    first = (F.col("cell") < F.col("cell2")) | ((F.col("cell") == F.col("cell2")) & (F.col("sub") <= F.col("sub2")))
-    met = met.select(
-        F.when(first, F.col("cell")).otherwise(F.col("cell2")).alias("c1"),
-        F.when(first, F.col("sub")).otherwise(F.col("sub2")).alias("s1"),
-        F.when(first, F.col("cell2")).otherwise(F.col("cell")).alias("c2"),
-        F.when(first, F.col("sub2")).otherwise(F.col("sub")).alias("s2"),
-        (~first).cast("int").alias("side"), "pos", "rep", "n", "v", "up",
-    )
-    keys = ["c1", "s1", "c2", "s2"]
-
-    def meet(batches):
+    def reach(batches):
         import pyarrow as pa
 
-        for t in grouped(batches, 4):
-            side = t.column("side").to_numpy()
-            halves = []
-            for s in (0, 1):
-                h = t.filter(pa.array(side == s))
-                if h.num_rows:
-                    halves.append((h.column("rep").to_numpy(), h.column("n").to_numpy(), _matrix(h.column("v")), np.array(h.column("up").to_pylist(), np.int32)))
-            same = (t.column("c1")[0], t.column("s1")[0]) == (t.column("c2")[0], t.column("s2")[0])
-            if len(halves) < 2 and not same:
-                continue
-            (ra, wa, a, ua), (rb, wb, b, ub) = halves[0], halves[-1]
-            ga, gb, xa, xb = join_trees(a, ua, wa, b, ub, wb, cosine, same)
-            rep, got, label = (ra, ga, xa) if same else (np.concatenate([ra, rb]), np.concatenate([ga, gb]), np.concatenate([xa, xb]))
-            hit = got > 0
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(got[hit]), pa.array(rep[label[hit]])], names=["rep", "links", "root"])
-
-    found = stage(met.repartition(*keys).sortWithinPartitions(*keys, "side", "pos").mapInArrow(meet, "rep long, links long, root long"), "vector-links")
-    comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = (
-        classes.select("h", "rep", "n").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-        .select(F.col("h").alias("h2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
-    )
-    usable = F.col("vec_id").isNotNull()
-    out = every.join(known, (F.col("h") == F.col("h2")) & usable, "left")
+        far: dict[int, float] = {}
+        for b in batches:
+            node, dim = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for n in np.unique(node).tolist():
+                rows = np.flatnonzero(node == n)
+                m = units(b.column(2).take(pa.array(rows)), int(dim[rows[0]]))
+                far[n] = max(far.get(n, 0.0), float(np.sqrt(np.square(m - sent.value[n]).sum(axis=1).max())))
+        if far:
+            yield pa.RecordBatch.from_arrays([pa.array(list(far), pa.int64()), pa.array(list(far.values()), pa.float64())], names=["node", "far"])
+
+    reached = placed.select("node", "dim", "v").mapInArrow(reach, "node long, far double").groupBy("node").agg(F.max("far").alias("far")).collect()
+    weights = {r.node: (r.w, r.rep) for r in placed.groupBy("node").agg(F.sum("n").alias("w"), F.min("rep").alias("rep")).collect()}  # a row a block
+    return {r.node: (*totals[r.node], r.far + 1e-9, *weights[r.node]) for r in reached}
+
+
+def blocks_of(classes: DataFrame, block: int = 8192, sample: int = 1024, most: int = 32, rounds: int = 40) -> tuple[DataFrame, dict]:
+    """(classes with node, _balls() of them): the leaves of the top of the tree.
+
+    A node that no net of its sample parts (vectors closer to each other than a double can tell) stays as it is.
+    """
+    dims = [r.dim for r in classes.select("dim").distinct().collect()]  # one number each
+    number = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(sorted(dims)) for x in (d, i)]), F.col("dim")) if dims else F.lit(0)
+    placed, fresh, whole = stage(classes.withColumn("node", number.cast("long")), "vector-nodes"), len(dims), set()
+    for _ in range(rounds):
+        sizes = placed.groupBy("node", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()  # a row for each big node
+        big = [(r.node, r.n, r.dim) for r in sizes if r.node not in whole]
+        if not big:
+            break
+        split, fresh_to = _split(placed, big, sample, most, fresh)
+        split, before = stage(split, "vector-nodes"), placed
+        left = {r.node for r in split.select("node").distinct().collect()}
+        whole |= {n for n, _, _ in big if n in left}
+        placed, fresh = split, fresh_to
+        discard(before)
+    return placed, _balls(placed)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = 8192) -> DataFrame:
+    """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept.
+
+    Null, empty and zero vectors, those with null or non-finite components and those without vec_id link with nothing
+    and are their own component.  Vectors of different lengths don't link.  Equal vectors link.  Repeated rows count
+    one by one.  kept: vec_id = component_id (false for a null vec_id).  Empty table: no rows.  Other columns are ignored.
+    """
+    import numpy as np
+
+    spark = vectors.sparkSession
+    every = stage(unit_rows(vectors), "vectors")
+    with Temporary() as mine:
+        usable = every.where("h is not null and vec_id is not null")
+        classes = usable.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+        classes = stage(classes, "vector-classes")
+        placed, balls = blocks_of(classes, block)
+        reach = float(np.sqrt(2 - 2 * cosine))
+        partners, wholes = _partners(balls, reach)
+        sent = spark.sparkContext.broadcast((balls, partners, wholes))  # a centre a block, and its partners
+
+        def send(batches):
+            """The rows of each block for each partner whose ball they can reach."""
+            import pyarrow as pa
+
+            balls, partners, _ = sent.value
+            for b in batches:
+                node, dim = b.column(3).to_numpy(), b.column(2).to_numpy()
+                for a in np.unique(node).tolist():
+                    rows = np.flatnonzero(node == a)
+                    sub = pa.RecordBatch.from_arrays([b.column(i).take(pa.array(rows)) for i in (0, 1, 4)], names=["rep", "n", "v"])
+                    m = units(sub.column(2), int(dim[rows[0]]))
+                    for c in partners[a]:
+                        near = np.arange(len(m)) if c == a else np.flatnonzero(np.square(m - balls[c][2]).sum(axis=1) <= (balls[c][3] + reach + 1e-6) ** 2)
+                        if len(near):
+                            part = sub.take(pa.array(near))
+                            k = len(near)
+                            keys = [pa.array(np.full(k, x, t)) for x, t in ((min(a, c), np.int64), (max(a, c), np.int64), (int(a > c), np.int32), (int(dim[rows[0]]), np.int32))]
+                            yield pa.RecordBatch.from_arrays([*keys, *part.columns], names=["b1", "b2", "side", "dim", "rep", "n", "v"])
+
+        met = placed.select("rep", "n", "dim", "node", "v").mapInArrow(send, "b1 long, b2 long, side int, dim int, rep long, n long, v binary")
+
+        def meet(batches):
+            import pyarrow as pa
+
+            for t in grouped(batches, 2):
+                side, halves = t.column("side").to_numpy(), []
+                for s in (0, 1):
+                    h = t.filter(pa.array(side == s))
+                    if h.num_rows:
+                        m = units(h.column("v"), h.column("dim")[0].as_py())
+                        halves.append((h.column("rep").to_numpy(), h.column("n").to_numpy(), m, tree(m.astype(np.float32))))
+                same = t.column("b1")[0] == t.column("b2")[0]
+                if len(halves) < 2 and not same:
+                    continue
+                (ra, wa, a, ua), (rb, wb, b, ub) = halves[0], halves[-1]
+                ga, gb, xa, xb = join_trees(a, ua, wa, b, ub, wb, cosine, same)
+                rep, got, label = (ra, ga, xa) if same else (np.concatenate([ra, rb]), np.concatenate([ga, gb]), np.concatenate([xa, xb]))
+                hit = got > 0
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(got[hit]), pa.array(rep[label[hit]])], names=["rep", "links", "root"])
+
+        def link_wholes(batches):
+            """The links of each row with blocks that lie within reach as a whole, its own included."""
+            import pyarrow as pa
+
+            balls, _, wholes = sent.value
+            for b in batches:
+                rep, n, node = (b.column(i).to_numpy() for i in range(3))
+                for a in np.unique(node).tolist():
+                    if a in wholes:
+                        rows = np.flatnonzero(node == a)
+                        got = sum(balls[c][4] for c in wholes[a]) - (n[rows] if a in wholes[a] else 0)
+                        # every row with one row of the nearest number, and the block's first row with one of each other block
+                        ends = np.full(len(rows), min(balls[c][5] for c in wholes[a]))
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(got + np.zeros(len(rows), np.int64)), pa.array(ends)], names=["rep", "links", "root"])
+
+        found = met.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "side", "rep").mapInArrow(meet, "rep long, links long, root long")
+        if wholes:
+            between = [(balls[a][5], 0, balls[c][5]) for a in wholes for c in wholes[a] if a < c]
+            found = found.unionByName(placed.select("rep", "n", "node").mapInArrow(link_wholes, "rep long, links long, root long"))
+            found = found.unionByName(spark.createDataFrame(between, "rep long, links long, root long"))
+        found = stage(found, "vector-links")
+        comp = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        known = (
+            classes.select("h", "rep", "n").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+            .select(F.col("h").alias("h2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("root"))
+        )
+        known = mine.keep(stage(known, "vector-known"))
+    out = every.select("vec_id", "h").join(known, (F.col("h") == F.col("h2")) & F.col("vec_id").isNotNull(), "left")
     comp_id = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))
+
+
+def _partners(balls: dict, reach: float) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """For each block those whose balls are within reach of its own, itself included: (to be compared, linked as wholes)."""
+    import numpy as np
+
+    out: dict[int, list[int]] = {k: [] for k in balls}
+    wholes: dict[int, list[int]] = {}
+    for dim in sorted({b[0] for b in balls.values()}):
+        nodes = np.array(sorted(k for k, b in balls.items() if b[0] == dim))
+        c, r = np.stack([balls[k][2] for k in nodes.tolist()]), np.array([balls[k][3] for k in nodes.tolist()])
+        for at, k in enumerate(nodes.tolist()):
+            d = np.sqrt(np.square(c - c[at]).sum(axis=1))
+            far = d + r + r[at]
+            whole = far <= reach - 1e-6
+            out[k] = nodes[(d <= r + r[at] + reach + 1e-6) & ~whole].tolist()
+            if whole.any():
+                wholes[k] = nodes[whole].tolist()
+    return out, wholes

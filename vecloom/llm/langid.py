@@ -4,8 +4,9 @@ Each language is a Zstandard raw-content dictionary made of training text.  A te
 only) and compressed once with every dictionary; the dictionary that yields the fewest bytes names the language.  The
 score is the share of that language in the code-length posterior 2^-bits, tempered; a narrow margin is a low score.
 
-The classifier is fitted on a bounded sample: `per_language` documents of each language in the order of a seeded hash
-of the text, `dict_chars` characters of them all (equal shares).  Counts of documents and languages do not matter to it.
+The classifier is fitted on a bounded sample: `per_language` different texts of each language in the order of a seeded
+hash of the text, `dict_chars` characters of them all (equal shares, the first characters of each).  Counts of documents
+and languages do not matter to it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import discard, stage, worker_cache
 
 UNKNOWN = "und"
 #: Level of Zstandard, bytes of a piece, characters of a training segment.
@@ -66,27 +67,31 @@ def _agreeing(by: dict[str, list[str]], level: int) -> dict[str, list[str]]:
 def fit(labelled: DataFrame, per_language: int = 48, dict_chars: int = 96_000, max_languages: int = 256, clean_rounds: int = 2, level: int = LEVEL) -> dict[str, bytes]:
     """labelled(doc_id, text, lang) -> {language: dictionary content}; every language that has a letter in its sample.
 
-    Only ids and hashes are ranked (the window keeps `per_language` rows a language on the map side); then the chosen
-    texts are read by id.  At most per_language * languages texts come to the driver, each cut to its share of
-    dict_chars.  Wrong labels and foreign passages are weeded out by cross-fitting on segments of the sample.  More
-    than max_languages languages is an error.
+    Rows with a null language and null or empty texts are not learned from.  Equal texts of a language count once,
+    whatever their ids; one that has several labels is learned under each.  Only hashes are ranked (the window keeps
+    `per_language` of them a language on the map side); then the chosen texts are read by hash.  At most
+    per_language * languages texts come to the driver, the first characters of each up to its share of dict_chars.
+    Wrong labels and foreign passages are weeded out by cross-fitting on segments of the sample.  More than
+    max_languages languages is an error, found before anything is collected.
     """
-    rows = labelled.where("lang is not null and length(text) > 0")
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language).select("doc_id").collect()
+    rows = labelled.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("t"))
+    hashes = stage(rows.select("lang", "t").distinct(), "langid-hashes")
+    languages = hashes.select("lang").distinct().count()
+    if languages > max_languages:
+        raise ValueError(f"{languages} languages; the limit is {max_languages}")
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("t", F.lit(11)), "t")
+    chosen = hashes.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_language).select("t").collect()
+    discard(hashes)
     if not chosen:
         return {}
     share = max(1, dict_chars // per_language)
-    wanted = F.col("doc_id").isin(*{r.doc_id for r in chosen if r.doc_id is not None})
-    got = rows.where(wanted).select("lang", "doc_id", F.substring("text", 1, 4 * share).alias("text")).collect()
+    wanted = rows.where(F.col("t").isin(*{r.t for r in chosen}))
+    got = wanted.groupBy("lang", "t").agg(F.min(F.substring("text", 1, 4 * share)).alias("text")).collect()
     by: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r.doc_id, r.text)):
+    for r in sorted(got, key=lambda r: (r.lang, r.t)):
         t = fold(r.text).decode()[:share]
         by.setdefault(r.lang, []).extend(x for i in range(0, len(t), SEGMENT) if (x := t[i : i + SEGMENT]).strip())
     by = {k: v for k, v in sorted(by.items()) if v}
-    if len(by) > max_languages:
-        raise ValueError(f"{len(by)} languages; the limit is {max_languages}")
     for _ in range(clean_rounds if len(by) > 1 else 0):
         by = _agreeing(by, level)
     return {k: " ".join(v).encode() for k, v in by.items()}
@@ -95,8 +100,8 @@ def fit(labelled: DataFrame, per_language: int = 48, dict_chars: int = 96_000, m
 def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, temper: float = 0.05) -> DataFrame:
     """docs + lang_pred string, lang_score double, lang_margin double.
 
-    lang_margin: bits saved against the second language as a share of the best length.  Null text or no letter:
-    'und', score 0, margin 0.  Ties: the smaller language name.  With an empty model everything is 'und'.  Whole texts
+    lang_margin: bits saved against the second language as a share of the best length.  Null text or no letter
+    (str.isalpha): 'und', score 0, margin 0.  Rows of equal text get equal results, whatever their ids.  Ties: the smaller language name.  With an empty model everything is 'und'.  Whole texts
     are compressed, of any length.  Columns of the same names are replaced; other columns pass through.
     """
     names, contents = [*model], [*model.values()]
@@ -109,9 +114,9 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, temper
     def classify(text):
         if text is None or not names:
             return UNKNOWN, 0.0, 0.0
-        t = fold(text)
-        if not t.strip():
+        if not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
+        t = fold(text)
         sizes = code_lengths(worker_cache("langid", key, lambda: compressors(shipped.value, level)), t)
         best = min(sizes)
         score = 1 / sum(2.0 ** (-8 * temper * min(s - best, 2000)) for s in sizes)

@@ -1,12 +1,16 @@
 """SimHash near-dedup by similarity: bit-sliced comparison of fingerprints, then an exact check of the shingles.
 
 Two texts are near copies if the Jaccard similarity of their sets of word shingles reaches a threshold t.  Which pairs
-are compared is decided without loss: with the shingles of every text in one common order, of two such texts of n and m
-shingles the first n - ceil(t n) + 1 and m - ceil(t m) + 1 share at least one, so they meet in the bucket of one of these
-prefix shingles; sizes and positions rule out further pairs.  Inside a bucket the fingerprints of simhash.py, here of
+are compared follows from their shingles in one common order: of two such texts of n and m shingles the first
+n - ceil(t n) + 1 and m - ceil(t m) + 1 share at least one, so they meet in the bucket of one of these prefix shingles.
+Far fewer will do where the order is that of a hash: the first shingles of the union of both are common with probability
+t each, so `few` of them are all unshared with probability (1 - t)**few.  So a text keeps its first `few` = 12 prefix
+shingles, 4e-9 at 0.8, and the whole prefix if over a tenth of its shingles are frequent ones, which the order puts last
+(of a pair with fewer the other shingles have a similarity of 0.75 at least: 6e-8).  Sizes and positions rule out further
+pairs.  Inside a bucket the fingerprints of simhash.py, here of
 the set of shingles, are compared bit-sliced, and only pairs within `radius` bits go on to the check of their shingles.
 
-The radius is the one place where a link could be lost.  A pair at similarity 0.8 has a cosine of 0.89, so each of the
+The radius loses few links, too.  A pair at similarity 0.8 has a cosine of 0.89, so each of the
 64 bits differs with probability 0.15: 9.7 bits in the mean, 2.9 their standard deviation.  24 bits are five of these;
 the chance of a miss is below one in a hundred thousand at the threshold and far smaller above it.
 
@@ -70,10 +74,11 @@ def frequent(texts: DataFrame, shingle: int, sample: int = 8000, least: int = 3,
     return np.sort(np.array([r.h for r in rows], np.int64))
 
 
-def sketches(texts: DataFrame, shingle: int, similarity: float, last) -> DataFrame:
+def sketches(texts: DataFrame, shingle: int, similarity: float, last, few: int = 12, share: float = 0.1) -> DataFrame:
     """texts(key, text) -> key, n, fp, prefix: the shingles of each text counted, their fingerprint, the prefix shingles.
 
-    Shingles in `last` come last.  A task puts out copies once.
+    Shingles in `last` come last; a text with at most `share` of them keeps `few` prefix shingles.  A task puts out
+    copies once.
     """
     frequent_ones = texts.sparkSession.sparkContext.broadcast(last)  # bounded by `most`
 
@@ -93,10 +98,11 @@ def sketches(texts: DataFrame, shingle: int, similarity: float, last) -> DataFra
                 h = hashes(text, shingle)
                 n = len(h)
                 fps.append(majority(h.view(np.uint64)))
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                    h = np.concatenate([h[~late], h[late]])
-                keys.append(key), ns.append(n), prefix.append(h[: n - math.ceil(similarity * n - 1e-9) + 1])
+                take = n - math.ceil(similarity * n - 1e-9) + 1
+                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h if len(last) else np.zeros(n, bool)
+                if late.mean() <= share:
+                    take = min(take, few)
+                keys.append(key), ns.append(n), prefix.append(np.concatenate([h[~late], h[late]])[:take])
             if keys:
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with exact N-best segmentations.
 
-The vocabulary is that of a public SentencePiece model; a piece's log-probability follows Zipf's law over its rank in
-the file, in whole thousandths of a nat, so that scores add up exactly.  Characters that are no piece fall back to
+The vocabulary is that of a public SentencePiece model.  A unigram model's own log-probabilities are used; a BPE model
+has none (its scores are ranks of merges), and there a piece's log-probability follows Zipf's law over its rank in the
+file.  Both are taken in whole thousandths of a nat, so that scores add up exactly.  Characters that are no piece fall back to
 their bytes.  The best segmentation is the highest sum over the piece lattice of the whole text.
 
 N-best: a forward Viterbi pass gives every lattice node its best score from the start; these are exact heuristics for
@@ -28,12 +29,23 @@ BYTE_PENALTY = 10_000
 SCHEMA = "ids array<int>, n_tokens int, ids_crc32 long, score long, n_best int, losses array<long>, edits array<array<struct<unit: int, ids: array<int>>>>, decoded string"
 
 
+def piece_scores(own: list[float]) -> list[int]:
+    """Thousandths of a nat of each piece from the scores in its model.
+
+    Scores that are all whole numbers are ranks, not log-probabilities: Zipf's law over the order of the pieces then.
+    """
+    import math
+
+    if any(x != int(x) for x in own):
+        return [round(1000 * x) for x in own]
+    h = math.log(sum(1 / (r + 2) for r in range(len(own))))
+    return [-round(1000 * (math.log(r + 2) + h)) for r in range(len(own))]
+
+
 class Pieces:
     """The vocabulary: pieces, scores, byte pieces and a trie with vectorised transitions."""
 
     def __init__(self, path: str):
-        import math
-
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,8 +57,8 @@ class Pieces:
         bad = [p for p in self.id if MARK in p.lstrip(MARK)]
         if bad or len(self.byte_id) != 256:
             raise ValueError("a model with byte fallback and word marks only in front of pieces is needed")
-        h = math.log(sum(1 / (r + 2) for r in range(len(self.id))))
-        self.score = {i: -round(1000 * (math.log(r + 2) + h)) for r, i in enumerate(self.id.values())}
+        self.score = dict(zip(self.id.values(), piece_scores([sp.get_score(i) for i in self.id.values()])))
+        self.code = "H" if n <= 1 << 16 else "I"
         self.byte_score = min(self.score.values()) - BYTE_PENALTY
         self.bytes = [b""] * n
         for p, i in self.id.items():
@@ -300,7 +312,7 @@ class Segmenter:
         if new:
             ids, score, loss = solve([MARK + u for u in new], self.v)
             self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-            self.ids += [array.array("H", x).tobytes() for x in ids]
+            self.ids += [array.array(self.v.code, x).tobytes() for x in ids]
             self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
         return new[keep:]
 
@@ -312,7 +324,7 @@ class Segmenter:
         self.score, self.loss = self.score[:n].copy(), self.loss[:n].copy()
 
     def encode(self, texts: list[str], n_best: int) -> list[tuple]:
-        """(ids as 16-bit bytes, score, [(loss, [(unit, ids), ...]), ...]) of each text, the best segmentation first."""
+        """(ids as bytes, 16 bits each where the vocabulary allows it, score, [(loss, [(unit, ids), ...]), ...]) of each text, the best segmentation first."""
         import numpy as np
 
         cut = [units_of(t) for t in texts]
@@ -348,7 +360,7 @@ class Segmenter:
     def decode(self, raw: bytes) -> str:
         import array
 
-        text = b"".join(map(self.v.bytes.__getitem__, array.array("H", raw))).decode("utf-8", "replace")
+        text = b"".join(map(self.v.bytes.__getitem__, array.array(self.v.code, raw))).decode("utf-8", "replace")
         return text[1:]
 
 
@@ -381,7 +393,7 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep_ids: bool = True) -
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
                 rows, wide = [], []
                 for raw, score, alts in seg.encode(texts, n_best):
-                    ids = np.frombuffer(raw, np.uint16).astype("<i4")
+                    ids = np.frombuffer(raw, seg.v.code).astype("<i4")
                     wide.append(ids)
                     edits = [[{"unit": k, "ids": x} for k, x in e] for _, e in alts]
                     rows.append((len(ids), zlib.crc32(ids.tobytes()), score, len(alts), [a for a, _ in alts], edits, seg.decode(raw)))

@@ -95,14 +95,18 @@ class Encoder:
     library, and the pieces' ids are put together.  One closing mark after letters is a pre-token of its own, so
     'word,' shares the ids of 'word'.
 
+    A text that spells an added token of the vocabulary is encoded by one plain call of the library, which takes the
+    token as such; with `plain_text` the library is told to read such spellings as ordinary text.
+
     Of the pieces, those of at most `longest` characters are kept: the first limit / 2 of them, then those that come a
     second time, up to `limit`.
     """
 
     MARKS = ".,!?;:"
 
-    def __init__(self, path: str, dtype: str, limit: int = 600_000, longest: int = 12):
+    def __init__(self, path: str, dtype: str, limit: int = 600_000, longest: int = 12, plain_text: bool = False):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
@@ -110,7 +114,9 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = self.words.encode_special_tokens = True
+        added = [] if plain_text else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.tok.encode_special_tokens = self.words.encode_special_tokens = plain_text
+        self.added = re.compile("|".join(added)) if added else None
         # Latin letters after a space are one pre-token: the same model gets them in its own spelling of bytes, parted already
         self.words.pre_tokenizer = WhitespaceSplit()
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -190,6 +196,13 @@ class Encoder:
         return re.split(r"(?<=\S) (?=\S)", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {k for k, t in enumerate(texts) if self.added.search(t)} if self.added else ()
+        if odd:
+            plain = dict(zip(sorted(odd), self.ids([texts[k] for k in sorted(odd)])))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in odd]))
+            return [plain[k] if k in odd else next(rest) for k in range(len(texts))]
+        if not texts:
+            return []
         known, heads = self.known, self.heads
         if len(heads) > 50_000:
             heads.clear()
@@ -207,8 +220,8 @@ class Encoder:
         return [a + b"".join(f) for a, f in zip(first, found)]
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """docs(doc_id, text) -> ENCODED rows, not yet stored."""
+def encode(docs: DataFrame, path: str, end_id: int = 0, plain_text: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> ENCODED rows, not yet stored; plain_text: spellings of added tokens are ordinary text."""
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(path).get_vocab_size()
@@ -220,7 +233,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        enc = worker_cache("token-store", path, lambda: Encoder(path, dtype))
+        enc = worker_cache("token-store", (path, plain_text), lambda: Encoder(path, dtype, plain_text=plain_text))
         gear = worker_cache("gear", size, lambda: gear_table(max(size, end_id + 1)))
         pack, end = zstandard.ZstdCompressor(level=1), np.array([end_id], dtype).tobytes()
         uid, w = TaskContext.get().partitionId() << 36, np.dtype(dtype).itemsize

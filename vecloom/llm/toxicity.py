@@ -4,9 +4,10 @@ Texts are folded (lower case, homoglyphs and digit substitutions to letters, any
 against an Aho-Corasick automaton of word beginnings and whole words.  A hit that lies inside an exception phrase does
 not count.  The summed weights are normalised by the number of words and put through a logistic function.
 
-Lexicon and logistic are learned from labelled rows, a bounded sample of `max_rows` of them in the order of a seeded
-hash (equal texts count once): a word beginning that toxic texts have far more often than others is an entry, its
-weight the log odds.
+Lexicon, exceptions and logistic are learned from labelled rows, a bounded sample of `max_rows` of them in the order of
+a seeded hash (equal texts count once): a word beginning that toxic texts have far more often than others is an entry,
+its weight the log odds; a phrase of two or three words around an entry that other texts have clearly more often than
+toxic ones is an exception.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ LOOKALIKES = (
 )
 #: Digits and signs that stand for letters inside a word.
 SUBSTITUTES = "0o1i3e4a5s7t8b9g@a$s!i|l€e+t"
-#: Default phrases in which an entry of the lexicon means no harm.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser bracket", "pond scum", "oxy moron")
 
 
 def fold_table() -> dict[int, str]:
@@ -89,7 +88,7 @@ def _beginnings(folded: str, lo: int, hi: int) -> set[str]:
 class Lexicon:
     """entries: {pattern: weight}; a pattern starts with a space (start of a word) and may end with one (end of it)."""
 
-    def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, slope: float = 1.0, bias: float = 0.0):
+    def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = (), slope: float = 1.0, bias: float = 0.0):
         self.entries, self.exceptions, self.slope, self.bias = entries, exceptions, slope, bias
 
     def automaton(self):
@@ -130,18 +129,20 @@ class Lexicon:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, lo: int = 3, hi: int = 10, min_docs: int = 4, max_entries: int = 4_000, exceptions: tuple[str, ...] = EXCEPTIONS
+    docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, lo: int = 3, hi: int = 10, min_docs: int = 4, exceptions: tuple[str, ...] = ()
 ) -> Lexicon:
-    """docs(doc_id, text), labels(doc_id, toxic) -> Lexicon.
+    """docs(doc_id, text), labels(doc_id, toxic) -> Lexicon; `exceptions` are phrases beside those that are learned.
 
-    The sample of at most max_rows labelled rows is staged; candidates are counted over its toxic texts, then over the
-    others, by tasks that emit one row per candidate.  Rows with a null label, id or text are not learned from.
+    The sample of at most max_rows labelled ids is staged; candidates are counted over its toxic texts, then over the
+    others, by tasks that emit one row per candidate.  What comes to the driver are the beginnings that stand in at
+    least one of 500 (and min_docs) toxic texts of the sample.  Rows with a null label, id or text are not learned
+    from.  An id or a text with labels that disagree counts as toxic; repeated rows count once.
     """
     spark = docs.sparkSession
     labelled = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = labelled.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows)
     # picked has at most max_rows rows of two numbers
-    sample = stage(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "tox-sample")
+    sample = stage(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "tox-sample")
     totals = dict(sample.groupBy("toxic").count().collect())
     n1, n0 = totals.get(1, 0), sum(v for k, v in totals.items() if k != 1)
     if not n1:
@@ -167,12 +168,12 @@ def fit(
 
     toxic = sample.where("toxic = 1").select("text").mapInArrow(count(), "p string, n long")
     need = max(min_docs, n1 // 500)
-    cand = dict(toxic.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= need).orderBy(F.col("n").desc(), "p").limit(400_000).collect())
-    # bounded: no more than the limit above
+    cand = dict(toxic.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= need).collect())
+    # bounded by the sample: every candidate stands in one of 500 of its toxic texts
     wanted = spark.sparkContext.broadcast(frozenset(cand))
     other = dict(sample.where("toxic <> 1").select("text").mapInArrow(count(wanted), "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect())
-    entries = _select(cand, other, n1, n0, max_entries)
-    lex = Lexicon(entries, exceptions)
+    entries = _select(cand, other, n1, n0)
+    lex = Lexicon(entries, (*exceptions, *_exceptions(sample, entries, n1, n0, min_docs)))
 
     def weigh(batches):
         import pyarrow as pa
@@ -187,7 +188,43 @@ def fit(
     return lex
 
 
-def _select(cand: dict[str, int], other: dict[str, int], n1: int, n0: int, most: int) -> dict[str, float]:
+def phrases(automaton, folded: str) -> set[str]:
+    """The phrases of two and three words of a folded text that have a word with an entry."""
+    words, starts, at = folded.split(), {}, 0
+    for k, w in enumerate(words):
+        starts[at] = k
+        at += len(w) + 1
+    hits = {starts[end - n + 1] for end, (n, _) in automaton.iter(folded)} if len(automaton) and words else set()
+    return {" ".join(words[i:j]) for k in hits for i in range(max(0, k - 2), k + 1) for j in range(max(k + 1, i + 2), min(len(words), i + 3) + 1)}
+
+
+def _exceptions(sample: DataFrame, entries: dict[str, float], n1: int, n0: int, min_docs: int) -> list[str]:
+    """Phrases around an entry in min_docs texts that aren't toxic, with odds for toxicity below one even at the high end of their error."""
+    plain = Lexicon(entries)
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        a = plain.automaton()
+        n: Counter = Counter()
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n.update((p, int(y == 1)) for p in phrases(a, fold(t)))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([v * (y == 0) for (_, y), v in n.items()], pa.int64()), pa.array([v * y for (_, y), v in n.items()], pa.int64())], names=["p", "b", "a"])
+
+    found = sample.select("text", "toxic").mapInArrow(run, "p string, b long, a long").groupBy("p").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    good = []
+    for r in found.where(F.col("b") >= min_docs).collect():  # at most a few of each text of the bounded sample
+        odds = math.log((r.a + 0.5) / (n1 + 1)) - math.log((r.b + 0.5) / (n0 + 1))
+        if odds + 1.64 * math.sqrt(1 / (r.a + 0.5) + 1 / (r.b + 0.5)) < 0:
+            good.append(r.p)
+    return [p for p in sorted(good) if not any(q != p and f" {q} " in f" {p} " for q in good)]
+
+
+def _select(cand: dict[str, int], other: dict[str, int], n1: int, n0: int) -> dict[str, float]:
     """Word beginnings whose odds in toxic texts are high even at the low end of their error; of nested ones the shorter, unless the longer is clearly purer."""
     good = {}
     for p, a in cand.items():
@@ -203,8 +240,7 @@ def _select(cand: dict[str, int], other: dict[str, int], n1: int, n0: int, most:
         inside = any(stem[:k] in kept and stem[:k] != p for k in range(3, len(stem) + 1))
         if not inside:
             kept[p] = round(w, 4)
-    top = sorted(kept, key=lambda p: (-good[p][1], p))[:most]
-    return {p: kept[p] for p in top}
+    return kept
 
 
 def _logistic(points: list[tuple[float, int]], steps: int = 200) -> tuple[float, float]:
@@ -231,7 +267,8 @@ def _logistic(points: list[tuple[float, int]], steps: int = 200) -> tuple[float,
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs(doc_id, text, ...) + tox_score double, tox_weight double, tox_words long.
 
-    Null and empty texts have no words and the low score of no hits.  Whole texts are matched.  Columns of the same
+    Null and empty texts have no words and the low score of no hits.  Whole texts are matched.  Rows of equal text get
+    equal scores, whatever their ids.  Empty table: no rows.  Columns of the same
     names are replaced; other columns pass through.
     """
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
