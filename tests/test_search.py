@@ -229,7 +229,7 @@ def test_full_build_triggers_and_verification(spark, tmp_path):
     set_options(w.c, "w", rebuild_every=1)
     w.write([(50, [1.0] * 8, False)])
     refresh(w.c, "w")
-    assert "rebuild_every 1" in refresh(w.c, "w")
+    assert "rebuild_every is 1" in refresh(w.c, "w")
     m = w.c.get("w")
     m.journal_digest = "1"
     w.c.put(m)
@@ -259,6 +259,27 @@ def test_full_build_triggers_and_verification(spark, tmp_path):
         refresh(w.c, "w")
 
 
+def test_a_version_from_the_future_stays_in_the_delta(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 100), (3, [5.0, 5.0], 10**9)], "id long, vec array<double>, s long")
+    rows.select("id", "vec", F.timestamp_seconds(F.unix_timestamp() - 10_000 + F.col("s")).alias("ver")).write.parquet(f"{tmp_path}/j")
+    register(c, "t", f"{tmp_path}/j", "id", "vec", None, "ver", "l2", 60, "flat")
+    assert ": 2 vectors" in refresh(c, "t") and c.delta(c.get("t")).count() == 1
+    assert admin.status(c, "t").where("level = 'warning' and message like '%version in the future%'").count() == 1
+    q = spark.createDataFrame([(1, [5.0, 5.0])], "qid long, qvec array<double>")
+    assert search.search(c, "t", q, k=1).first().id == 3 and search.search(c, "t", q, k=1, freshness="snapshot").first().id == 2
+    unregister(c, "t")
+
+
+def test_generated_rows_depend_on_seed_and_row_alone(spark):
+    from vecloom.sources.texmex import generate
+
+    whole = {r.id: r.vec for r in generate(spark, 700, 4, clusters=5).collect()}
+    part = {r.id: r.vec for r in generate(spark, 300, 4, clusters=5, first=200).repartition(3).collect()}
+    assert part == {i: whole[i] for i in range(200, 500)}
+    assert whole[0] != generate(spark, 1, 4, clusters=5, queries=True).first().vec
+
+
 def test_registration_checks(spark, tmp_path):
     c = Catalog(spark, str(tmp_path))
     spark.createDataFrame([(1, [1.0], "x", 1)], "id long, vec array<double>, s string, ver long").write.parquet(f"{tmp_path}/t")

@@ -182,3 +182,33 @@ def register_sql(spark: SparkSession) -> list[str]:
     for name, (args, kind, frame, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {frame.format(f=name, body=body)}")
     return [*SQL_FUNCTIONS]
+
+
+#: metric -> SQL score of the column vec and the parameter query, and the order in which closer comes first.
+_SCORES = {
+    "l2": ("sqrt(vector_l2sq(vec, query))", "ASC"), "l1": ("vector_l1(vec, query)", "ASC"), "dot": ("aggregate(vector_mul(vec, query), 0D, (t, x) -> t + x)", "DESC"),
+    "cosine": ("aggregate(vector_mul(vector_normalize(vec), vector_normalize(query)), 0D, (t, x) -> t + x)", "DESC"),
+}
+
+
+def register_view_functions(spark: SparkSession, view: str, metric: str = "l2") -> list[str]:
+    """Table functions over a view with the columns id and vec (array<double>), callable from SQL in this session.
+
+    <view>_knn(query, k): id, score, rank; <view>_within(query, radius): id, score; <view>_vector_sum() and
+    <view>_vector_avg(): pos, value.  Their bodies are inlined, so the plans are those of the DataFrame functions: local
+    and final group limits, sums that are combined on the map side.
+    """
+    check_metric(metric)
+    register_sql(spark)
+    score, order = _SCORES[metric]
+    scored = f"(SELECT id, {score} AS score FROM {view} WHERE id IS NOT NULL AND vec IS NOT NULL)"
+    cells = f"(SELECT posexplode(vec) AS (pos, x) FROM {view})"
+    bodies = {
+        "knn": ("query ARRAY<DOUBLE>, k INT", "id BIGINT, score DOUBLE, rank INT", f"SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score {order}, id) AS rank FROM {scored}) WHERE rank <= k"),
+        "within": ("query ARRAY<DOUBLE>, radius DOUBLE", "id BIGINT, score DOUBLE", f"SELECT id, score FROM {scored} WHERE score {'<=' if order == 'ASC' else '>='} radius"),
+        "vector_sum": ("", "pos INT, value DOUBLE", f"SELECT pos, sum(x) FROM {cells} GROUP BY pos"),
+        "vector_avg": ("", "pos INT, value DOUBLE", f"SELECT pos, avg(x) FROM {cells} GROUP BY pos"),
+    }
+    for name, (args, table, body) in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {view}_{name}({args}) RETURNS TABLE({table}) RETURN {body}")
+    return [f"{view}_{name}" for name in bodies]

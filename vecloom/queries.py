@@ -190,6 +190,32 @@ def scan_text_queries(s: SparkSession, d: str) -> DataFrame:
     return shown(exact.scan(emb(s, d), q, K))
 
 
+_ONE_SQL = f"list_distance(embedding::DOUBLE[], {_ONE}::DOUBLE[])"
+
+
+def _view(s: SparkSession, d: str) -> None:
+    emb(s, d).select("id", F.col("vec").cast("array<double>").alias("vec")).createOrReplaceTempView("emb_view")
+    v.register_view_functions(s, "emb_view")
+
+
+@query("sql_knn_function", f"SELECT * FROM (SELECT vec_id AS id, round({_ONE_SQL}, 6) AS score, row_number() OVER (ORDER BY {_ONE_SQL}, vec_id)::INTEGER AS rank FROM embeddings) WHERE rank <= 10")
+def sql_knn_function(s: SparkSession, d: str) -> DataFrame:
+    _view(s, d)
+    return s.sql(f"SELECT id, round(score, 6) AS score, rank FROM emb_view_knn(array({', '.join(f'{x}D' for x in _ONE)}), 10)")
+
+
+@query("sql_within_function", f"SELECT vec_id AS id, round({_ONE_SQL}, 6) AS score FROM embeddings WHERE {_ONE_SQL} <= 6.3")
+def sql_within_function(s: SparkSession, d: str) -> DataFrame:
+    _view(s, d)
+    return s.sql(f"SELECT id, round(score, 6) AS score FROM emb_view_within(array({', '.join(f'{x}D' for x in _ONE)}), 6.3D)")
+
+
+@query("sql_vector_aggregates", "SELECT (i - 1)::INTEGER AS pos, round(sum(embedding[i]::DOUBLE), 6) AS total, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i")
+def sql_vector_aggregates(s: SparkSession, d: str) -> DataFrame:
+    _view(s, d)
+    return s.sql("SELECT a.pos, round(a.value, 6) AS total, round(b.value, 6) AS mean FROM emb_view_vector_sum() a JOIN emb_view_vector_avg() b ON a.pos = b.pos")
+
+
 # journals
 
 SPEC = JournalSpec("id", "vec", "del", "ver")

@@ -68,11 +68,16 @@ def delta(rows: DataFrame, boundary: int) -> DataFrame:
     return rows.where(F.col("ver") > F.lit(boundary))
 
 
-def boundary_of(rows: DataFrame, margin: int, previous: int | None = None, previous_max: int | None = None) -> tuple[int, int]:
-    """(boundary, highest version): the highest version minus the margin, never before the previous boundary."""
+def boundary_of(rows: DataFrame, margin: int, previous: int | None = None, previous_max: int | None = None, now: int | None = None) -> tuple[int, int]:
+    """(boundary, highest version): the highest version, or `now` if that is less, minus the margin; never before the previous boundary.
+
+    now: the clock, in the unit of the versions, where they are timestamps.  A version from the future then stays in the
+    delta until its time has come, and doesn't drag the boundary past rows that are still to be written.
+    """
     new = rows if previous is None else rows.where(F.col("ver") > F.lit(previous))
     top = max(new.agg(F.max("ver")).first()[0] or 0, previous_max or 0)
-    return (top - margin if previous is None else max(top - margin, previous)), top
+    upto = (top if now is None else min(top, now)) - margin
+    return (upto if previous is None else max(upto, previous)), top
 
 
 def digest(rows: DataFrame, *boundaries: int) -> list[tuple[int, int]]:

@@ -95,24 +95,37 @@ def write_vectors(df: DataFrame, path: str) -> int:
     return n
 
 
-def generate(spark: SparkSession, rows: int, dims: int, seed: int = 1, clusters: int = 1000, spread: float = 0.5) -> DataFrame:
-    """id, vec of a Gaussian mixture: centres N(0, 1), rows around them; row r is a function of (seed, r)."""
+def generate(spark: SparkSession, rows: int, dims: int, seed: int = 1, clusters: int = 1000, spread: float = 0.5, first: int = 0, queries: bool = False) -> DataFrame:
+    """id, vec of a Gaussian mixture: centres N(0, 1), rows first .. first + rows - 1 around them.
+
+    Row r is a function of (seed, r), whatever the partitioning, so a table can be made in pieces.  With queries: other
+    rows around the same centres.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        rng = np.random.Generator(np.random.Philox(key=[seed ^ 0x5EED, 0]))
+        centres = rng.standard_normal((clusters, dims)).astype(np.float32)
+        key, block = seed ^ (0x9E3779B9 if queries else 0), 256
+
+        def rows_of(at):
+            """Rows at * block ... (at + 1) * block - 1, from one generator."""
+            rng = np.random.Generator(np.random.Philox(key=[key, at]))
+            own = rng.integers(clusters, size=block)
+            return centres[own] + np.float32(spread) * rng.standard_normal((block, dims), np.float32)
+
         for b in batches:
             ids = b.column(0).to_numpy()
             out = np.empty((len(ids), dims), np.float32)
-            for i, r in enumerate(ids.tolist()):
-                rng = np.random.Generator(np.random.Philox(key=[seed, r]))
-                c = np.random.Generator(np.random.Philox(key=[seed ^ 0x5EED, int(rng.integers(clusters))])).standard_normal(dims)
-                out[i] = c + spread * rng.standard_normal(dims)
+            for at in np.unique(ids // block).tolist():
+                mine = ids // block == at
+                out[mine] = rows_of(at)[ids[mine] % block]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "vec"])
 
-    return spark.range(rows).mapInArrow(run, "id long, vec array<float>")
+    return spark.range(first, first + rows).mapInArrow(run, "id long, vec array<float>")
 
 
 def load_dataset(spark: SparkSession, folder: str, name: str, base: str, query: str | None = None, truth: str | None = None, parts: int = 8) -> dict[str, str]:
