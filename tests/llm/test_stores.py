@@ -18,9 +18,7 @@ P = pytest.importorskip("public_tokenizers")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def test_piecewise_encoding_equals_the_librarys(tokenizer):
@@ -30,6 +28,9 @@ def test_piecewise_encoding_equals_the_librarys(tokenizer):
     e = token_store.Encoder(P.path("byte_bpe_50k.json"), "<u2", limit=20)
     want = [np.array(x.ids, "<u2").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want and e.encode(texts) == want
+    assert np.frombuffer(e.encode(["x <|endoftext|> y"])[0], "<u2").tolist() == [87, 220, 50256, 331]
+    plain = token_store.Encoder(P.path("byte_bpe_50k.json"), "<u2", plain_text=True)
+    assert 50256 not in np.frombuffer(plain.encode(["x <|endoftext|> y"])[0], "<u2") and plain.encode(texts[:8]) == want[:8]
 
 
 def test_store_reads_back_what_was_written(spark, tokenizer):
@@ -38,7 +39,7 @@ def test_store_reads_back_what_was_written(spark, tokenizer):
     passage = " ".join(rng.choices(words, k=900))
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1200)))) for i in range(30)]
     rows += [(100 + i, rows[3][1]) for i in range(5)] + [(200 + i, f"{' '.join(rng.choices(words, k=300))} {passage} end {i}") for i in range(6)]
-    rows += [(300, None), (301, ""), (302, passage * 3), (302, passage * 3), (None, "no id")]
+    rows += [(290, "of <|endoftext|> and on"), (300, None), (301, ""), (302, passage * 3), (302, passage * 3), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("n", F.lit("clash"))
     folder = token_store.write(df, P.path("byte_bpe_50k.json"))
     got = sorted(token_store.read(spark, folder).collect(), key=lambda r: r.start)
@@ -50,6 +51,11 @@ def test_store_reads_back_what_was_written(spark, tokenizer):
     packs = spark.read.parquet(f"{folder}/packs")
     distinct = packs.select(F.explode("digests").alias("x")).distinct().count()
     assert packs.agg(F.sum(F.size("owned"))).first()[0] == distinct < packs.agg(F.sum(F.size("digests"))).first()[0]
+    lost = f"{folder}-lost"  # a pack that lost a document
+    packs.where("doc_id is null or doc_id <> 5").write.parquet(f"{lost}/packs")
+    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{lost}/manifest")
+    with pytest.raises(ValueError, match="don't match the manifest"):
+        token_store.read(spark, lost)
     empty = token_store.read(spark, token_store.write(df.limit(0), P.path("byte_bpe_50k.json")))
     assert empty.collect() == []
 
@@ -70,7 +76,7 @@ def test_cuts_follow_the_content():
 def test_archives_are_read_back_record_by_record(spark):
     big = "<p>" + "x" * 2000 + "é</p>"
     rows = [(1, "http://a/1", big), (5, "http://a/5", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (6, "u\r\nInjected: 1", None), (7, "u", ""), (None, "u", big), (5, "http://a/5", big)]
-    rows += [(100 + i, "u", f"page {i} " * 300) for i in range(200)]
+    rows += [(100 + i, "u", f"page {i} " * 300) for i in range(200)] + [(400, "u", "beyond a frame " * 40_000), (401, "u", "beyond a frame " * 40_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumn("digest", F.lit(1))
     index, read = warc.archive(df, frame_bytes=20_000, archive_bytes=60_000)
     got = read.collect()
@@ -78,6 +84,11 @@ def test_archives_are_read_back_record_by_record(spark):
     kinds = {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id in (1, 2, 3, 4, 5, 6, 7, None)}
     assert kinds == {(1, "revisit", 5), (3, "revisit", 5), (5, "response", None), (2, "response", None), (4, "response", None), (6, "response", None), (7, "response", None), (None, "response", None)}
     assert {r.payload_bytes for r in got if r.page_id in (1, 3, 5)} == {len(big.encode())}
+    assert {(r.page_id, r.record_type, r.payload_bytes) for r in got if r.page_id in (400, 401)} == {(400, "revisit", 600_000), (401, "response", 600_000)}
+    assert warc.read_record(index, 401)[1].decode() == "beyond a frame " * 40_000
+    # more repeated payloads than are broadcast: the same plan by a shuffle join
+    key = lambda d: sorted((str(r.page_id), r.digest, str(r.refers_to)) for r in d.select("page_id", "digest", "refers_to").collect())
+    assert key(warc.revisit_plan(df, few=0)) == key(warc.revisit_plan(df))
     head, block = warc.read_record(index, 150)
     assert block.decode() == "page 50 " * 300 and head["WARC-Record-ID"] == "<urn:page:150>"
     assert warc.archive(df.limit(0))[1].collect() == []
@@ -104,7 +115,7 @@ def filled(sizes, weights, cap):
 def test_targets_and_taken_words(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(1, 200), rng.choice(["a", "b", "b", "b", "b", "b", "c", "Z", None])) for i in range(600)]
-    rows += [(700, None, "a"), (701, "", "only empty"), (None, "x y z", "a"), (1, rows[1][1], rows[1][2])]
+    rows += [(690, "w " * 30_000, "b"), (700, None, "a"), (701, "", "only empty"), (None, "x y z", "a"), (1, rows[1][1], rows[1][2])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
     got = mixing.mix(df).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=str)
@@ -141,8 +152,9 @@ def test_queries_run_over_whole_tables(spark):
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").count()
-    for name in ("op1_sentencepiece", "op2_token_store", "op5_mixing", "op8_weighted_sampling", "op9_line_spread"):
-        assert QUERIES[name](spark, d).count() == docs
+    size = {"op3_cover_tree": spark.read.parquet(f"{d}/embeddings.parquet").count(), "op6_warc": spark.read.parquet(f"{d}/pages.parquet").count()}
+    for name, q in QUERIES.items():
+        assert q(spark, d).count() == size.get(name, docs), name
 
 
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
@@ -164,3 +176,25 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
             assert ids == {*text, None}
     out = cp.STAGES[-1][1](spark, docs, "").collect()
     assert out and all(r.round_trip for r in out)
+    for _, f in cp.STAGES:
+        assert f(spark, docs.limit(0), "").collect() == []
+
+
+def test_staged_tables_keep_types_and_nulls_and_go_with_their_owner(spark):
+    from decimal import Decimal
+
+    from vecloom.llm import common
+
+    kinds = "a long, b string, c struct<x: string not null, y: array<int> not null>, d decimal(38,0), e array<binary>, f map<string,double>, g boolean, h timestamp, i array<array<struct<u: int, v: array<int>>>>"
+    import datetime
+
+    rows = [(1, "é", ("x", [1, 2]), Decimal(3), [b"1", None], {"k": 1.5}, True, datetime.datetime(2020, 1, 1), [[(1, [2])], []]), (None,) * 9]
+    df = spark.createDataFrame(rows, kinds).repartition(3)
+    with common.Temporary() as outer:
+        with common.Temporary() as inner:
+            kept, lost = inner.keep(common.stage(df, "t")), common.stage(df, "t")
+            assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+        assert kept.count() == 2 and kept._staged_path in outer.staged
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(lost._staged_path)
+        assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    assert common.stage(df.limit(0), "t").collect() == []

@@ -126,6 +126,14 @@ def _write_by_workers(df: DataFrame, path: str, group_bytes: int = 32 << 20) ->
         import pyarrow.fs
         import pyarrow.parquet
 
+        def loose(kind):
+            """The type with every field nullable: a null struct has null fields."""
+            if pa.types.is_struct(kind):
+                return pa.struct([pa.field(f.name, loose(f.type)) for f in kind])
+            if pa.types.is_map(kind):
+                return pa.map_(loose(kind.key_type), loose(kind.item_type))
+            return pa.list_(pa.field("element", loose(kind.value_type))) if pa.types.is_list(kind) else kind
+
         out, held, n = None, [], 0
         name = f"part-{uuid.uuid4().hex}.parquet"
         for b in batches:
@@ -133,17 +141,19 @@ def _write_by_workers(df: DataFrame, path: str, group_bytes: int = 32 << 20) ->
                 continue
             if out is None:
                 store, at = pyarrow.fs.FileSystem.from_uri(path)
-                out = pyarrow.parquet.ParquetWriter(store.open_output_stream(f"{at}/{name}"), b.schema, compression="zstd", use_dictionary=False)
+                schema = pa.schema([pa.field(f.name, loose(f.type)) for f in b.schema])
+                sink = store.open_output_stream(f"{at}/{name}")
+                out = pyarrow.parquet.ParquetWriter(sink, schema, compression="zstd", use_dictionary=False)
             held.append(b)
             n += b.nbytes
             if n >= group_bytes:
-                out.write_table(pa.Table.from_batches(held))
+                out.write_table(pa.Table.from_batches(held).cast(schema))
                 held, n = [], 0
         if out is not None:
             if held:
-                out.write_table(pa.Table.from_batches(held))
+                out.write_table(pa.Table.from_batches(held).cast(schema))
             out.close()
-            out.file_handle.close() if out.file_handle is not None else None
+            sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
