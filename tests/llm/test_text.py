@@ -32,11 +32,46 @@ def test_language_of_held_out_texts_and_of_odd_ones(spark):
     assert sum(got[i].lang_pred == rows[i][2] for i in range(120, 180)) >= 59
     assert all(0 <= r.lang_score <= 1 for r in got.values())
     assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "de"]
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "ⅷ 7"), (3, "a"), (4, "_-_")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(odd, model).collect()} == {1: True, 2: True, 3: False, 4: True}
     empty = langid.predict(df, langid.fit(df.limit(0)))
     assert {r.lang_pred for r in empty.collect()} == {"und"}
     assert langid.predict(df.limit(0), model).collect() == []
 
 
+def test_languages_by_code_lengths_of_fresh_compressors(spark):
+    """Every text compressed on its own, piece by piece, with a compressor made for it."""
+    import zstandard as z
+
+    rows = corpus(90, 4) + [(500 + i, w, None) for i, w in enumerate(["a", "die", "Être ou ne pas", "x" * 9000, "der the le " * 900])] + [(3, "of the and", "en"), (3, "of the and", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id < 60"), per_language=15, dict_chars=6000)
+    model["aa"] = model["en"]  # a tie: the smaller name
+    model = dict(sorted(model.items()))
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = langid.fold(r.text)
+        sizes = {}
+        for name, content in model.items():
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            fresh = lambda: z.ZstdCompressor(dict_data=d, level=langid.LEVEL, write_content_size=False, write_checksum=False)  # noqa: B023, E731
+            sizes[name] = sum(len(fresh().compress(t[i : i + langid.PIECE])) for i in range(0, len(t), langid.PIECE))
+        best = min(sizes.values())
+        assert r.lang_pred == min(k for k, v in sizes.items() if v == best) and r.lang_pred != "en"
+        second = sorted(sizes.values())[1]
+        assert abs(r.lang_margin - (second - best) / best) < 1e-12
+
+
+def test_fit_takes_equal_texts_once_whatever_their_ids(spark):
+    rows = [(1, "the same text of many rows", "en")] * 50 + [(None, "the same text of many rows", "en")] * 50 + [(i, f"other text {chr(97 + i)} of the", "en") for i in range(8)] + [(9, "le texte est ici", "fr"), (10, "", "fr"), (11, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    a, b = langid.fit(df, per_language=20), langid.fit(df.dropDuplicates(["text", "lang"]), per_language=20)
+    assert a == b and [*a] == ["en", "fr"] and a["en"].count(b"same text") == 1
+    with pytest.raises(ValueError, match="2 languages; the limit is 1"):
+        langid.fit(df, max_languages=1)
+
+
 def test_folding_undoes_disguises():
     assert toxicity.fold("You ІDI0T, 1d!ot and ｌｏｓｅｒ") == " you idiot idiot and loser "
     assert toxicity.fold("call 555 1234 or +1 (2)") == " call or "
@@ -61,6 +96,8 @@ def test_toxicity_is_learned_and_normalised(spark):
     got = {r.doc_id: r.tox_score for r in toxicity.score(df.withColumn("tox_score", df.doc_id), lex).collect()}
     assert all((got[i] >= 0.7) == (i % 5 == 0) for i in range(300, 400))
     assert got[1000] == got[1001] < 0.5 and got[1002] >= 0.7 and got[1003] < 0.7
+    repeated = toxicity.fit(df.where("doc_id < 300").unionByName(df.where("doc_id < 300")), lab.unionByName(lab))
+    assert repeated.entries == lex.entries and (repeated.slope, repeated.bias) == (lex.slope, lex.bias)
     spared = toxicity.Lexicon({" trash": 5.0}, ("trash can",), 1.0, 0.0)
     a = spared.automaton()
     assert toxicity.Lexicon.weigh(a, toxicity.fold("a trash can"))[0] == 0 and toxicity.Lexicon.weigh(a, toxicity.fold("what trash"))[0] == 5
@@ -68,6 +105,55 @@ def test_toxicity_is_learned_and_normalised(spark):
     assert {r.tox_score >= 0.7 for r in toxicity.score(df, none).collect()} == {False}
 
 
+def naive_weight(lexicon, folded):
+    """Every entry tried at every word by comparing strings, exceptions by searching for them."""
+    spared = []
+    for e in lexicon.exceptions:
+        p = toxicity.fold(e)
+        at = folded.find(p)
+        while at >= 0:
+            spared.append((at, at + len(p) - 1))
+            at = folded.find(p, at + 1)
+    total = 0.0
+    for at, c in enumerate(folded):
+        if c == " " and not any(a <= at < b for a, b in spared):
+            total += max((w for p, w in lexicon.entries.items() if folded.startswith(p, at) and w > 0), default=0.0)
+    return total
+
+
+def test_weights_equal_a_naive_search_without_the_automaton(spark):
+    rng = random.Random(8)
+    parts = ["zor", "gle", "trash", "can", "clown", "fish", "a", "is", "Z0r", "tr4sh", "сan"]
+    texts = ["", "  ", "zor", "trash can"] + [" ".join("".join(rng.choices(parts, k=rng.randint(1, 2))) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    lexicon = toxicity.Lexicon({" zor": 2.0, " zorgle": 3.5, " trash": 1.5, " clown ": 2.5, " gle ": 1.0, " is": 0.5}, ("trash can", "clown fish", "is a zor"))
+    a = lexicon.automaton()
+    for t in texts:
+        assert abs(toxicity.Lexicon.weigh(a, toxicity.fold(t))[0] - naive_weight(lexicon, toxicity.fold(t))) < 1e-9
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    for r in toxicity.score(df, lexicon).collect():  # one id for all rows: each is scored by its text
+        f = toxicity.fold(r.text)
+        assert abs(r.tox_score - lexicon.score(naive_weight(lexicon, f), max(0, f.count(" ") - 1))) < 1e-9
+
+
+def test_exceptions_are_learned_from_harmless_phrases(spark):
+    rng = random.Random(9)
+    plain = [w for ws in WORDS.values() for w in ws]
+    rows, labels = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 4 == 0:
+            words[3] = words[20] = "grunk"
+        elif i % 40 == 1:
+            words[5:7] = ["grunk", "valve"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lex = toxicity.fit(df, lab)
+    assert any(p.strip() in "grunk" for p in lex.entries) and "grunk valve" in lex.exceptions
+    got = toxicity.score(spark.createDataFrame([(1, "the grunk valve of this"), (2, "the grunk of this")], "doc_id long, text string"), lex).collect()
+    assert got[0].tox_weight == 0 < got[1].tox_weight
+
+
 def jaccard(a, b):
     def terms(t):
         w = t.lower().split()
@@ -86,6 +172,11 @@ def test_collision_rate_is_the_generalised_jaccard_similarity():
         a, b = " ".join(base * rng.randint(1, 2)), " ".join(other)
         err.append(cws.likeness(s.fingerprint(a), s.fingerprint(b)) - jaccard(a, b))
     assert abs(np.mean(err)) < 0.03 and np.std(err) < 0.09
+    for n in (30_000, 100_000):  # lanes share a table of draws: no bias in long texts either
+        words = [f"w{k}" for k in range(n)]
+        a, b = " ".join(words), " ".join(words[: n * 2 // 3] + [f"v{k}" for k in range(n // 3)])
+        assert abs(cws.likeness(s.fingerprint(a), s.fingerprint(b)) - jaccard(a, b)) < 0.2
+    assert cws.likeness(s.fingerprint("a b c d e f"), s.fingerprint("A  B c d e\nf")) == 1
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -113,6 +204,12 @@ def F_lit(x):
     return F.lit(x)
 
 
+def test_scores_of_the_model_count_where_it_has_them():
+    assert sentencepiece_nbest.piece_scores([-1.25, -2.0, -7.0004]) == [-1250, -2000, -7000]
+    zipf = sentencepiece_nbest.piece_scores([0.0, -1.0, -2.0, -1e9])
+    assert zipf == sorted(zipf, reverse=True) and abs(sum(np.exp(x / 1000) for x in zipf) - 1) < 0.01
+
+
 @pytest.fixture(scope="module")
 def segmenter():
     return sentencepiece_nbest.Segmenter(P.path("piece_bpe_32k.model"), limit=50)

@@ -115,7 +115,8 @@ def _batch(rows: list[tuple], schema: str):
 def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
     """docs(doc_id, text) -> ROW: fingerprints of each text, of its edited text, and their likenesses.
 
-    One range shuffle brings the documents into doc_id order; a task handles each document with its successor.  The
+    One range shuffle brings the documents into doc_id order (of equal ids by the texts' beginnings, so that one id or
+    null in many rows is dealt to many tasks); a task handles each document with its successor.  The
     last document of a partition and the first of the next (two rows a partition) meet in a small second step.
 
     Null and empty texts are the term of no words.  Null doc_ids come first.  Rows of equal doc_id follow each other in
@@ -145,7 +146,7 @@ def fingerprints(docs: DataFrame, lanes: int = LANES) -> DataFrame:
             rows.append((before[0], None, None, None, None, None, None, part, first, True, before[1]))
             yield _batch(rows, STAGED)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     done = stage(ordered.mapInArrow(run, STAGED), "cws")
     ends = done.where("last or first")
     parts = sorted(r.part for r in ends.where("last").select("part").collect())  # one small number a partition
