@@ -144,9 +144,20 @@ def test_dual_traversal_of_dense_and_sparse_trees():
 def test_lines_on_many_sites_go(spark):
     rows = [(i, f"own text number {i} with some words\nAll rights reserved.\nmore of {i}", f"s{i % 7}", None) for i in range(14)]
     rows += [(100 + i, "the very same document\nin two lines", f"s{i}", None) for i in range(9)]
+    long = "\n".join(f"line {k} of a very long text" for k in range(30_000))
+    rows += [(300, long + "\nAll rights reserved.", "s1", None), (None, long[:60], "s1", None), (None, "All rights reserved.", "s2", None), (5, "another text of that id\nAll rights reserved.", "s2", None)]
     rows += [(200, None, "s1", None), (201, "", None, None), (202, "All rights reserved.\r\n\nlonger line of its own", None, None), (203, "seen on few sites\nand longer text " + "x" * 90, "s1", "y")]
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("extra", "clean_text")
-    got = {r.doc_id: r for r in line_spread.remove_boilerplate(df, min_sites=5).collect()}
+    every = line_spread.remove_boilerplate(df, min_sites=5).collect()
+    joined = line_spread.remove_boilerplate(df, min_sites=5, few=0)  # more lines than are sent: a join
+    assert sorted(map(str, joined.collect())) == sorted(map(str, every))
+    odd = ["a", " ñandú\t", "\r", "", "x" * 3000, "日本 語", "\u00a0nbsp"]
+    keys = spark.createDataFrame([(t,) for t in odd], "t string").select("t", line_spread.line_key(F.col("t")).alias("k")).collect()
+    assert all(line_spread.hash_of(r.t) == r.k for r in keys)
+    assert len(every) == len(rows) and {r.clean_text for r in every if r.doc_id is None} == {long[:60], ""}
+    assert {r.clean_text for r in every if r.doc_id == 5} == {"own text number 5 with some words\nmore of 5", "another text of that id"}
+    assert [r.clean_text for r in every if r.doc_id == 300] == [long]
+    got = {r.doc_id: r for r in every if r.text != "another text of that id\nAll rights reserved."}
     assert all(got[i].clean_text == f"own text number {i} with some words\nmore of {i}" and got[i].n_removed == 1 for i in range(14))
     assert all(got[100 + i].clean_text == "" and got[100 + i].n_removed == 2 for i in range(9))
     assert (got[200].clean_text, got[200].n_lines) == (None, 0) and (got[201].clean_text, got[201].n_lines) == ("", 1)
@@ -170,4 +181,6 @@ def test_spread_lines_leave_short_pages_and_lines_of_copies_stay(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.clean_text, r.n_removed) for r in line_spread.remove_boilerplate(df, copy_share=0.5).collect() if r.text is not None)
     want = [(-1, "short", 2), (0, "short 0", 2), *((i, f"short {i}", 2) for i in range(12)), *((100 + i, rows[12 + i][1], 0) for i in range(9)), (200, "", 2), (202, "longer text of its own " + "x" * 90, 1)]
     assert got == sorted(want)
+    joined = sorted((r.doc_id if r.doc_id is not None else -1, r.clean_text, r.n_removed) for r in line_spread.remove_boilerplate(df, copy_share=0.5, few=0).collect() if r.text is not None)
+    assert joined == got
     assert line_spread.remove_boilerplate(df.limit(0), copy_share=0.5).collect() == []

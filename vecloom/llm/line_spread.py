@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import stage
+from .common import Temporary, stage
 from .components import components
 from .near_copies import text_key
 
@@ -72,7 +72,59 @@ def independent_lines(suspects: DataFrame, lines: DataFrame, min_sites: int) ->
     return carried.groupBy("line").agg(F.count("*").alias("own")).join(groups, "line", "full_outer").where(n >= min_sites).select("line")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, copy_share: float | None = None) -> DataFrame:
+def hash_of(line: str) -> int | None:
+    """line_key() of one line, in Python."""
+    from xxhash import xxh64_intdigest
+
+    t = line.strip(" \t\r")
+    if not t:
+        return None
+    h = xxh64_intdigest(len(t).to_bytes(4, "little"), xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _cleaned(docs: DataFrame, bad, proven, copy_share: float | None) -> DataFrame:
+    """docs(text, ...) + n_lines, n_removed, clean_text, __own, __bad; of a document that isn't its own only `proven` lines go.
+
+    bad, proven: sets of line hashes (proven None: leave such documents as they are), or None for bad where each row
+    brings those of its lines in a column __hits.
+    """
+    from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+
+    sent = docs.sparkSession.sparkContext.broadcast((bad, proven))  # at most `few` numbers each
+    extra = [StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("clean_text", StringType()), StructField("__own", BooleanType()), StructField("__bad", ArrayType(LongType()))]
+    passed = [f for f in docs.schema.fields if f.name != "__hits"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        bad, proven = sent.value
+
+        def clean(text, hits):
+            if text is None:
+                return 0, 0, None, True, None
+            lines, there = text.split("\n"), bad if bad is not None else set(hits or ())
+            keys = [hash_of(x) for x in lines] if there else []
+            found = [k in there for k in keys]
+            if not any(found):
+                return len(lines), 0, text, True, None
+            kept = [x for x, f in zip(lines, found) if not f]
+            if copy_share is not None and sum(map(len, kept)) < (1 - copy_share) * sum(map(len, lines)):
+                kept = lines if proven is None else [x for x, k, f in zip(lines, keys, found) if not (f and k in proven)]
+                return len(lines), len(lines) - len(kept), "\n".join(kept) if len(kept) < len(lines) else text, False, sorted({k for k, f in zip(keys, found) if f})
+            return len(lines), len(lines) - len(kept), "\n".join(kept), True, None
+
+        for b in batches:
+            names = b.schema.names
+            hits = b.column(names.index("__hits")).to_pylist() if bad is None else [None] * b.num_rows
+            rows = [clean(t, h) for t, h in zip(b.column(names.index("text")).to_pylist(), hits)]
+            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, n in enumerate(names) if n != "__hits"), *new], names=[*(f.name for f in passed), *(f.name for f in extra)])
+
+    return docs.mapInArrow(run, StructType([*passed, *extra]))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, copy_share: float | None = None, few: int = 500_000) -> DataFrame:
     """docs with the columns n_lines, n_removed, clean_text; text itself is left as it was.
 
     Every line that stands on `min_sites` sites goes, however much of its document it is.  With `copy_share` a document
@@ -80,28 +132,32 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, band: float = 0.25,
     sites spread all their lines: it loses the lines that reach `min_sites` sites when near copies among such documents
     count as one, and keeps those that only copying spreads.
 
+    Up to `few` such lines are sent to the documents as hashes, so no text is shuffled; more are joined with the texts.
+
     Null text stays null with no lines; an empty text has one blank line; a document of boilerplate only becomes
     empty.  A null source is a site of its own.  Repeated rows, and rows of equal or null id, are treated alike by their
     text.  Empty table: no rows.  Other columns pass through; clashing names among the three added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "clean_text")
-    bad, lines = boilerplate_lines(docs, min_sites, band, lg_k)
-    hits = lines.join(bad.select("line"), "line").groupBy("key").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("key", "__hit")
-    d = docs.withColumn("__row", text_key(F.col("text"))).join(hits, F.col("__row") == F.col("__hit"), "left").drop("__hit")
-    split = lines_of(F.col("text"))
-    is_bad = lambda x: F.coalesce(F.array_contains(F.col("__bad"), line_key(x)), F.lit(False))
-    kept = F.when(F.col("__bad").isNotNull(), F.filter(split, lambda x: ~is_bad(x))).otherwise(split)
-    d = d.withColumn("__kept", kept)
-    if copy_share is not None:
-        chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-        d = stage(d.withColumn("__own", F.coalesce(chars(F.col("__kept")) >= F.lit(1 - copy_share) * chars(split), F.lit(True))), "line-marked")
-        suspects = d.where(~F.col("__own"))
-        proven = independent_lines(suspects.select(F.col("__row").alias("key"), "text", site_of(F.col("source")).alias("site"), F.col("__bad").alias("bad")), lines, min_sites)
-        loose = suspects.select("__row", F.explode("__bad").alias("line")).distinct().join(proven, "line").groupBy("__row").agg(F.collect_set("line").alias("__bad"))
-        again = suspects.drop("__bad", "__kept").join(loose, "__row", "left").withColumn("__kept", kept)
-        d = d.where(F.col("__own")).unionByName(again)
-    clean = F.when(F.col("__bad").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    removed = F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long")
-    out = d.withColumn("n_lines", n).withColumn("n_removed", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(removed)).withColumn("clean_text", clean)
-    return out.select(*docs.columns, "n_lines", "n_removed", "clean_text")
+    added = ["n_lines", "n_removed", "clean_text"]
+
+    def with_hits(d: DataFrame, hit: DataFrame) -> DataFrame:
+        """d with __hits: the lines of hit(line) that each text has."""
+        hits = lines.join(hit, "line").groupBy(F.col("key").alias("__hit")).agg(F.collect_set("line").alias("__hits"))
+        hits = mine.keep(stage(hits, "line-hits"))
+        return d.withColumn("__row", text_key(F.col("text"))).join(hits, F.col("__row") == F.col("__hit"), "left").drop("__hit", "__row")
+
+    with Temporary() as mine:
+        found, lines = boilerplate_lines(docs, min_sites, band, lg_k)
+        found = stage(found.select("line"), "bad-lines")
+        bad = {r.line for r in found.collect()} if found.count() <= few else None
+        d, proven = docs if bad is not None else with_hits(docs, found), None
+        if copy_share is not None:
+            marked = _cleaned(d, bad, None, copy_share)
+            suspects = stage(marked.where("not __own").select(text_key(F.col("text")).alias("key"), "text", site_of(F.col("source")).alias("site"), F.col("__bad").alias("bad")), "line-suspects")
+            left = stage(independent_lines(suspects, lines, min_sites), "proven-lines")
+            if left.count() > few:
+                again = _cleaned(with_hits(marked.where("not __own").select(*docs.columns), left), None, None, None)
+                return marked.where("__own").unionByName(again).select(*docs.columns, *added)
+            proven = {r.line for r in left.collect()}
+    return _cleaned(d, bad, proven, copy_share).select(*docs.columns, *added)
