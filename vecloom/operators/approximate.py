@@ -312,6 +312,16 @@ def search_codes(rows: DataFrame, queries: DataFrame, k: int, metric: str, offse
     """
     check_k(k)
     take = max(k, math.ceil(k * oversampling)) if rescore else k
+
+    def rescored(batches):
+        """Scores of pairs by the sums every other search uses, so equal vectors score equally wherever they come from."""
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                s = workers.exact_scores(workers.matrix(b.column(2)), workers.matrix(b.column(3)), metric)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["qid", "id", "score"])
+
     out = None
     for qids, vecs, last in query_blocks(queries):
         sent = rows.sparkSession.sparkContext.broadcast((qids, vecs))  # bounded by query_blocks
@@ -337,9 +347,7 @@ def search_codes(rows: DataFrame, queries: DataFrame, k: int, metric: str, offse
             ids = near.select("id").distinct()  # at most take a query of the block
             x = rows.join(F.broadcast(ids), "id").select("id", F.col("vec").cast("array<double>").alias("vec"))
             asked = rows.sparkSession.createDataFrame(list(zip(qids, vecs.tolist())), "qid long, qvec array<double>")
-            from ..functions.vectors import METRICS
-
-            near = near.join(x, "id").join(F.broadcast(asked), "qid").select("qid", "id", METRICS[metric][0](F.col("qvec"), F.col("vec")).alias("score"))
+            near = near.join(x, "id").join(F.broadcast(asked), "qid").select("qid", "id", "vec", "qvec").mapInArrow(rescored, FOUND)
         part = near.select("qid", "id", "score")
         if not last:
             part = written(part)
