@@ -322,23 +322,25 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0
     dealt.mapInArrow(pack, PACK).write.option("compression", "zstd").parquet(f"{folder}/packs")
     discard(enc)
     discard(shared)
-    docs_of = spark.read.schema(PACK).parquet(f"{folder}/packs").select("part", "local_start", "n", "root")
+    manifest(spark, folder).write.parquet(f"{folder}/manifest")
+    return folder
+
+
+MANIFEST = "part int, docs long, ids long, root binary"
 
-    def manifest(batches):
+
+def manifest(spark, folder: str) -> DataFrame:
+    """A row for each pack of a store: its documents, their ids, and the Merkle root over the documents' roots in order."""
+
+    def run(batches):
         import pyarrow as pa
 
-        roots, n, part = [], 0, None
-        for b in batches:
-            part = b.column(0)[0].as_py() if b.num_rows else part
-            roots += b.column(3).to_pylist()
-            n += sum(b.column(2).to_pylist())
-        if roots:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([n], pa.int64()), pa.array([merkle_root(roots)], pa.binary())], names=["part", "docs", "ids", "root"])
-
-    m = docs_of.repartition("part").sortWithinPartitions("part", "local_start")
-    per = lambda batches: (r for t in _parts(batches) for r in manifest(t.to_batches()))
-    m.mapInArrow(per, "part int, docs long, ids long, root binary").write.parquet(f"{folder}/manifest")
-    return folder
+        for t in _parts(batches):
+            roots = t.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[0].as_py()], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([sum(t.column(2).to_pylist())], pa.int64()), pa.array([merkle_root(roots)], pa.binary())], names=["part", "docs", "ids", "root"])
+
+    rows = spark.read.schema(PACK).parquet(f"{folder}/packs").select("part", "local_start", "n", "root")
+    return rows.repartition("part").sortWithinPartitions("part", "local_start").mapInArrow(run, MANIFEST)
 
 
 def _parts(batches):
@@ -378,12 +380,15 @@ def read(spark, folder: str) -> DataFrame:
     start: ids of all documents before it in doc_id order.
     """
     packs = spark.read.schema(PACK).parquet(f"{folder}/packs")
-    told = spark.read.schema("part int, docs long, ids long, root binary").parquet(f"{folder}/manifest")
+    told = sorted(map(tuple, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()))  # one row a pack
+    if told != sorted(map(tuple, manifest(spark, folder).collect())):
+        raise ValueError("the packs don't match the manifest")
     offsets, at = [], 0
-    for r in sorted(told.select("part", "ids").collect()):  # one row per pack
-        offsets.append((r.part, at))
-        at += r.ids
+    for part, _, ids, _ in told:
+        offsets.append((part, at))
+        at += ids
     kinds = "root binary, n_tokens long, ids_crc32 long"
+    whole = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, chunks int, owned int"
 
     def out(rows):
         import pyarrow as pa
@@ -391,17 +396,20 @@ def read(spark, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["root", "n_tokens", "ids_crc32"])
 
     def in_place(batches):
+        import pyarrow as pa
         import zstandard
 
         unz = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = [(root, n, _checked(unz.decompress(p), sizes, digests, root, n)) for n, root, digests, sizes, p in zip(*(c.to_pylist() for c in b.columns))]
-            yield out(rows)
+            doc_id, part, start, *rest = b.columns
+            crc = pa.array([_checked(unz.decompress(p), sizes, digests, root, n) for n, root, digests, sizes, p in zip(*(c.to_pylist() for c in rest))], pa.int64())
+            chunks = pa.array([len(x) for x in rest[3].to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([doc_id, part, start, rest[0].cast(pa.int64()), crc, chunks, chunks], names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32", "chunks", "owned"])
 
     full = F.size("owned") == F.size("digests")
-    alone = packs.where(full).select("n", "root", "digests", "sizes", "payload").mapInArrow(in_place, kinds)
-    # the others: the first document of each root is put together from its own chunks and those others lend
-    first = packs.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select(F.col("f.uid").alias("f_uid"))
+    alone = packs.where(full).select("doc_id", "part", "local_start", "n", "root", "digests", "sizes", "payload").mapInArrow(in_place, whole)
+    # the others: of each root the first document is put together from its own chunks and those others lend
+    first = packs.where(~full).groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("f")).select(F.col("f.uid").alias("f_uid"))
     mixed = packs.where(~full).join(first, F.col("uid") == F.col("f_uid"), "left_semi")
 
     def explode(lend: bool):
@@ -455,8 +463,7 @@ def read(spark, folder: str) -> DataFrame:
             yield out(rows)
 
     joined = parts.repartition("uid").sortWithinPartitions("uid", "k").select("uid", "k", "data", "n", "root", "digests", "sizes").mapInArrow(assemble, kinds)
-    known = alone.unionByName(joined)
     starts = spark.createDataFrame(offsets, "part int, before long")
-    docs = packs.select("doc_id", "part", "local_start", "root", F.size("digests").alias("chunks"), F.size("owned").alias("owned"))
-    docs = docs.join(F.broadcast(starts), "part")
-    return docs.join(known, "root").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "chunks", "owned")
+    shared = packs.where(~full).select("doc_id", "part", "local_start", "root", F.size("digests").alias("chunks"), F.size("owned").alias("owned"))
+    docs = alone.unionByName(shared.join(joined, "root").drop("root"))
+    return docs.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "chunks", "owned")
