@@ -283,10 +283,11 @@ def children(m, most: int):
     return m[:1]
 
 
-def _split(placed: DataFrame, big: list[tuple[int, int, int]], sample: int, most: int, fresh: int) -> tuple[DataFrame, int]:
+def _split(placed: DataFrame, big: list[tuple[int, int, int]], block: int, sample: int, most: int, fresh: int) -> tuple[DataFrame, int]:
     """(placed with the rows of the big nodes (node, rows, dim) dealt to new nodes, numbered from `fresh`; the next number).
 
-    At most `sample` rows of each big node come to the driver.
+    A node gets twice as many children as it has blocks, at most `most`: more would be more pairs to meet where balls
+    overlap anyway.  At most `sample` rows of each big node come to the driver.
     """
     import numpy as np
 
@@ -298,10 +299,10 @@ def _split(placed: DataFrame, big: list[tuple[int, int, int]], sample: int, most
     held: dict[int, list] = {}
     for r in sorted(few, key=lambda r: (r.node, r.r)):
         held.setdefault(r.node, []).append(r.v)
-    dims, into, at = {c: d for c, _, d in big}, {}, fresh
+    facts, into, at = {c: (n, d) for c, n, d in big}, {}, fresh
     for node, v in held.items():
-        m = units(v, dims[node])
-        c = children(m, most)
+        n, dim = facts[node]
+        c = children(units(v, dim), min(most, 2 * -(-n // block)))
         if len(c) > 1:
             into[node] = at, c
             at += len(c)
@@ -385,7 +386,7 @@ def blocks_of(classes: DataFrame, block: int = 8192, sample: int = 1024, most: i
         big = [(r.node, r.n, r.dim) for r in sizes if r.node not in whole]
         if not big:
             break
-        split, fresh_to = _split(placed, big, sample, most, fresh)
+        split, fresh_to = _split(placed, big, block, sample, most, fresh)
         split, before = stage(split, "vector-nodes"), placed
         left = {r.node for r in split.select("node").distinct().collect()}
         whole |= {n for n, _, _ in big if n in left}
