@@ -15,12 +15,14 @@ The radius loses few links, too.  A pair at similarity 0.8 has a cosine of 0.89,
 the chance of a miss is below one in a hundred thousand at the threshold and far smaller above it.
 
 The order puts shingles that are frequent in a sample last, then goes by hash: any order gives the same pairs, this one
-gives small buckets.  Each text first meets the closest of the smallest texts of its buckets only; families of near
-copies mostly join there, and the second pass compares just the members of a bucket that are not linked yet.
+gives small buckets.  In a few rounds each text meets only the `tries` closest of its buckets' hubs, another hub in every
+round; families of near copies join there without all their pairs.  The last pass compares the members of a bucket that
+are not linked yet, each pair in its first common bucket.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,7 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return pairs.join(right, "v").join(left, "u").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, few: int = 500_000) -> DataFrame:
+def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, few: int = 500_000, rounds: int = 4, tries: int = 3) -> DataFrame:
     """docs(text) -> u, v: links between text_keys whose components are those of all near-copy pairs.
 
     Null and empty texts are one text.  Texts of fewer words than a shingle are near copies only of equal ones.
@@ -182,7 +184,8 @@ def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: in
         sketch = stage(sketches(texts, shingle, similarity, frequent(texts, shingle)), "near-sketch")
         rows = sketch.select("key", "n", "fp", F.posexplode("prefix").alias("pos", "h"))
         shared = stage(rows.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h"), "near-shared")
-        met = stage(rows.join(sent(shared, few), "h").dropDuplicates(["h", "key"]).select("h", "key", "n", "fp", "pos"), "near-met")
+        rows = sketch.select("key", "n", "fp", "prefix", F.posexplode("prefix").alias("pos", "h")).select("key", "n", "fp", "pos", "h", F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
+        met = stage(rows.join(sent(shared, few), "h").dropDuplicates(["h", "key"]).select("h", "key", "n", "fp", "pos", "before"), "near-met")
         free_shuffles(spark)
 
         def near(found: DataFrame, label: str) -> DataFrame:
@@ -191,18 +194,25 @@ def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: in
             held = stage(chosen(texts, nodes).groupBy("key").agg(F.first("text").alias("text")), "near-texts")
             return stage(verified(found, held, shingle, similarity), f"{label}-links")
 
-        # each text with the closest of the smallest texts of its buckets
-        hub = met.groupBy("h").agg(F.min(F.struct("key", "n", "fp", "pos")).alias("x")).select("h", F.col("x.key").alias("u"), F.col("x.n").alias("m"), F.col("x.fp").alias("hub_fp"), F.col("x.pos").alias("hub_pos"))
-        apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp")))
-        close = met.join(hub, "h").where((F.col("key") > F.col("u")) & (apart <= radius) & fit(n, F.col("pos"), m, F.col("hub_pos")))
-        closest = close.groupBy(F.col("key").alias("v")).agg(F.min(F.struct(apart.alias("d"), "u")).alias("x")).select("x.u", "v")
-        with Temporary() as first:
-            to_hub = mine.keep(first.keep(near(closest, "near-hub")))
-        free_shuffles(spark)
-        # the members of a bucket that are not linked yet
-        rooted = met.join(components(to_hub), F.col("key") == F.col("node"), "left").select("h", "key", "n", "fp", "pos", F.coalesce("root", "key").alias("root"))
-        open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-        rest = stage(rooted.join(sent(stage(open_, "near-open"), few), "h", "left_semi"), "near-rest")
+        # rounds: each text with the closest of its buckets' hubs that it isn't linked to yet
+        parts, rest = [], met.withColumn("root", F.col("key"))
+        for r in range(rounds):
+            pick = F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("o"), "key", "n", "fp", "pos", "root"))
+            hub = rest.groupBy("h").agg(pick.alias("x")).select("h", F.col("x.key").alias("u"), F.col("x.n").alias("m"), F.col("x.fp").alias("hub_fp"), F.col("x.pos").alias("hub_pos"), F.col("x.root").alias("hub_root"))
+            apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp")))
+            close = rest.join(hub, "h").where((F.col("root") != F.col("hub_root")) & (apart <= radius) & fit(n, F.col("pos"), m, F.col("hub_pos")))
+            nearest = F.slice(F.array_sort(F.collect_set(F.struct(apart.alias("d"), "u"))), 1, tries)  # a row has few buckets
+            chosen_pairs = close.groupBy(F.col("key").alias("v")).agg(nearest.alias("x")).select("v", F.explode("x").alias("x"))
+            with Temporary() as this:
+                parts.append(mine.keep(this.keep(near(chosen_pairs.select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct(), "near-hub"))))
+            free_shuffles(spark)
+            # the members of a bucket that are not linked yet
+            roots = components(reduce(DataFrame.unionByName, parts))
+            rooted = met.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "fp", "pos", "before", F.coalesce("root", "key").alias("root"))
+            open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+            rest = stage(rooted.join(sent(stage(open_, "near-open"), few), "h", "left_semi"), "near-rest")
+            if rest.isEmpty():
+                break
 
         def allowed(a, b):
             import numpy as np
@@ -211,11 +221,11 @@ def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: in
             ok = (ar != br) & (np.minimum(an, bn) + 1e-6 >= similarity * np.maximum(an, bn))
             return ok & (np.minimum(an - ap, bn - bp) + 1e-6 >= similarity / (1 + similarity) * (an + bn))
 
-        others = within_buckets(rest, ["h"], radius, "key", ["n", "pos", "root"], allowed)
+        others = within_buckets(rest, ["h"], radius, "key", ["n", "pos", "root"], allowed, before="before")  # each pair in its first common bucket
         with Temporary() as second:
             rest_links = mine.keep(second.keep(near(others, "near-rest")))
         free_shuffles(spark)
-    return to_hub.unionByName(rest_links)
+    return reduce(DataFrame.unionByName, [*parts, rest_links])
 
 
 def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, few: int = 500_000) -> DataFrame:

@@ -121,15 +121,16 @@ def close_pairs(fp, start, stop, radius: int):
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "fp", more: list[str] | None = None, allowed=None, cap: int = 2048) -> DataFrame:
+def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "fp", more: list[str] | None = None, allowed=None, cap: int = 2048, before: str | None = None) -> DataFrame:
     """rows(*keys, fp, name, *more), keys long -> u < v: names of the pairs of rows of a bucket at most `radius` bits apart, once.
 
     Rows of a bucket have different names.  allowed(a, b): of two dictionaries of the columns `more` of the rows to be
-    paired, which pairs count.  Buckets of more than `cap` rows are split by hash of the name into blocks and meet pair
+    paired, which pairs count.  before: a column array<long> of other buckets of the row; rows that have one in common
+    there are not paired here, so a pair that meets in many buckets is put out in one.  Buckets of more than `cap` rows are split by hash of the name into blocks and meet pair
     of blocks by pair of blocks.
     """
     more = more or []
-    cols = [*keys, *dict.fromkeys(["fp", name, *more])]
+    cols = [*keys, *dict.fromkeys(["fp", name, *more, *([before] if before else [])])]
     big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > cap)
     blocks = F.coalesce(F.ceil(F.col("__n") / cap).cast("long"), F.lit(1).cast("long"))
     dealt = rows.join(big, keys, "left").select(*cols, blocks.alias("__nb")).withColumn("__own", F.pmod(F.xxhash64(name), F.col("__nb")))
@@ -158,13 +159,25 @@ def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "f
             ok = (c["__a"][i] == c["__b"][i]) | (c["__own"][i] != c["__own"][j])
             if allowed is not None:
                 ok &= allowed({k: c[k][i] for k in more}, {k: c[k][j] for k in more})
-            x, y = c[name][i[ok]], c[name][j[ok]]
+            i, j = i[ok], j[ok]
+            if before:
+                there: dict = {}
+
+                def others(k):
+                    if k not in there:
+                        there[k] = set(c[before][k])
+                    return there[k]
+
+                apart = np.fromiter((others(p).isdisjoint(others(q)) for p, q in zip(i.tolist(), j.tolist())), bool, len(i))
+                i, j = i[apart], j[apart]
+            x, y = c[name][i], c[name][j]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
         held = None
         for batch in batches:
-            c = {k: x.to_numpy(zero_copy_only=False).astype(np.int64) for k, x in zip(batch.schema.names, batch.columns)}
+            c = {k: x.to_numpy(zero_copy_only=False) for k, x in zip(batch.schema.names, batch.columns)}
+            c = {k: x if k == before else x.astype(np.int64) for k, x in c.items()}
             if held is not None:
                 c = {k: np.concatenate([held[k], x]) for k, x in c.items()}
             if not len(c["fp"]):
