@@ -249,9 +249,11 @@ def test_full_build_triggers_and_verification(spark, tmp_path):
     w.c.unlock(w.c.get("w"), owner)
     assert all(r.fine for r in verify(w.c, "w").collect())
     m = w.c.get("w")
-    m.checksums = {k: "0" for k in m.checksums}
+    good, m.checksums = m.checksums, {k: "0" for k in m.checksums}
+    w.c.put(m)
+    assert not verify(w.c, "w").where("what = 'checksum'").first().fine and w.c.names() == ["w"] and admin.warm(w.c)["broken"] == 1
+    m.checksums = good
     w.c.put(m)
-    assert not verify(w.c, "w").where("what = 'checksum'").first().fine and w.c.names() == ["w"]
     assert {r.level for r in admin.status(w.c, "w").collect()} <= {"notice", "warning"}
     assert admin.info(w.c).first().vector_count == len(w.live) and admin.warm(w.c)["fine"] == 1
     unregister(w.c, "w")
