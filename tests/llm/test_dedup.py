@@ -141,6 +141,29 @@ def test_dual_traversal_of_dense_and_sparse_trees():
         assert label.tolist() == roots(400, zip(*np.nonzero(h)))
 
 
+def test_unclustered_rows_are_compared_in_few_directions():
+    """Where no ball prunes, nearly all pairs are told apart by bounds that are never below their products."""
+    rng = np.random.default_rng(4)
+    a, b = unit(rng.normal(size=(3000, 64))), unit(rng.normal(size=(1500, 64)))
+    for k in range(300):  # around the threshold
+        b[k] = a[k] + (0.035 + 0.00004 * k) * rng.normal(size=64)
+    b = unit(b)
+    x, y = cover_tree.narrow(a, b, 0.95)
+    bound, dots = x @ y.T, a @ b.T
+    assert x.shape[1] <= 33 and (bound >= dots - 1e-5).all() and (bound >= 0.95).mean() < 0.01
+    wa, wb = rng.integers(1, 4, 3000), rng.integers(1, 4, 1500)
+    ua, ub = (cover_tree.tree(m.astype(np.float32)) for m in (a, b))
+    got_a, got_b, la, lb = cover_tree.join_trees(a, ua, wa, b, ub, wb, 0.95, False)
+    h = dots >= 0.95
+    assert 20 < h.sum() < 300 and (got_a == h @ wb).all() and (got_b == wa @ h).all()
+    assert [*la, *lb] == roots(4500, [(i, 3000 + j) for i, j in zip(*np.nonzero(h))])
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table():
+    assert [-(-n // cover_tree.block_size(n, 64)) for n in (2_000, 50_000, 500_000)] == [1, 4, 4]
+    assert cover_tree.block_size(10**7, 1536) * 1536 <= 1 << 23
+
+
 def test_lines_on_many_sites_go(spark):
     rows = [(i, f"own text number {i} with some words\nAll rights reserved.\nmore of {i}", f"s{i % 7}", None) for i in range(14)]
     rows += [(100 + i, "the very same document\nin two lines", f"s{i}", None) for i in range(9)]

@@ -9,12 +9,14 @@ no row moves for them.  For the others only the rows of a block that can reach t
 it.  There both sides get their own cover trees, which are traversed together: a pair of nodes is dropped if even its
 closest descendants are further apart than the threshold (centre distance minus both covering radii), taken whole if even
 the furthest are within it, and refined otherwise.  Pairs near the threshold are decided in double precision, so the
-result is that of a full comparison.
+result is that of a full comparison.  Rows that no node holds are compared one by one, in the few principal directions
+first: with the lengths of what these leave out they bound each product from above, and only pairs whose bound reaches
+the threshold are compared in full.
 
 A task returns per row the number of links it found and the root of a spanning forest of them, never the pairs, so a
 dense group of n vectors costs n rows.  Where vectors aren't clustered and have many dimensions all balls overlap; then
-no bound prunes and the number of block pairs grows with the square of blocks.  That is the cost of an exact answer
-there, paid in matrix products.
+no ball prunes and the pairs grow with the square of the rows.  That is the cost of an exact answer there, paid in
+narrow matrix products; blocks grow with the table up to what a task holds, so the copies of a row do not.
 """
 
 from __future__ import annotations
@@ -75,47 +77,96 @@ def units(col, dim: int):
     return a / np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]
 
 
-def net(m, radius: float):
-    """Greedy cover: (positions of centres, for each row the number of its centre); the first row is a centre."""
+def net(m, radius: float, worth: bool = False, head: int = 256):
+    """Greedy cover: (positions of centres, for each row the number of its centre); the first row is a centre.
+
+    Centres are taken from `head` rows at once and meet the others in one matrix product.  With `worth` it ends where
+    new centres hold fewer than eight rows each; the rows that are left are centres of their own.
+    """
     import numpy as np
 
     owner = np.full(len(m), -1)
-    centres = []
+    centres: list = []
     todo = np.arange(len(m))
     least = 1 - radius * radius / 2
     while len(todo):
-        c = todo[0]
-        near = m[todo] @ m[c] >= least
-        near[0] = True
-        owner[todo[near]] = len(centres)
-        centres.append(c)
-        todo = todo[~near]
+        first = todo[:head]
+        close = m[first] @ m[first].T >= least
+        new, covered = [], np.zeros(len(first), bool)
+        for i in range(len(first)):
+            if not covered[i]:
+                new.append(i)
+                covered |= close[i]
+        c = first[new]
+        for s in range(0, len(todo), 1 << 14):
+            rows = todo[s : s + (1 << 14)]
+            near = m[rows] @ m[c].T >= least
+            hit = near.any(axis=1)
+            owner[rows[hit]] = len(centres) + near[hit].argmax(axis=1)
+        owner[c] = np.arange(len(centres), len(centres) + len(c))
+        centres += c.tolist()
+        before, todo = len(todo), todo[owner[todo] < 0]
+        if worth and before - len(todo) < 8 * len(c):
+            owner[todo] = np.arange(len(centres), len(centres) + len(todo))
+            centres += todo.tolist()
+            break
     return np.array(centres), owner
 
 
 def tree(m) -> "np.ndarray":  # noqa: F821
-    """(rows, LEVELS): the position of each row's ancestor at radius 1, 1/2, 1/4, ...; a centre is its own ancestor further down."""
+    """(rows, LEVELS): the position of each row's ancestor at radius 1, 1/2, 1/4, ...; a centre is its own ancestor further down.
+
+    Rows that few others are near to are nodes of their own from there on: nothing could be pruned below them.
+    """
     import numpy as np
 
-    up = np.zeros((len(m), LEVELS), np.int32)
+    up = np.repeat(np.arange(len(m), dtype=np.int32)[:, None], LEVELS, axis=1)
     parts = [np.arange(len(m))]
     for k in range(LEVELS):
         below = []
         for rows in parts:
-            if len(rows) == 1:
-                up[rows, k:] = rows[0]
-                continue
-            c, owner = net(m[rows], 2.0**-k)
+            c, owner = net(m[rows], 2.0**-k, worth=True)
             up[rows, k] = rows[c[owner]]
             if len(c) == 1:
                 below.append(rows)
                 continue
-            by = np.argsort(owner, kind="stable")
-            below += [rows[x] for x in np.split(by, np.cumsum(np.bincount(owner))[:-1])]
+            size = np.bincount(owner)
+            several = np.flatnonzero(size[owner] > 1)
+            by = several[np.argsort(owner[several], kind="stable")]
+            if len(by):
+                below += [rows[x] for x in np.split(by, np.cumsum(size[size > 1])[:-1])]
         parts = below
     return up
 
 
+def narrow(a, b, least: float, most: float = 1e-3):
+    """Bounds for the products of the unit rows of a and b in few dimensions: (rows of a, rows of b), or None if none are tight.
+
+    In the principal directions of both, x . y = Px . Py + Qx . Qy <= Px . Py + |Qx| |Qy|, with P the first of them and
+    Q the rest.  So the product of (Px, |Qx|) and (Py, |Qy|) is never below x . y; the fewest directions are taken by
+    which at most a share `most` of some pairs could still reach `least`.  The pairs only steer the number.
+    """
+    import numpy as np
+
+    dim = a.shape[1]
+    some = [x[:: max(1, len(x) // 512)][:512] for x in (a, b)]
+    both = np.concatenate(some)
+    turn = np.linalg.eigh(both.T @ both)[1][:, ::-1]
+
+    def short(x, k):
+        p = x @ turn[:, :k]
+        rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p, p)))
+        return np.concatenate([p, rest[:, None]], axis=1).astype(np.float32)
+
+    full = (some[0] @ some[1].T >= least).mean()
+    k = 8
+    while k <= dim // 2:
+        if (short(some[0], k) @ short(some[1], k).T >= least).mean() <= full + most:
+            return short(a, k), short(b, k)
+        k *= 2
+    return None
+
+
 def join_trees(a, ua, wa, b, ub, wb, least: float, same: bool):
     """Links between the rows of two trees: (weight linked per row of a, of b, label per row of a, of b).
 
@@ -129,6 +180,7 @@ def join_trees(a, ua, wa, b, ub, wb, least: float, same: bool):
     total = na if same else na + len(b)
     got_a, got_b = np.zeros(na, np.int64), np.zeros(len(b), np.int64)
     ends: list = []
+    pending = 0
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
     def levels(m, u):
@@ -150,20 +202,37 @@ def join_trees(a, ua, wa, b, ub, wb, least: float, same: bool):
         x, y = where[node]
         return order[x:y]
 
+    bounds: list = []
+
     def dense(i, j):
-        """Compare rows i of a with rows j of b one by one."""
-        step = max(1, (1 << 22) // max(1, len(j)))
+        """Compare rows i of a with rows j of b one by one, by narrow() where they are many."""
+        wide, short = min(len(j), 1 << 13), None
+        step = max(1, (1 << 20) // max(1, wide))
+        if len(i) * len(j) >= 1 << 20:
+            if not bounds:
+                bounds.append(narrow(a, b, least))
+            short = bounds[0] and (bounds[0][0][i], bounds[0][1][j])
         for s in range(0, len(i), step):
-            r = i[s : s + step]
-            dots = fa[r] @ fb[j].T
-            x, y = np.nonzero(dots >= least - DOT_SLACK)
-            unsure = dots[x, y] < least + DOT_SLACK
-            x, y = r[x], j[y]
-            if unsure.any():
-                keep = ~unsure
-                keep[unsure] = np.einsum("ij,ij->i", a[x[unsure]], b[y[unsure]]) >= least
-                x, y = x[keep], y[keep]
-            links(x, y)
+            for t in range(0, len(j), wide):
+                r, c = i[s : s + step], j[t : t + wide]
+                x = None
+                if short:
+                    might = np.flatnonzero((short[0][s : s + step] @ short[1][t : t + wide].T).ravel() >= least - 2 * DOT_SLACK)
+                    if len(might) * 32 < len(r) * len(c) and len(might) * a.shape[1] <= 1 << 23:
+                        x, y = r[might // len(c)], c[might % len(c)]
+                        dots = np.einsum("ij,ij->i", fa[x], fb[y])
+                        at = np.flatnonzero(dots >= least - DOT_SLACK)
+                        x, y, dots = x[at], y[at], dots[at]
+                if x is None:
+                    all_dots = fa[r] @ fb[c].T
+                    at = np.flatnonzero(all_dots.ravel() >= least - DOT_SLACK)
+                    x, y, dots = r[at // len(c)], c[at % len(c)], all_dots.ravel()[at]
+                unsure = dots < least + DOT_SLACK
+                if unsure.any():
+                    keep = ~unsure
+                    keep[unsure] = np.einsum("ij,ij->i", a[x[unsure]], b[y[unsure]]) >= least
+                    x, y = x[keep], y[keep]
+                links(x, y)
 
     def whole(i, j):
         """All of i is linked to all of j."""
@@ -223,15 +292,17 @@ def join_trees(a, ua, wa, b, ub, wb, least: float, same: bool):
             x, y = x[off], y[off]
         if not len(x):
             return
-        got_a[:] += np.bincount(x, wb[y], na).astype(np.int64)
+        nonlocal pending
+        np.add.at(got_a, x, wb[y])
         if not same:
-            got_b[:] += np.bincount(y, wa[x], len(b)).astype(np.int64)
-        if len(x) > 4 * total:
-            lab = spread(x, y if same else y + na)
+            np.add.at(got_b, y, wa[x])
+        ends.append(np.stack([x, y if same else y + na]))
+        pending += len(x)
+        if pending > 4 * total:
+            lab = spread(*np.concatenate(ends, axis=1))
             x = np.flatnonzero(lab != np.arange(total))
-            ends.append(np.stack([x, lab[x]]))
-        else:
-            ends.append(np.stack([x, y if same else y + na]))
+            ends[:] = [np.stack([x, lab[x]])]
+            pending = 0
 
     def spread(x, y):
         """The least position reachable from each by the links x - y."""
@@ -395,12 +466,18 @@ def blocks_of(classes: DataFrame, block: int = 8192, sample: int = 1024, most: i
     return placed, _balls(placed)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = 8192) -> DataFrame:
+def block_size(rows: int, dim: int, least: int = 8192, elements: int = 1 << 23) -> int:
+    """Rows of a block: a quarter of the table, so that a row is sent to few partners, as far as a task can hold two blocks."""
+    return max(min(least, max(1, elements // max(1, dim))), min(-(-rows // 4), elements // max(1, dim)))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int | None = None) -> DataFrame:
     """vectors(vec_id, embedding) -> vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors, those with null or non-finite components and those without vec_id link with nothing
     and are their own component.  Vectors of different lengths don't link.  Equal vectors link.  Repeated rows count
     one by one.  kept: vec_id = component_id (false for a null vec_id).  Empty table: no rows.  Other columns are ignored.
+    block: rows of a block at most; block_size() of the table by default.
     """
     import numpy as np
 
@@ -410,6 +487,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block: int = 8192)
         usable = every.where("h is not null and vec_id is not null")
         classes = usable.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("v").alias("v"))
         classes = stage(classes, "vector-classes")
+        if block is None:
+            facts = classes.agg(F.count("*"), F.max("dim")).first()
+            block = block_size(facts[0], facts[1] or 1)
         placed, balls = blocks_of(classes, block)
         reach = float(np.sqrt(2 - 2 * cosine))
         partners, wholes = _partners(balls, reach)
