@@ -49,3 +49,39 @@ def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
     assert sorted((r.doc_id or 0, len(r.text.split())) for r in got if r.doc_id == 9 or r.doc_id is None) == [(0, 60), (0, 60), (9, 2)]
     seven = sorted(len(r.text.split()) for r in got if r.doc_id == 7)
     assert len(seven) == 2 and seven[0] == 4 and seven[1] in (60, 61)
+
+
+def test_a_family_of_texts_is_never_a_table_of_its_pairs(spark, monkeypatch):
+    """300 texts around one, most pairs of them just below the similarity: rows stay in proportion to the texts."""
+    rng = random.Random(8)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for k in range(300):
+        w = list(base)
+        for at in rng.sample(range(150), 3 if k % 10 else 1):
+            w[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [set(near_copies.shingles(t)) for t in texts]
+    up = list(range(300))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(300):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    counted, write = [], near_copies.stage
+
+    def stage(df, label):
+        out = write(df, label)
+        counted.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", stage)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    got = sorted(r.doc_id for r in near_dedup(spark, df.repartition(3), "").collect())
+    assert got == [i for i in range(300) if root(i) == i] and len(got) > 1
+    assert max(counted)[0] < 40 * 300, max(counted)

@@ -15,17 +15,19 @@ The radius loses few links, too.  A pair at similarity 0.8 has a cosine of 0.89,
 the chance of a miss is below one in a hundred thousand at the threshold and far smaller above it.
 
 The order puts shingles that are frequent in a sample last, then goes by hash: any order gives the same pairs, this one
-gives small buckets.  In a few rounds each text meets only the `tries` closest of its buckets' hubs, another hub in every
-round; families of near copies join there without all their pairs.  The last pass compares the members of a bucket that
-are not linked yet, each pair in its first common bucket.
+gives small buckets.
+
+No pair is a row of a table.  The first pass over the buckets returns the rows that have a partner within the radius, each
+pair in its first common bucket.  Only their shingles are fetched, as 64-bit hashes, and meet in the same buckets; a
+bucket counts the shingles that its members have in common by posting lists, leaves out pairs that it has linked already
+and returns a spanning forest of its near copies, so a family of n texts costs n rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import repeat
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
@@ -33,6 +35,7 @@ from .common import Temporary, sent, stage
 from .components import components
 from .simhash import LOWER, majority, within_buckets
 
+
 def text_key(text: Column) -> Column:
     """Hash by which equal texts are one; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -53,11 +56,6 @@ def hashes(text: str | None, shingle: int = 5, seed: int = 42):
     return np.unique(np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces)).view(np.int64))
 
 
-def similar(a: set, b: set, similarity: float) -> bool:
-    both = len(a & b)
-    return both + 1e-9 >= similarity * (len(a) + len(b) - both)
-
-
 def frequent(texts: DataFrame, shingle: int, sample: int = 8000, least: int = 3, most: int = 200_000):
     """Sorted hashes of the shingles that stand in at least `least` texts of a sample; they only steer the order."""
     import numpy as np
@@ -146,86 +144,91 @@ def free_shuffles(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(u, v) of keys whose texts(key, text) are near copies."""
-
-    def run(batches):
-        import pyarrow as pa
+def near_in_buckets(c, i, j, similarity: float) -> list[tuple[int, int]]:
+    """Of the candidate pairs of positions (i, j) in c (arrays set, __g) a spanning forest of the near copies of each bucket.
 
-        held = None, set()
-        for b in batches:
-            u, v, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for k, (x, s, t) in enumerate(zip(u, b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if held[0] != x:
-                    held = x, set(shingles(s, shingle))
-                if similar(held[1], set(shingles(t, shingle)), similarity):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], names=["u", "v"])
+    A shingle's posting list names the members that have it; those of one member's shingles, counted, are what it has in
+    common with all others.
+    """
+    import numpy as np
 
-    left, right = texts.select(F.col("key").alias("u"), F.col("text").alias("s")), texts.select(F.col("key").alias("v"), F.col("text").alias("t"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+    out = []
+    order = np.lexsort((j, i, c["__g"][i]))
+    i, j = i[order], j[order]
+    for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(c["__g"][i])) + 1):
+        rows, local = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+        a, b = local[: len(part)], local[len(part) :]
+        n = np.array([len(c["set"][k]) for k in rows.tolist()])
+        inv = np.unique(np.concatenate([c["set"][k] for k in rows.tolist()]), return_inverse=True)[1]
+        posting = np.repeat(np.arange(len(rows)), n)[np.argsort(inv, kind="stable")]
+        at, begin = np.concatenate([[0], np.cumsum(np.bincount(inv))]), np.concatenate([[0], np.cumsum(n)])
+        label = np.arange(len(rows))
+        for mates in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+            x, y = a[mates[0]], b[mates]
+            y = y[label[y] != label[x]]
+            if not len(y):
+                continue
+            mine = inv[begin[x] : begin[x + 1]]
+            size = at[mine + 1] - at[mine]
+            both = np.bincount(posting[np.repeat(at[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(rows))[y]
+            y = y[both + 1e-9 >= similarity * (n[x] + n[y] - both)]
+            if len(y):
+                linked, first = np.unique(label[y], return_index=True)
+                out += [(int(rows[x]), int(rows[k])) for k in y[first].tolist()]
+                label[np.isin(label, linked)] = label[x]
+    return out
 
 
-def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, few: int = 500_000, rounds: int = 4, tries: int = 3) -> DataFrame:
+def links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, few: int = 500_000) -> DataFrame:
     """docs(text) -> u, v: links between text_keys whose components are those of all near-copy pairs.
 
     Null and empty texts are one text.  Texts of fewer words than a shingle are near copies only of equal ones.
     Repeated texts count once.  Empty table: no rows.  Other columns are ignored.
     """
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
-    spark = docs.sparkSession
-    n, m = F.col("n"), F.col("m")
 
-    def fit(n: Column, at: Column, m: Column, m_at: Column) -> Column:
+    def allowed(a, b):
         """Sizes and positions allow it; the bucket of their first common shingle lets near copies by."""
-        return (F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)) & (F.least(n - at, m - m_at) + 1e-6 >= similarity / (1 + similarity) * (n + m))
+        import numpy as np
+
+        (an, ap), (bn, bp) = ([x[c] for c in ("n", "pos")] for x in (a, b))
+        ok = np.minimum(an, bn) + 1e-6 >= similarity * np.maximum(an, bn)
+        return ok & (np.minimum(an - ap, bn - bp) + 1e-6 >= similarity / (1 + similarity) * (an + bn))
+
+    def partnered(c, i, j):
+        import numpy as np
+        import pyarrow as pa
+
+        at = np.unique(np.concatenate([i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in ("h", "key")], names=["h", "key"])
+
+    def near(c, i, j):
+        import pyarrow as pa
+
+        found = [sorted((int(c["key"][x]), int(c["key"][y]))) for x, y in near_in_buckets(c, i, j, similarity)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashes(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "set"])
 
     with Temporary() as mine:
         sketch = stage(sketches(texts, shingle, similarity, frequent(texts, shingle)), "near-sketch")
-        rows = sketch.select("key", "n", "fp", F.posexplode("prefix").alias("pos", "h"))
+        rows = sketch.select("key", F.explode("prefix").alias("h"))
         shared = stage(rows.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h"), "near-shared")
         rows = sketch.select("key", "n", "fp", "prefix", F.posexplode("prefix").alias("pos", "h")).select("key", "n", "fp", "pos", "h", F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
         met = stage(rows.join(sent(shared, few), "h").dropDuplicates(["h", "key"]).select("h", "key", "n", "fp", "pos", "before"), "near-met")
-        free_shuffles(spark)
-
-        def near(found: DataFrame, label: str) -> DataFrame:
-            found = stage(found, f"{label}-pairs")
-            nodes = stage(found.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-nodes")
-            held = stage(chosen(texts, nodes).groupBy("key").agg(F.first("text").alias("text")), "near-texts")
-            return stage(verified(found, held, shingle, similarity), f"{label}-links")
-
-        # rounds: each text with the closest of its buckets' hubs that it isn't linked to yet
-        parts, rest = [], met.withColumn("root", F.col("key"))
-        for r in range(rounds):
-            pick = F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("o"), "key", "n", "fp", "pos", "root"))
-            hub = rest.groupBy("h").agg(pick.alias("x")).select("h", F.col("x.key").alias("u"), F.col("x.n").alias("m"), F.col("x.fp").alias("hub_fp"), F.col("x.pos").alias("hub_pos"), F.col("x.root").alias("hub_root"))
-            apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp")))
-            close = rest.join(hub, "h").where((F.col("root") != F.col("hub_root")) & (apart <= radius) & fit(n, F.col("pos"), m, F.col("hub_pos")))
-            nearest = F.slice(F.array_sort(F.collect_set(F.struct(apart.alias("d"), "u"))), 1, tries)  # a row has few buckets
-            chosen_pairs = close.groupBy(F.col("key").alias("v")).agg(nearest.alias("x")).select("v", F.explode("x").alias("x"))
-            with Temporary() as this:
-                parts.append(mine.keep(this.keep(near(chosen_pairs.select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct(), "near-hub"))))
-            free_shuffles(spark)
-            # the members of a bucket that are not linked yet
-            roots = components(reduce(DataFrame.unionByName, parts))
-            rooted = met.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "fp", "pos", "before", F.coalesce("root", "key").alias("root"))
-            open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-            rest = stage(rooted.join(sent(stage(open_, "near-open"), few), "h", "left_semi"), "near-rest")
-            if rest.isEmpty():
-                break
-
-        def allowed(a, b):
-            import numpy as np
-
-            (an, ap, ar), (bn, bp, br) = ([x[c] for c in ("n", "pos", "root")] for x in (a, b))
-            ok = (ar != br) & (np.minimum(an, bn) + 1e-6 >= similarity * np.maximum(an, bn))
-            return ok & (np.minimum(an - ap, bn - bp) + 1e-6 >= similarity / (1 + similarity) * (an + bn))
-
-        others = within_buckets(rest, ["h"], radius, "key", ["n", "pos", "root"], allowed, before="before")  # each pair in its first common bucket
-        with Temporary() as second:
-            rest_links = mine.keep(second.keep(near(others, "near-rest")))
-        free_shuffles(spark)
-    return reduce(DataFrame.unionByName, [*parts, rest_links])
+        free_shuffles(docs.sparkSession)
+        busy = stage(within_buckets(met, ["h"], radius, "key", ["n", "pos"], allowed, cap=1024, before="before", emit=partnered, kinds="h long, key long").distinct(), "near-busy")
+        nodes = stage(busy.select("key").distinct(), "near-nodes")
+        held = stage(chosen(texts, nodes).mapInArrow(sets, "key long, set array<long>").groupBy("key").agg(F.first("set").alias("set")), "near-sets")
+        again = met.join(busy, ["h", "key"]).join(held, "key")
+        out = within_buckets(again, ["h"], radius, "key", ["n", "pos"], allowed, cap=1 << 18, before="before", weight="n", lists=("set",), emit=near)
+        out = mine.keep(stage(out.distinct(), "near-links"))
+        free_shuffles(docs.sparkSession)
+    return out
 
 
 def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, few: int = 500_000) -> DataFrame:

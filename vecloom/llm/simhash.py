@@ -121,17 +121,20 @@ def close_pairs(fp, start, stop, radius: int):
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "fp", more: list[str] | None = None, allowed=None, cap: int = 2048, before: str | None = None) -> DataFrame:
+def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "fp", more: list[str] | None = None, allowed=None, cap: int = 2048, before: str | None = None, weight: str | None = None, lists: tuple = (), emit=None, kinds: str = "u long, v long") -> DataFrame:
     """rows(*keys, fp, name, *more), keys long -> u < v: names of the pairs of rows of a bucket at most `radius` bits apart, once.
 
     Rows of a bucket have different names.  allowed(a, b): of two dictionaries of the columns `more` of the rows to be
     paired, which pairs count.  before: a column array<long> of other buckets of the row; rows that have one in common
-    there are not paired here, so a pair that meets in many buckets is put out in one.  Buckets of more than `cap` rows are split by hash of the name into blocks and meet pair
-    of blocks by pair of blocks.
+    there are not paired here, so a pair that meets in many buckets is put out in one.  Buckets of more than `cap` rows (or more than `cap` of the sum of
+    a column `weight`) are split by hash of the name into blocks and meet pair of blocks by pair of blocks.
+
+    With emit(c, i, j) its record batches (of the columns `kinds`) are returned instead of the pairs: c has the columns as
+    arrays, `lists` as arrays of arrays, and __g, the number of the bucket or pair of blocks; i, j are the pairs' positions.
     """
     more = more or []
-    cols = [*keys, *dict.fromkeys(["fp", name, *more, *([before] if before else [])])]
-    big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > cap)
+    cols = [*keys, *dict.fromkeys(["fp", name, *more, *([before] if before else []), *lists])]
+    big = rows.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("__n")).where(F.col("__n") > cap)
     blocks = F.coalesce(F.ceil(F.col("__n") / cap).cast("long"), F.lit(1).cast("long"))
     dealt = rows.join(big, keys, "left").select(*cols, blocks.alias("__nb")).withColumn("__own", F.pmod(F.xxhash64(name), F.col("__nb")))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)))
@@ -155,6 +158,7 @@ def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "f
             if not len(size):
                 return None
             start = np.repeat(np.cumsum(size) - size, size)
+            c["__g"] = np.repeat(np.arange(len(size)), size)
             i, j = close_pairs(c["fp"].view(np.uint64), start, start + np.repeat(size, size), radius)
             ok = (c["__a"][i] == c["__b"][i]) | (c["__own"][i] != c["__own"][j])
             if allowed is not None:
@@ -170,6 +174,8 @@ def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "f
 
                 apart = np.fromiter((others(p).isdisjoint(others(q)) for p, q in zip(i.tolist(), j.tolist())), bool, len(i))
                 i, j = i[apart], j[apart]
+            if emit is not None:
+                return emit(c, i, j) if len(i) else None
             x, y = c[name][i], c[name][j]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
@@ -177,7 +183,7 @@ def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "f
         held = None
         for batch in batches:
             c = {k: x.to_numpy(zero_copy_only=False) for k, x in zip(batch.schema.names, batch.columns)}
-            c = {k: x if k == before else x.astype(np.int64) for k, x in c.items()}
+            c = {k: x if k == before or k in lists else x.astype(np.int64) for k, x in c.items()}
             if held is not None:
                 c = {k: np.concatenate([held[k], x]) for k, x in c.items()}
             if not len(c["fp"]):
@@ -190,7 +196,8 @@ def within_buckets(rows: DataFrame, keys: list[str], radius: int, name: str = "f
         if held is not None and len(held["fp"]) and (out := compare(held)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    found = dealt.mapInArrow(run, kinds)
+    return found if emit is not None else found.distinct()
 
 
 def links(distinct: DataFrame, radius: int = 2, cap: int = 2048) -> DataFrame:
