@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpus_pipeline import near_dedup
 from vecloom.llm import near_copies
 
@@ -85,3 +87,11 @@ def test_a_family_of_texts_is_never_a_table_of_its_pairs(spark, monkeypatch):
     got = sorted(r.doc_id for r in near_dedup(spark, df.repartition(3), "").collect())
     assert got == [i for i in range(300) if root(i) == i] and len(got) > 1
     assert max(counted)[0] < 40 * 300, max(counted)
+
+
+def test_frequent_shingles_are_counted_over_all_texts(spark):
+    """Each different text counts once, however many rows it has, and none is left out."""
+    texts = [f"{k} a{k} b{k} c{k} d{k} e{k}" for k in range(9000)] + [f"one two three four five {k}" for k in range(5)] + ["six seven eight nine ten"] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(near_copies.text_key(F.col("text")).alias("key"), "text")
+    assert near_copies.frequent(df, 5, share=5 / 9006).tolist() == near_copies.hashes("one two three four five").tolist()
+    assert near_copies.frequent(df, 5, share=6 / 9006).tolist() == []

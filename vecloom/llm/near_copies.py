@@ -14,8 +14,8 @@ The radius loses few links, too.  A pair at similarity 0.8 has a cosine of 0.89,
 64 bits differs with probability 0.15: 9.7 bits in the mean, 2.9 their standard deviation.  24 bits are five of these;
 the chance of a miss is below one in a hundred thousand at the threshold and far smaller above it.
 
-The order puts shingles that are frequent in a sample last, then goes by hash: any order gives the same pairs, this one
-gives small buckets.
+The order puts frequent shingles last, counted over all texts among the first of each in hash order, then goes by hash:
+any order gives the same pairs, this one gives small buckets.
 
 No pair is a row of a table.  The first pass over the buckets returns the rows that have a partner within the radius, each
 pair in its first common bucket.  Only their shingles are fetched, as 64-bit hashes, and meet in the same buckets; a
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from .common import Temporary, sent, stage
+from .common import Temporary, discard, sent, stage
 from .components import components
 from .simhash import LOWER, majority, within_buckets
 
@@ -56,21 +56,26 @@ def hashes(text: str | None, shingle: int = 5, seed: int = 42):
     return np.unique(np.fromiter(map(xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces)).view(np.int64))
 
 
-def frequent(texts: DataFrame, shingle: int, sample: int = 8000, least: int = 3, most: int = 200_000):
-    """Sorted hashes of the shingles that stand in at least `least` texts of a sample; they only steer the order."""
+def frequent(texts: DataFrame, shingle: int, share: float = 3 / 8000, least: int = 3, look: int = 32):
+    """Sorted hashes of the shingles that are among the first `look` of their text in hash order in a share of all different texts.
+
+    All texts are counted, and at least `least` of them must have it.  look / share numbers come to the driver at most.
+    """
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set = set()
         for b in batches:
-            h = [hashes(text, shingle) for text in b.column(0).to_pylist()]
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h))], names=["h"])
-
-    classes = max(1, texts.count() // sample)
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(classes)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(run, "h long")
-    rows = some.groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).select("h").collect()
+            new = [(key, text) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not (key in seen or seen.add(key))]
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in new], pa.int64()), pa.array([hashes(text, shingle)[:look] for _, text in new], pa.list_(pa.int64()))], names=["key", "h"])
+
+    first = stage(texts.mapInArrow(run, "key long, h array<long>").groupBy("key").agg(F.first("h").alias("h")), "near-first")
+    enough = max(least, share * first.count())
+    rows = first.select(F.explode("h").alias("h")).groupBy("h").count().where(F.col("count") >= enough).select("h").collect()
+    discard(first)
     return np.sort(np.array([r.h for r in rows], np.int64))
 
 
