@@ -198,3 +198,18 @@ def test_staged_tables_keep_types_and_nulls_and_go_with_their_owner(spark):
         files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(lost._staged_path)
         assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
     assert common.stage(df.limit(0), "t").collect() == []
+
+
+def test_a_worker_drops_what_earlier_tasks_made(monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    from pyspark import TaskContext
+    from vecloom.llm.common import worker_cache
+
+    monkeypatch.setattr(sys, "_vecloom_cache", {}, raising=False)
+    made = []
+    for task, slot in [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c"), (4, "a")]:
+        monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls, task=task: SimpleNamespace(taskAttemptId=lambda: task)))
+        worker_cache(slot, 0, lambda: made.append((task, slot)))
+    assert made == [(1, "a"), (1, "b"), (3, "c"), (4, "a")] and [*sys._vecloom_cache] == ["a"]

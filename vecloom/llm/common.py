@@ -154,6 +154,8 @@ def _write_by_workers(df: DataFrame, path: str, group_bytes: int = 32 << 20) ->
                 out.write_table(pa.Table.from_batches(held).cast(schema))
             out.close()
             sink.close()
+            held = None
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -186,12 +188,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on, and their memory is the executor's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_cache(slot: str, version, make):
-    """An object that lives as long as the Python worker, over all its tasks; a slot keeps its latest version only."""
+    """An object that lives as long as the Python worker, over all its tasks; a slot keeps its latest version only.
+
+    A worker that makes a new one drops those that earlier tasks made: a later operator has no use for them.
+    """
     import sys
 
+    from pyspark import TaskContext
+
     store = sys.__dict__.setdefault("_vecloom_cache", {})
     if slot not in store or store[slot][0] != version:
-        store.pop(slot, None)
-        store[slot] = version, make()
+        task = TaskContext.get()
+        task = task.taskAttemptId() if task is not None else None
+        gone = [k for k, x in store.items() if k == slot or x[2] != task]
+        for k in gone:
+            del store[k]
+        if gone:
+            trim()
+        store[slot] = version, make(), task
     return store[slot][1]
