@@ -246,3 +246,22 @@ def test_encoding_of_a_table_with_odd_rows(spark):
     assert all(got[i].decoded == (t or "") for i, t in rows) and got[2].n_tokens == 0 and got[4].n_tokens == len(got[4].ids)
     assert got[1].losses[0] == 0 and got[1].losses == sorted(got[1].losses) and len(got[1].edits) == 3
     assert sentencepiece_nbest.encode(df.limit(0), P.path("piece_bpe_32k.model")).collect() == []
+
+
+def test_workers_keep_no_solved_units_between_tasks(spark):
+    import public_tokenizers as P
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        kinds = [type(x).__name__ for x in gc.get_objects()]
+        yield pa.RecordBatch.from_arrays([pa.array([kinds.count(k)], pa.int64()) for k in ("Pieces", "Segmenter")], names=["pieces", "solved"])
+
+    docs = spark.range(64).selectExpr("concat('some words of text ', id) as text").repartition(4)
+    assert sentencepiece_nbest.encode(docs, P.path("piece_bpe_32k.model")).where("decoded = text").count() == 64
+    found = spark.range(8).repartition(8).mapInArrow(held, "pieces long, solved long").collect()
+    assert sum(r.pieces for r in found) and not sum(r.solved for r in found)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import trim, worker_cache
 
 MARK = "▁"
 #: ids of the byte pieces begin here in SentencePiece models with byte fallback; `score` thousandths of a nat below the rarest piece.
@@ -290,13 +290,13 @@ class Segmenter:
     """Encodes and decodes whole texts.
 
     The first `limit` units of at most `longest` characters stay solved (frequent units come early); the others are
-    solved anew in each batch of texts that has them.
+    solved anew in each batch of texts that has them.  The limit bounds memory only, about 180 bytes a unit.
     """
 
-    def __init__(self, path: str, limit: int = 200_000, longest: int = 12):
+    def __init__(self, pieces: str | Pieces, limit: int = 50_000, longest: int = 12):
         import numpy as np
 
-        self.v, self.limit, self.longest = Pieces(path), limit, longest
+        self.v, self.limit, self.longest = pieces if isinstance(pieces, Pieces) else Pieces(pieces), limit, longest
         self.known, self.ids, self.score, self.loss = {}, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, units: set[str]) -> list[str]:
@@ -385,11 +385,12 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep_ids: bool = True) -
         import numpy as np
         import pyarrow as pa
 
-        seg = worker_cache("segmenter", path, lambda: Segmenter(path))
+        # solved units go with the task: an executor has more idle workers than tasks, and each would keep its own
+        seg = Segmenter(worker_cache("pieces", path, lambda: Pieces(path)))
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))]))), pa.string()]
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
                 rows, wide = [], []
                 for raw, score, alts in seg.encode(texts, n_best):
@@ -400,5 +401,7 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep_ids: bool = True) -
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in wide])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(wide))) if keep_ids else pa.nulls(len(wide), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, listed, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=[*part.schema.names, *extra.fieldNames()])
+        del seg
+        trim()
 
     return docs.mapInArrow(run, schema)
