@@ -33,6 +33,17 @@ def test_piecewise_encoding_equals_the_librarys(tokenizer):
     assert 50256 not in np.frombuffer(plain.encode(["x <|endoftext|> y"])[0], "<u2") and plain.encode(texts[:8]) == want[:8]
 
 
+def test_words_are_spelled_at_once_as_the_library_spells_each():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False)
+    words = [c + "a" + c for c in map(chr, range(0x250)) if c.isalpha()]
+    enc = token_store.Encoder(P.path("byte_bpe_50k.json"), "<u2")
+    assert enc.spell(words).split(" ") == [spell.pre_tokenize_str(" " + w)[0][0] for w in words]
+    whole = enc.tok.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+    assert enc.spaced_ids(words) == {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(words, whole)}
+
+
 def test_store_reads_back_what_was_written(spark, tokenizer):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(400)]

@@ -111,24 +111,31 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         added = [] if plain_text else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.tok.encode_special_tokens = self.words.encode_special_tokens = plain_text
         self.added = re.compile("|".join(added)) if added else None
         # Latin letters after a space are one pre-token: the same model gets them in its own spelling of bytes, parted already
-        self.words.pre_tokenizer = WhitespaceSplit()
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = {i: spell.pre_tokenize_str(chr(i))[0][0] for i in range(0xA0, 0x250)}
+        # one character for each byte of UTF-8; a zero byte stands for the space in front of a word, a space parts words
+        byte = {}
+        for c in map(chr, range(0x21, 0x250)):
+            byte.update(zip(c.encode(), spell.pre_tokenize_str(c)[0][0]))
+        self.spelling = "".join("\u0120" if b == 0 else byte.get(b, " ") for b in range(256))
         self.dtype, self.limit, self.longest = dtype, limit, longest
         self.known, self.heads, self.seen = {}, {}, np.zeros(1 << 23, bool)
         self.marks = dict(zip(self.MARKS, self.ids([*self.MARKS])))
         self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True  # how byte-level BPE writes a space
 
-    def spell(self, word: str) -> str:
-        return "\u0120" + (word if word.isascii() else word.translate(self.spelling))
+    def spell(self, words: list[str]) -> str:
+        """' ' + word for each in the model's spelling of bytes, parted by spaces."""
+        import codecs
+
+        return codecs.charmap_decode(("\0" + " \0".join(words)).encode(), "strict", self.spelling)[0]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -144,11 +151,11 @@ class Encoder:
         if odd:
             out.update(zip(odd, self.ids([" " + x for x in odd])))
             pieces = [x for x in pieces if " " not in x]
-        latin = [x for x in pieces if x.isalpha() and max(x) < "\u0250"]
-        done = set(latin)
-        rest = [x for x in pieces if x not in done]
+        latin, rest = [], []
+        for x in pieces:
+            (latin if x.isalpha() and (x.isascii() or max(x) < "\u0250") else rest).append(x)
         for text, kind, part in [
-            *((" ".join(self.spell(x) for x in q), self.words, q) for at in range(0, len(latin), 20_000) if (q := latin[at : at + 20_000])),
+            *((self.spell(q), self.words, q) for at in range(0, len(latin), 20_000) if (q := latin[at : at + 20_000])),
             *((" " + " ".join(q), self.tok, q) for at in range(0, len(rest), 20_000) if (q := rest[at : at + 20_000])),
         ]:
             ids = np.array(kind.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
