@@ -61,7 +61,7 @@ def _search(catalog: Catalog, m: Manifest, s: SearchSettings, q: DataFrame, chan
         positions = lambda r: r.groupBy("seg", "shard").agg(F.collect_list("pos").alias("pos"))  # noqa: E731  at most a shard's rows
         only = None if allow is None else positions(hidden.where(~F.col("dead")).join(allow, "id", "left_semi"))
         marked = positions(hidden.where("dead")) if allow is None and (masked is not None or len(m.chain) > 1) else None
-        found = search_graph(catalog.graph(m), q, s.k, m.metric, s.ef, s.radius, marked, only, sq8, s.rescore, s.oversampling)
+        found = search_graph(catalog.graph(m), q, s.k, m.metric, s.ef, s.radius, marked, only, sq8, s.rescore, s.oversampling, s.precision != "fast")
     else:
         live = rows.where(~F.col("dead"))
         live = live if masked is None else live.join(masked, "id", "left_anti")
