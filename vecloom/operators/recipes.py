@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import vector_avg
-from ..functions.vectors import METRICS, vector_l2sq, vector_sub
+from ..functions.vectors import METRICS, check_metric, vector_l2sq, vector_sub
+from . import workers
 from .exact import scan
 
+cloudpickle.register_pickle_by_value(workers)
+
+#: Elements of a block of theta_join; two blocks are in a task at once.
+JOIN_ELEMENTS = 1_000_000
+
 
 def with_payload(found: DataFrame, payload: DataFrame) -> DataFrame:
     """found(qid, id, score, rank) with the columns of payload(id, ...)."""
@@ -50,15 +57,32 @@ def all_near_duplicates(rows: DataFrame, threshold: float, k: int = 2, metric: s
     return near_duplicates(rows, ok.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), threshold, k, metric)
 
 
-def theta_join(rows: DataFrame, threshold: float, metric: str = "cosine", k: int = 16384) -> DataFrame:
+def theta_join(rows: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
     """Every pair (a, b), a < b, of rows(id, vec) within a threshold: the join of a table with itself on a distance.
 
-    A range search with every row as a query; an id with k partners or more is an error, so no pair is lost unseen.
+    Rows are dealt by hash into blocks of at most JOIN_ELEMENTS elements, and every two blocks meet once, in one task.
+    There matrix products leave few pairs, which are scored exactly; they are put out piece by piece, however many.
     """
-    ok = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    found = scan(rows, ok.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), k, metric, threshold)
-    full = F.when((F.col("rank") == k), F.raise_error(F.concat(F.lit("theta_join: more partners than k for id "), F.col("qid").cast("string"))).cast("boolean")).otherwise(True)
-    return found.where(full & (F.col("qid") < F.col("id"))).select(F.col("qid").alias("a"), F.col("id").alias("b"), "score")
+    check_metric(metric)
+    ok = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    n, least, most = ok.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if n and least != most:
+        raise ValueError(f"theta_join: the vectors have different lengths: {least} and {most} elements")
+    of = max(4, -(-n * (most or 0) // JOIN_ELEMENTS))
+    own, other = F.col("own"), F.col("other")
+    dealt = ok.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(of))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(of - 1))))
+    dealt = dealt.select("id", "vec", "own", (F.least(own, other) * of + F.greatest(own, other)).alias("pair"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in workers.grouped(batches, ["pair"]):
+            i, j = divmod(t.column("pair")[0].as_py(), of)
+            ids, x, where = t.column("id").to_numpy(), workers.matrix(t.column("vec")), t.column("own").to_numpy()
+            for a, b, s in workers.close_pairs(ids[where == i], x[where == i], ids[where == j], x[where == j], metric, threshold, i == j):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "score"])
+
+    return dealt.repartition(of * (of + 1) // 2, "pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long, score double")
 
 
 def ties(found: DataFrame, digits: int = 6) -> DataFrame:
